@@ -21,7 +21,7 @@ def test_normal_forms(spark, given, log, export):
 
 @pytest.mark.parametrize(
     ("given", "skeleton"),
-    [("Nat.add_comm", "ID"), ("sum of a matrix", "W of a W"), ("?x + _ = 12", "HOLE + HOLE = NUM"), ("mulComm or MulComm", "ID or ID"), ("f (2.5)", "W ( NUM )"), ("?", "HOLE"), ("", ""), ("x' ₁", "W NUM")],
+    [("Nat.add_comm", "ID"), ("sum of a matrix", "W of W W"), ("?x + _ = 12", "HOLE + HOLE = NUM"), ("mulComm or MulComm", "ID or ID"), ("f (2.5)", "W ( NUM )"), ("?", "HOLE"), ("", ""), ("x' ₁", "W NUM")],
 )
 def test_skeleton(spark, given, skeleton):
     assert one(spark, given, text.skeleton(text.kinds("x"))) == (skeleton,)
