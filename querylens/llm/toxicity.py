@@ -56,10 +56,10 @@ class Model:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_cols: int, penalty: float = 2e-4, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """Proportional-odds regression by accelerated proximal gradient: the entries (rows, cols) are 1, all others 0."""
+    """Proportional-odds regression with thresholds of 1 or more, by accelerated proximal gradient: the entries (rows, cols) are 1, all others 0."""
     n, k = len(grade), GRADES - 1
     share = np.clip([(grade > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
-    theta, w = -np.log(share / (1 - share)), np.zeros(n_cols)
+    theta, w = np.maximum(-np.log(share / (1 - share)), 1), np.zeros(n_cols)
     step = 4.0 / max(1.0, np.bincount(rows, minlength=n).max() * k) * 4
     ow, ot, t = w.copy(), theta.copy(), 1.0
     for _ in range(rounds):
@@ -68,7 +68,7 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_cols: i
         r = (p - (grade[:, None] > np.arange(k)[None])) / n
         nw = w - step * n_cols**0.5 * np.bincount(cols, r.sum(axis=1)[rows], n_cols)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * n_cols**0.5 * penalty, 0)
-        nt = np.sort(theta + step * r.sum(axis=0))
+        nt = np.maximum(np.sort(theta + step * r.sum(axis=0)), 1)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         w, theta = nw + (t - 1) / t2 * (nw - ow), np.sort(nt + (t - 1) / t2 * (nt - ot))
         ow, ot, t = nw, nt, t2
