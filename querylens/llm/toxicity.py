@@ -10,6 +10,7 @@ that the labels associate with toxic texts) they hold, which gives the third.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ FIT_ROWS, FIT_FEATURES = 10_000, 4_096
 PREFIXES = (5, 6, 7, 8)
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -49,6 +50,7 @@ class Model:
 
     def __init__(self, weights: dict[int, float], theta: np.ndarray):
         self.weights, self.theta = weights, theta
+        self.name = uuid.uuid4().hex  # by which a worker knows it again
 
     def over(self, x: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and each threshold."""
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_featur
 
 
 @lru_cache(maxsize=1)
-def _parts(key: int) -> dict[str, tuple[int, ...]]:
+def _parts(model: str) -> dict[str, tuple[int, ...]]:
     return {}
 
 
@@ -125,7 +127,7 @@ def _scores(model: Model | None, texts: list[str]) -> np.ndarray:
     """P(grade > k) of each whole text."""
     if model is None:
         return np.zeros((len(texts), GRADES - 1))
-    weights, known, score = model.weights, _parts(id(model)), np.zeros(len(texts))
+    weights, known, score = model.weights, _parts(model.name), np.zeros(len(texts))
     for i, text in enumerate(texts):
         found: set[int] = set()
         for part in set(text.lower().split()):
