@@ -154,9 +154,10 @@ def surface(x: str, d: Spark = SPARK) -> str:
 
 
 def _one_of(flags: dict[str, str], several: str, d: Spark) -> str:
-    hits = " + ".join(f"case when {f} then 1 else 0 end" for f in flags.values())
-    first = " ".join(f"when {f} then '{label}'" for label, f in flags.items())
-    return f"case when {hits} > 1 then '{several}' {first} else 'unknown' end"
+    """The label whose flag alone is set; each flag is worked out once."""
+    labels = d.array([f"case when {f} then '{label}' end" for label, f in flags.items()])
+    hits = d.keep(labels, "l", "l is not null")
+    return d.at(d.map(d.array([hits]), "h", f"case when {d.size('h')} > 1 then '{several}' when {d.size('h')} = 1 then {d.at('h', 1)} else 'unknown' end"), 1)
 
 
 def intent_cue(x: str, d: Spark = SPARK) -> str:
