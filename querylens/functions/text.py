@@ -33,6 +33,7 @@ FUNCTION_WORDS = (
 TOKEN = rf"\?[A-Za-z][{WORD}']*|[{INITIAL}][{WORD}'.₀-₉]*[{WORD}'₀-₉]|[{INITIAL}]|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[^{WORD}{BLANK}]"
 IDENTIFIER = rf"\p{{L}}[{WORD}']*(?:[._][{WORD}']+)+|[a-z]+[A-Z][{WORD}']*|[A-Z][a-z]+[A-Z][{WORD}']*"
 NAME = rf"[A-Za-z][{WORD}']*(?:[._][{WORD}']+)+"
+ONLY_NAME = rf"^[{BLANK}]*(?:{NAME})[{BLANK}]*$"
 LATEX = r"\\[A-Za-z]+"
 
 
@@ -95,6 +96,11 @@ def normalized(x: str, d: Spark = SPARK, operators: bool = True) -> str:
     return collapsed(x, d)
 
 
+def once(value: str, body, d: Spark = SPARK, var: str = "v") -> str:
+    """body of a value that is worked out once, though body names it several times."""
+    return d.at(d.map(d.array([value]), var, body(var)), 1)
+
+
 def words(x: str, d: Spark = SPARK) -> str:
     """Number of words between white space."""
     return d.size(d.matches(x, f"[^{BLANK}]+"))
@@ -146,8 +152,8 @@ def measures(x: str, kinds_: str, d: Spark = SPARK) -> dict[str, str]:
 def surface(x: str, d: Spark = SPARK) -> str:
     """The surface form; the first that applies."""
     return (
-        f"case when {collapsed(x, d)} = '' then 'empty' when {d.rlike(x, PROOF)} then 'proof_state_or_statement' "
-        f"when {d.rlike(collapsed(x, d), '^(?:' + NAME + ')$')} then 'identifier_only' when {d.rlike(x, LATEX)} then 'latex_present' "
+        f"case when not {d.rlike(x, f'[^{BLANK}]')} then 'empty' when {d.rlike(x, PROOF)} then 'proof_state_or_statement' "
+        f"when {d.rlike(x, ONLY_NAME)} then 'identifier_only' when {d.rlike(x, LATEX)} then 'latex_present' "
         f"when {d.rlike(x, QUESTION)} then 'question_like' when {d.rlike(x, NAME)} then 'mixed_identifier_text' "
         f"when {d.rlike(x, SYMBOLS)} then 'symbolic_expression' else 'other_text' end"
     )
@@ -161,17 +167,21 @@ def _one_of(flags: dict[str, str], several: str, d: Spark) -> str:
 
 
 def intent_cue(x: str, d: Spark = SPARK) -> str:
-    known = d.rlike(collapsed(x, d), "^(?:" + NAME + ")$")
+    known = d.rlike(x, ONLY_NAME)
     rest = _one_of({k: d.rlike(x, p) for k, p in INTENTS.items()}, "multiple_cues", d)
     return f"case when {known} then 'known_item_candidate' else {rest} end"
 
 
 def domain_tokens(x: str, d: Spark = SPARK) -> str:
-    return d.matches(f"lower({x})", "[a-z]+")
+    """The words of all vocabularies that a text holds."""
+    every = ", ".join(d.text(w) for v in DOMAINS.values() for w in v.split())
+    return d.keep(d.matches(f"lower({x})", "[a-z]+"), "t", f"t in ({every})")
 
 
 def domain_cue(tokens_: str, d: Spark = SPARK) -> str:
-    return _one_of({k: d.meets(tokens_, d.array([d.text(w) for w in v.split()])) for k, v in DOMAINS.items()}, "multiple_domains", d)
+    """Of a list of tokens, which is worked out once."""
+    vocabularies = {k: d.meets("w", d.array([d.text(v) for v in vocabulary.split()])) for k, vocabulary in DOMAINS.items()}
+    return d.at(d.map(d.array([tokens_]), "w", _one_of(vocabularies, "multiple_domains", d)), 1)
 
 
 def bucket(n: str, bounds: tuple[int, ...]) -> str:
@@ -201,15 +211,15 @@ def profile_dimensions(x: str, packages: str, d: Spark = SPARK) -> dict[str, str
     """The thirteen dimensions that a row's text and package filter have."""
     seen = f"length({d.substitute(x, f'[{BLANK}]+', '')})"
     signs = f"length({d.substitute(x, f'[{BLANK}{WORD}.{chr(39)}]+', '')})"
-    percent = f"case when {seen} > 0 then {d.half_even(f'cast(100 * {signs} as double) / {seen}')} else 0 end"
+    percent = once(seen, lambda n: f"case when {n} > 0 then {d.half_even(f'cast(100 * {signs} as double) / {n}')} else 0 end", d, "u")
     yes = "case when {} then 'yes' else 'no' end".format
     return {
         "surface": surface(x, d),
         "intent_cue": intent_cue(x, d),
         "domain_cue": domain_cue(domain_tokens(x, d), d),
-        "words": bucket(words(x, d), (0, 2, 4, 8, 16, 32, 64, 128)),
+        "words": once(words(x, d), lambda n: bucket(n, (0, 2, 4, 8, 16, 32, 64, 128)), d),
         "characters": bucket(f"length({x})", (0, 32, 64, 128, 256, 512, 1024)),
-        "symbol_percent": bucket(percent, (0, 10, 25, 50, 75, 100)),
+        "symbol_percent": once(percent, lambda n: bucket(n, (0, 10, 25, 50, 75, 100)), d),
         "filtered": yes(f"{d.size(packages)} > 0"),
         "filter_count": bucket(d.size(d.distinct_sorted(packages)), (0, 1, 3)),
         "multiline": yes(d.rlike(x, "\\n")),

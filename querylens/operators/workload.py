@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket, length_class, nfc, normalized, profile_dimensions, surface, words
+from ..functions.text import bucket, length_class, nfc, normalized, once, profile_dimensions, surface, words
 from .gate import release
 
 REPEAT_BOUNDS, RESULT_BOUNDS = (0, 1, 2, 5, 10, 20, 50, 100), (0, 1, 5, 10, 25, 50, 100)
@@ -68,7 +68,7 @@ def windowed(rows: DataFrame) -> DataFrame:
 
 def workload_counts(rows: DataFrame) -> DataFrame:
     """(path..., category, n): counts of all measures for each window, of all sources and of each large enough one."""
-    w = with_request_key(windowed(rows)).withColumns({"surface": F.expr(surface("text")), "length": F.expr(length_class(words("text"))), "has": F.when(F.size("packages") > 0, "with_filter").otherwise("without_filter")})
+    w = with_request_key(windowed(rows)).withColumns({"surface": F.expr(surface("text")), "length": F.expr(once(words("text"), length_class)), "has": F.when(F.size("packages") > 0, "with_filter").otherwise("without_filter")})
     both = w.withColumn("channel", F.explode(F.array(F.lit("all"), F.concat(F.lit("channel:"), "source"))))
     large = both.groupBy("win", "channel").agg(F.count(F.lit(1)).alias("rows")).where(f"channel = 'all' or rows >= {CHANNEL_ROWS}")
     both = both.join(F.broadcast(large.select("win", "channel")), ["win", "channel"], "left_semi")

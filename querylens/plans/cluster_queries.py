@@ -17,7 +17,7 @@ def _points(spark, sf_dir):
     """User turns as points: a cluster from the conversation, one of five being noise."""
     kinds = views.chat(spark, sf_dir).withColumn("kinds", F.expr(text.kinds("text")))
     m = text.measures("text", "kinds")
-    return kinds.select("id", "text", F.expr("cast((id div 1000) % 5 - 1 as int)").alias("cluster"), F.expr(text.length_class(text.words("text"))).alias("category"), F.expr("if(id % 3 = 0, array('api', 'web'), array('web'))").alias("sources"), F.expr(text.skeleton("kinds")).alias("skeleton"), *(F.expr(e).alias(n) for n, e in m.items()))
+    return kinds.select("id", "text", F.expr("cast((id div 1000) % 5 - 1 as int)").alias("cluster"), F.expr(text.once(text.words("text"), text.length_class)).alias("category"), F.expr("if(id % 3 = 0, array('api', 'web'), array('web'))").alias("sources"), F.expr(text.skeleton("kinds")).alias("skeleton"), *(F.expr(e).alias(n) for n, e in m.items()))
 
 
 _POINTS = f"""{views.CHAT}, kk as (select *, {text.kinds('text', DUCK)} as kinds from chat), points as (select id, text, cast((id // 1000) % 5 - 1 as integer) as cluster, {text.length_class(text.words('text', DUCK))} as category,

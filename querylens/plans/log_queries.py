@@ -90,7 +90,7 @@ def gate_log_sources(spark, sf_dir):
 
 @query(f"with {views.LOG}, counted as (select source, {text.length_class(text.words('query', DUCK))} as category, cast(collected_on as varchar) as day, count(*) as n from log group by all), {gate.release_sql('counted', ['day'])} select * from released")
 def gate_release_offline(spark, sf_dir):
-    rows = views.log(spark, sf_dir).groupBy("source", F.expr(text.length_class(text.words("query"))).alias("category"), F.col("collected_on").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    rows = views.log(spark, sf_dir).groupBy("source", F.expr(text.once(text.words("query"), text.length_class)).alias("category"), F.col("collected_on").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return gate.release(rows, ["day"])
 
 
@@ -197,7 +197,7 @@ def rows_with_groups(spark, sf_dir):
 def counts_with_empty_bins(spark, sf_dir):
     """Counts of two ordered bins; bins without rows are kept, unknown ones are groups of their own."""
     s = _summary(spark, sf_dir)[1]
-    n = s.select(F.expr(text.binned("n_rows", *text.REPEAT_BINS)).alias("repeat_bin"), F.expr(text.binned(text.words("query"), *text.LENGTH_BINS)).alias("length_bin")).groupBy("repeat_bin", "length_bin").agg(F.count(F.lit(1)).alias("n"))
+    n = s.select(F.expr(text.binned("n_rows", *text.REPEAT_BINS)).alias("repeat_bin"), F.expr(text.once(text.words("query"), lambda n: text.binned(n, *text.LENGTH_BINS))).alias("length_bin")).groupBy("repeat_bin", "length_bin").agg(F.count(F.lit(1)).alias("n"))
     grid = spark.createDataFrame([(a, b) for a in text.REPEAT_BINS[1] for b in text.LENGTH_BINS[1]], "repeat_bin string, length_bin string")
     known = F.broadcast(grid).join(n, ["repeat_bin", "length_bin"], "left").select("repeat_bin", "length_bin", F.coalesce("n", F.lit(0)).alias("n"))
     return known.unionByName(n.where("repeat_bin is null or length_bin is null"))
