@@ -24,7 +24,7 @@ from .gray_index import GrayIndex, PatternTree, gray_rank, unite
 
 SIGN = np.uint64(1 << 63)
 #: Rows of a block of the index, and the least number of blocks (for the tasks to share).
-BLOCK_ROWS, LEAST_BLOCKS = 8192, 64
+BLOCK_ROWS, LEAST_BLOCKS = 32_768, 64
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -150,7 +150,7 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
     return sent.groupBy("block").applyInArrow(linked, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bits: int = 32, slice_radius: int = 3, radius: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bits: int = 20, slice_radius: int = 1, radius: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, f0, f1, ..., component_id.
 
     component_id is the smallest doc_id that links reach, its own included. A
@@ -159,8 +159,8 @@ def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bi
     nothing. Repeated rows come out as often as they come in. The defaults look
     for pairs whose sets of five-word shingles have a Jaccard similarity of 0.8
     or more: at 0.8 about 15 % of the 320 bits differ (48 expected; texts far
-    below that similarity differ in more than radius bits), and ten slices find
-    such a pair with a probability of about 0.96, closer pairs nearly always.
+    below that similarity differ in more than radius bits), and fifteen slices
+    find such a pair with a probability of about 0.96, closer pairs nearly always.
     """
     names = [f"f{k}" for k in range(width)]
     marked = materialize(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
