@@ -26,7 +26,7 @@ from .bpe import _UNUSUAL, tokenizer_path
 from .common import id_text, materialize
 
 #: Entries kept of parts met so far, in each worker; beyond, the table starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Pieces for each count of a length that one task ranks.
 PIECES_PER_SALT = 1_000_000
 
@@ -70,8 +70,8 @@ class PartTokenizer:
                 missing.update(parts)
         missing.difference_update(self.known)
         todo = list(missing)
-        for s in range(0, len(todo), 20_000):
-            self.known.update(zip(todo[s : s + 20_000], self._ids(todo[s : s + 20_000]), strict=True))
+        for s in range(0, len(todo), 4_000):
+            self.known.update(zip(todo[s : s + 4_000], self._ids(todo[s : s + 4_000]), strict=True))
         whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
 
