@@ -169,3 +169,40 @@ def project(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     v = Normalizer(inputCol="_v", outputCol="_u", p=2.0).transform(df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>"))))
     out = PCA(k=k, inputCol="_u", outputCol="_p").fit(v).transform(v)
     return out.select(key, *(vector_to_array("_p")[i].alias(f"p{i}") for i in range(k)))
+
+
+#: Below so many distinct queries all are one category; a category of fewer rows is not split again.
+LEAST_QUERIES, LEAST_PARENT = 50, 200
+
+
+def fit_categories(df: DataFrame, key: str, most: int = 8, rounds: int = 8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(paths (key, category), selection): two levels of stable classes, written as "2" or "2.1"; the level is tagged in the selection."""
+    if df.count() < LEAST_QUERIES:
+        return df.select(key, F.lit("1").alias("category")), df.sparkSession.createDataFrame([], "level string, categories int, bic double, ari double, min_jaccard double")
+    labels, table = select_classes(df, key, most, rounds, seed=seed)
+    paths = renumbered(labels, key)
+    selection = table.withColumn("level", F.lit("top"))
+    sizes = [(r["category"], r["n"]) for r in paths.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()]  # a handful of classes
+    for category, n in sorted(sizes) if len(sizes) > 1 else []:
+        if n < LEAST_PARENT:
+            continue
+        members = df.join(paths.where(F.col("category") == category).select(key), key)
+        inner, table = select_classes(members, key, most, rounds, seed=seed)
+        selection = selection.unionByName(table.withColumn("level", F.lit(category)))
+        if inner.select("label").distinct().count() > 1:
+            child = renumbered(inner, key).select(key, F.concat_ws(".", F.lit(category), "category").alias("child"))
+            paths = paths.join(child, key, "left").select(key, F.coalesce("child", "category").alias("category"))
+    return paths, selection
+
+
+def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: Kendall's tau-b. Pairs are counted between cells of distinct values, each weighted by its rows, not between rows."""
+    cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")).where("x is not null and y is not null")
+    w = Window.partitionBy(F.lit(1))
+    total = cells.withColumn("all", F.sum("n").over(w))
+    a, b = total.alias("a"), cells.alias("b")
+    pairs = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(F.col("a.n") * F.col("b.n") * F.signum(F.col("b.y") - F.col("a.y"))).alias("s"))
+    n = cells.agg(F.sum("n").alias("n"))
+    tx = cells.groupBy("x").agg(F.sum("n").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("tx"))
+    ty = cells.groupBy("y").agg(F.sum("n").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("ty"))
+    return pairs.crossJoin(n).crossJoin(tx).crossJoin(ty).select(F.expr("s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty))").alias("tau"))

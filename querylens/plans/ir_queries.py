@@ -238,3 +238,14 @@ def variant_grid(spark, sf_dir):
     """Each query under each variant: tiny tables, all of fixed size but the stated queries."""
     grid = spark.createDataFrame([(d, z, b) for d in (0, 50, 100) for z in (True, False) for b in (True, False)], "depth int, exclude_zero boolean, boost boolean")
     return _searches(spark, sf_dir).select("q").crossJoin(F.broadcast(grid))
+
+
+@query(f"with {_BM25}, every as (select q, id, coalesce(score, 0) as score from searches cross join corpus left join bm using (q, id)), r as (select *, row_number() over (partition by q order by score desc, id) as rank from every qualify rank <= 200) select q, count(*) as candidates, count(*) filter (where score > 0) as positive, count(*) filter (where score = 0) as zero, min(rank) filter (where id % 7 = 0) as target_rank from r group by q")
+def lexical_audit(spark, sf_dir):
+    """For each query: candidates, how many score above zero and how many do not, and the rank of the first target."""
+    q, d = _searches(spark, sf_dir), _docs(spark, sf_dir)
+    scored = retrieval.bm25(q, d, 200).select("q", "id", "score")
+    # documents without a query word follow in the order of their ids: 200 for each query are enough, and there are at most 200 better ones
+    rest = d.select("id").orderBy("id").limit(400).crossJoin(F.broadcast(q.select("q"))).join(scored.select("q", "id"), ["q", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    ranked = retrieval._top(scored.unionByName(rest.select("q", "id", "score")), "q", "score", "id", 200)
+    return ranked.groupBy("q").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("score") == 0).alias("zero"), F.min(F.when(F.col("id") % 7 == 0, F.col("rank"))).cast("long").alias("target_rank"))

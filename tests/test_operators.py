@@ -173,3 +173,26 @@ def test_tokens_and_payloads(spark):
     assert [g and (g["q"], g["pkg"]) for g in got] == [("x", ["a"]), None, None, ("y", []), None]
     assert df.select(log.decrypted("t", other)).distinct().first()[0] is None
     assert df.select(log.decrypted("p", key)).distinct().first()[0] is None
+
+
+def test_kendall(spark):
+    d = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, 4), (4, 5), (5, 5)], "a int, b int")
+    pairs = list(itertools.combinations([tuple(r) for r in d.collect()], 2))
+    sign = [((p[0] > q[0]) - (p[0] < q[0])) * ((p[1] > q[1]) - (p[1] < q[1])) for p, q in pairs]
+    tied = [sum(p[i] == q[i] for p, q in pairs) for i in (0, 1)]
+    want = sum(sign) / ((len(pairs) - tied[0]) * (len(pairs) - tied[1])) ** 0.5
+    assert clusters.kendall(d, "a", "b").first()["tau"] == pytest.approx(want)
+
+
+def test_prepare(spark):
+    rows = [(i, f"Nat.add_{i % 30}", ["p"] if i % 2 else [], "web" if i % 3 else "api", i % 4, "2024-01-01") for i in range(90)]
+    log_ = spark.createDataFrame(rows, "row_id long, query string, packages array<string>, source string, result_count long, collected_on string")
+    rows_, one = groups.prepare(log_, threshold=1.0)
+    assert rows_.count() == 90 and one.count() == 30 and rows_.where("in_repeated_group").count() == 90
+    assert {r["skeleton"] for r in one.collect()} == {"ID"} and {r["repeat_bin"] for r in one.collect()} == {"3–5"}
+
+
+def test_few_queries_are_one_category(spark):
+    d = spark.createDataFrame([(i,) for i in range(10)], "id int")
+    paths, selection = clusters.fit_categories(d, "id")
+    assert {r["category"] for r in paths.collect()} == {"1"} and selection.count() == 0
