@@ -29,8 +29,11 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document, with its place in a training sequence."""
-    return packing.pack(docs)
+    """One row for each piece of a document, with its place in a training sequence.
+
+    The workers still hold other stages' tables, so they remember fewer parts.
+    """
+    return packing.pack(docs, remembered=400_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash_near_dedup", drop_near_copies), ("pii", mask_private), ("packing", pack_sequences)]

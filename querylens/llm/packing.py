@@ -26,7 +26,7 @@ from .bpe import _UNUSUAL, tokenizer_path
 from .common import id_text, materialize
 
 #: Entries kept of parts met so far, in each worker; beyond, the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Pieces for each count of a length that one task ranks.
 PIECES_PER_SALT = 1_000_000
 
@@ -41,13 +41,14 @@ class PartTokenizer:
     without a change of its ids. Any other text goes to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
         self.feed = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -56,7 +57,7 @@ class PartTokenizer:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut: list[list[str] | None] = []
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known = {}
         missing: set[str] = set()
         for t in texts:
@@ -77,16 +78,16 @@ class PartTokenizer:
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str) -> PartTokenizer:
-    return PartTokenizer(path)
+def _tokenizer(path: str, remembered: int = REMEMBERED) -> PartTokenizer:
+    return PartTokenizer(path, remembered)
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if over capacity; a first piece takes what is left over."""
     end = np.array([end_id], "<u4").tobytes()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _tokenizer(path or tokenizer_path())
+        library = _tokenizer(path or tokenizer_path(), remembered)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -214,7 +215,7 @@ def intervals(patterns: Counter[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     All texts are packed, a null text as an empty one (its end id alone). No
@@ -223,7 +224,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
     null doc_id like any other. Extra columns are not read; an empty table gives
     an empty result.
     """
-    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col, remembered), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     rows = intervals(plan(histogram, capacity))
     salts = max(64, -(-sum(histogram.values()) // PIECES_PER_SALT))
