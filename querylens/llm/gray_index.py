@@ -91,3 +91,21 @@ def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while not np.array_equal(up := label[label], label):
             label[:] = up
+
+
+def spanning(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Merges classes like unite(), and gives the pairs (u[i], v[i]) that did so: a spanning forest."""
+    out = []
+    while True:
+        apart = label[u] != label[v]
+        if not apart.any():
+            return out
+        u, v = u[apart], v[apart]
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        high, first = np.unique(high, return_index=True)
+        label_of = np.arange(label.max() + 1)
+        label_of[high] = low[first]
+        out.append((u[first], v[first]))
+        while not np.array_equal(up := label_of[label_of], label_of):
+            label_of = up
+        label[:] = label_of[label]

@@ -6,6 +6,8 @@ Gray order; the blocks' shared bits form the upper nodes of the index, a small
 table by which each fingerprint is sent only to the blocks that it can match.
 Inside a block a task searches its own hierarchical index and sends back a
 spanning forest of the links that it has found, never the pairs themselves.
+Near-copies by set similarity take two rounds: the index only proposes pairs,
+and each is verified by the exact Jaccard similarity before it is an edge.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, materialize
 from .components import connected_components
-from .gray_index import GrayIndex, PatternTree, gray_rank, unite
+from .gray_index import GrayIndex, PatternTree, gray_rank, spanning, unite
 
 SIGN = np.uint64(1 << 63)
 #: Rows of a block of the index, and the least number of blocks (for the tasks to share).
@@ -73,15 +75,21 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, id_col: str =
     return rows.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int) -> DataFrame:
+def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0) -> DataFrame:
     """Edges (a, b) that connect exactly the classes (node, f0, f1, ...) which links connect.
 
     A link: some slice of slice_bits differs in slice_radius bits at most, and
     all bits together in radius bits at most. With one slice that holds all
     bits both are the same, and the result is exact.
+
+    With propose the classes have n, the size of their set, and part as well,
+    and the edges are links themselves, between sets of which the smaller has
+    at least ratio of the larger's size: "forest" gives those that span each
+    block, near ones first, "all" every link between different parts, once.
     """
     per_word = 64 // slice_bits
     tables, names = width * per_word, [f"f{k}" for k in range(width)]
+    more = ["n", "part"] if propose else []
     mask = np.uint64(2**slice_bits - 1)
 
     def code(columns: list[np.ndarray], t: int) -> np.ndarray:
@@ -119,7 +127,7 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
 
     def routed(batches):
         for batch in batches:
-            f, node = words(batch), batch.column("node").to_numpy()
+            f, node, extra = words(batch), batch.column("node").to_numpy(), [batch.column(x).to_numpy() for x in more]
             for t in range(tables):
                 c = code(f, t)
                 home = np.searchsorted(bounds[t], (gray_rank(c) ^ SIGN).view(np.int64), "right")
@@ -129,7 +137,7 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
                     q = q + s
                     there = b >= home[q]  # a pair of blocks meets in the later one
                     q, b = q[there], b[there]
-                    yield pa.RecordBatch.from_arrays([pa.array((b * tables + t).astype(np.int32)), pa.array(b == home[q]), pa.array(node[q]), *(pa.array(x[q].view(np.int64)) for x in f)], ["block", "home", "node", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array((b * tables + t).astype(np.int32)), pa.array(b == home[q]), pa.array(node[q]), *(pa.array(x[q].view(np.int64)) for x in f), *(pa.array(x[q]) for x in extra)], ["block", "home", "node", *names, *more])
 
     def linked(key, rows):
         t = key[0].as_py() % tables
@@ -146,8 +154,34 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
         out = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": node[out], "b": node[label[out]]})
 
-    sent = classes.mapInArrow(routed, "block int, home boolean, node long, " + ", ".join(f"{x} long" for x in names))
-    return sent.groupBy("block").applyInArrow(linked, "a long, b long")
+    def proposed(key, rows):
+        t = key[0].as_py() % tables
+        node, n, part = (rows.column(x).to_numpy() for x in ("node", *more))
+        is_home = rows.column("home").to_numpy(zero_copy_only=False)
+        f, home = [rows.column(x).to_numpy().view(np.uint64) for x in names], np.flatnonzero(is_home)
+        c, label, found = code(f, t), np.unique(part, return_inverse=True)[1], []
+        for q, at in GrayIndex(c[home]).search(c, slice_radius) if len(home) else ():
+            at = home[at]
+            ok = (label[q] != label[at]) & (~is_home[q] | (node[q] < node[at])) & (np.minimum(n[q], n[at]) >= ratio * np.maximum(n[q], n[at]) - 1e-9)
+            q, at = q[ok], at[ok]
+            apart = sum(np.bitwise_count(x[q] ^ x[at]).astype(np.int32) for x in f)
+            ok = apart <= radius
+            q, at, apart = q[ok], at[ok], apart[ok]
+            if propose == "forest":
+                for most in (radius // 4, radius // 2, radius * 3 // 4, radius):
+                    ok = apart <= most
+                    found += spanning(label, q[ok], at[ok])
+            else:
+                for u in range(t):  # a pair that an earlier slice has found too is that slice's
+                    x = code(f, u)
+                    ok = np.bitwise_count(x[q] ^ x[at]) > slice_radius
+                    q, at = q[ok], at[ok]
+                found.append((q, at))
+        a, b = (np.concatenate([node[:0], *(node[x[k]] for x in found)]) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    sent = classes.mapInArrow(routed, "block int, home boolean, node long, " + ", ".join(f"{x} long" for x in (*names, *more)))
+    return sent.groupBy("block").applyInArrow(proposed if propose else linked, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bits: int = 20, slice_radius: int = 1, radius: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,11 +190,8 @@ def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bi
     component_id is the smallest doc_id that links reach, its own included. A
     null text counts as empty; texts without a word have the fingerprint zero,
     linked like any other. Rows with a null doc_id get a null component and link
-    nothing. Repeated rows come out as often as they come in. The defaults look
-    for pairs whose sets of five-word shingles have a Jaccard similarity of 0.8
-    or more: at 0.8 about 15 % of the 320 bits differ (48 expected; texts far
-    below that similarity differ in more than radius bits), and fifteen slices
-    find such a pair with a probability of about 0.96, closer pairs nearly always.
+    nothing. Repeated rows come out as often as they come in. Links are those of
+    the fingerprints alone; near_components() verifies them.
     """
     names = [f"f{k}" for k in range(width)]
     marked = materialize(fingerprints(docs, words, width, id_col, text_col), "fingerprints")
@@ -171,12 +202,69 @@ def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bi
     return known.join(classes, names).select("doc_id", *names, "component_id").union(marked.where("doc_id is null").select("doc_id", *names, F.lit(None).cast("long").alias("component_id")))
 
 
+def _set_key(h: np.ndarray) -> int:
+    """A hash of a sorted set of hashes, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42)).view(np.int64))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets of shingles have a Jaccard similarity of threshold or more.
+
+    Only the texts that some pair needs are read again, by their smallest id.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["node", "s"])
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = classes.join(needed, "node").select("doc_id").distinct()
+    found = rows.join(ids, "doc_id").select("text").mapInArrow(sets, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
+    found = materialize(found.join(needed, "node", "left_semi"), "sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold).select("a", "b")
+
+
+def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, width: int = 5, slice_bits: int = 20, slice_radius: int = 2, radius: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id (the smallest doc_id that links reach) of each row with an id.
+
+    A link: the sets of five-word shingles have a Jaccard similarity of
+    threshold or more, decided exactly. Which pairs are looked at the index over
+    320-bit fingerprints of the sets proposes. Equal sets are one class. A forest
+    of proposals is verified first; then all proposals between the components
+    that this has left, so that large groups do not bring all of their pairs.
+    """
+    names = [f"f{k}" for k in range(width)]
+
+    def of(batches):
+        for batch in batches:
+            h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            f = np.array([fingerprint(shingle_hashes(t, words), width) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_set_key(x) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int64()), *(pa.array(f[:, k].view(np.int64)) for k in range(width))], ["doc_id", "node", "n", *names])
+
+    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    marked = materialize(rows.mapInArrow(of, "doc_id long, node long, n long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
+    classes = materialize(marked.groupBy("node", "n", *names).agg(F.min("doc_id").alias("doc_id")), "classes")
+    linked = None
+    for propose in ("forest", "all"):
+        parts = classes if linked is None else classes.join(connected_components(linked), "node", "left").withColumn("part", F.coalesce("component", "node"))
+        parts = materialize(parts.select("node", *names, "n", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
+        pairs = materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold).distinct(), "proposed")
+        good = materialize(_verified(pairs, classes, rows, words, threshold), "verified")
+        linked = good if linked is None else linked.union(good)
+    found = classes.select("node", "doc_id").join(connected_components(linked), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return marked.select("doc_id", "node").join(found.select("node", "root"), "node").join(least, "root").select("doc_id", "component_id")
+
+
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, one document (that with the smallest id) of each group of near-duplicates.
 
     Rows with a null id stay; where an id stands for several texts, its rows go
     only if each of them has to.
     """
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **how).where("doc_id is not null")
+    found = near_components(docs, id_col=id_col, text_col=text_col, **how)
     gone = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -159,3 +159,39 @@ def test_embeddings_against_brute_force(spark):
 
 def test_embeddings_empty(spark):
     assert embeddings.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def exact_kept(texts, threshold=0.8):
+    """Indices that stay of texts, by the exact Jaccard similarity of all pairs."""
+    s = []
+    for t in texts:
+        w = t.translate(UPPER).split()
+        s.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(s)))
+    for _ in s:  # labels spread along links until nothing changes
+        new = [min([root[i], *(root[j] for j in range(len(s)) if j != i and (s[i] == s[j] or len(s[i] & s[j]) / len(s[i] | s[j]) >= threshold))]) for i in range(len(s))]
+        if new == root:
+            break
+        root = new
+    return [i for i in range(len(s)) if root[i] == i]
+
+
+def mutated(rng, base, changes):
+    w = base.split()
+    for i in rng.sample(range(len(w)), changes):
+        w[i] = f"x{rng.random()}"
+    return " ".join(w)
+
+
+def test_near_copies_are_verified_exactly(spark):
+    rng = random.Random(7)
+    texts = []
+    for k in range(60):  # pairs on both sides of 0.8, a large group of near copies, and a chain
+        base = " ".join(f"w{k}_{i}" for i in range(150 + 3 * k))
+        texts += [base, mutated(rng, base, 1 + k % 8)]
+    hub = " ".join(f"hub{i}" for i in range(200))
+    texts += [mutated(rng, hub, 2) for _ in range(60)] + ["", " ", "one two", "ONE  two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.near_deduplicated(df).collect())
+    want = exact_kept(texts)
+    assert kept == want and 60 < len(want) < 120
