@@ -215,8 +215,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
 
     def sets(batches):
         for batch in batches:
-            h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["node", "s"])
+            for i in range(0, len(batch), 256):
+                h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").slice(i, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["node", "s"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = classes.join(needed, "node").select("doc_id").distinct()
@@ -238,11 +239,14 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, wid
     """
     names = [f"f{k}" for k in range(width)]
 
+    def row(text):
+        h = np.unique(shingle_hashes(text, words))
+        return _set_key(h), len(h), *fingerprint(h, width).view(np.int64).tolist()
+
     def of(batches):
         for batch in batches:
-            h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            f = np.array([fingerprint(shingle_hashes(t, words), width) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_set_key(x) for x in h], pa.int64()), pa.array([len(x) for x in h], pa.int64()), *(pa.array(f[:, k].view(np.int64)) for k in range(width))], ["doc_id", "node", "n", *names])
+            made = np.array([row(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 2 + width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, k]) for k in range(2 + width))], ["doc_id", "node", "n", *names])
 
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     marked = materialize(rows.mapInArrow(of, "doc_id long, node long, n long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")

@@ -195,3 +195,16 @@ def test_near_copies_are_verified_exactly(spark):
     kept = sorted(r["doc_id"] for r in simhash.near_deduplicated(df).collect())
     want = exact_kept(texts)
     assert kept == want and 60 < len(want) < 120
+
+
+def test_repeated_lines_do_not_outvote_the_rest(spark):
+    rng = random.Random(9)
+    line = " ".join(f"menu{i}" for i in range(13))
+    own = [" ".join(f"d{k}_{i}" for i in range(100)) for k in range(6)]
+    clean = [f"{t} " + " ".join([line] * 20) for t in own]  # one line 20 times, a set similarity of 0.06
+    long = [" ".join(f"e{k}_{i}" for i in range(400)) for k in range(6)]
+    once = [f"{t} {line} {line}" for t in long]
+    often = [f"{mutated(rng, t, 1)} " + " ".join([line] * 200) for t in long]  # the same sets but for a few shingles
+    texts = clean + once + often
+    kept = sorted(r["doc_id"] for r in simhash.near_deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert kept == exact_kept(texts) == list(range(12))
