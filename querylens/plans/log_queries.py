@@ -266,6 +266,43 @@ def distinct_queries_near(spark, sf_dir):
     return grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("normalized").alias("n_variants"), F.min_by("normalized", "row_id").alias("first_text"))
 
 
+#: Near-duplicates of the whole log, at the reference's threshold; the SQL compares all pairs, which suits small tables only.
+NEAR = 0.8
+_LOG_PAIRS = f"""{views.LOG}, g as (select *, {_norm_sql('query', True)} as normalized from log), first as (select normalized, min(row_id) as node from g group by all),
+    one as (select distinct source, collected_on, normalized from g),
+    s as (select node as id, source, collected_on, case when length(normalized) <= 4 then [normalized] else list_distinct(list_transform(range(1, length(normalized) - 2), lambda i: substr(normalized, i, 4))) end as s from one join first using (normalized)),
+    sized as (select *, len(s) as n from s),
+    met as (select a.id as a, b.id as b, a.n as na, b.n as nb, len(list_intersect(a.s, b.s)) as common from sized a join sized b on a.source = b.source and a.collected_on = b.collected_on and a.id < b.id and least(a.n, b.n) >= 0.79 * greatest(a.n, b.n)),
+    pairs as (select distinct a, b, common::double / (na + nb - common) as similarity from met where common::double / (na + nb - common) >= {NEAR})"""
+_LOG_GROUPS = f"""{_LOG_PAIRS}, sym as (select a, b from pairs union select b, a from pairs), reach as (select node as a, node as b from first union select reach.a, sym.b from reach join sym on reach.b = sym.a),
+    root as (select a as node, min(b) as root from reach group by a), ids as (select node, dense_rank() over (order by root) - 1 as group_id from root),
+    rows_ as (select g.*, group_id from g join first using (normalized) join ids using (node))"""
+
+
+def _near_groups(spark, sf_dir):
+    return groups.assign_groups(views.log(spark, sf_dir), threshold=NEAR)
+
+
+@query(f"with {_LOG_PAIRS} select a, b, round(similarity, 9) as similarity from pairs")
+def log_near_pairs(spark, sf_dir):
+    """Pairs of distinct texts of one source and day, each by its first row, with a Jaccard similarity of 0.8 or more."""
+    marked = groups.with_normal_form(views.log(spark, sf_dir))
+    first = marked.groupBy("normalized").agg(F.min("row_id").alias("id"))
+    texts = marked.select("normalized", "source", "collected_on").distinct().join(first, "normalized")
+    return groups.similar_pairs(texts, ["source", "collected_on"], NEAR).select("a", "b", F.round("similarity", 9).alias("similarity")).distinct()
+
+
+@query(f"with recursive {_LOG_GROUPS} select row_id, group_id from rows_")
+def log_near_groups(spark, sf_dir):
+    return _near_groups(spark, sf_dir).select("row_id", "group_id")
+
+
+@query(f"with recursive {_LOG_GROUPS} select group_id, count(*) as n_rows, count(distinct normalized) as n_variants, count(distinct collected_on) as n_days, arg_min(normalized, row_id) as first_text from rows_ group by group_id")
+def log_near_summary(spark, sf_dir):
+    grouped = _near_groups(spark, sf_dir)
+    return grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("normalized").alias("n_variants"), F.countDistinct("collected_on").alias("n_days"), F.min_by("normalized", "row_id").alias("first_text"))
+
+
 @query(f"""with {views.LOG}, f as (select source, {_norm_sql('query', False)} as norm, {DUCK.distinct_sorted('packages')} as filters, arg_min(query, row_id) as query from log group by all),
     s as (select source, {text.surface('query', DUCK)} as surface, count(*) as n from f group by all), slots as (select source, surface, n, unnest(range(1, n + 1)) as slot from s),
     taken as (select source, surface from slots order by slot, source, surface limit 150)
