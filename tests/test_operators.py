@@ -196,3 +196,11 @@ def test_few_queries_are_one_category(spark):
     d = spark.createDataFrame([(i,) for i in range(10)], "id int")
     paths, selection = clusters.fit_categories(d, "id")
     assert {r["category"] for r in paths.collect()} == {"1"} and selection.count() == 0
+
+
+def test_groups_default_to_the_references_threshold(spark):
+    a = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(1, a, [], "web", 1, "2024-01-01"), (2, a + "!?#$", [], "web", 1, "2024-01-01"), (3, a + "=+<>;:&%@()", [], "web", 1, "2024-01-01")]  # similarities 33/37 and 33/44
+    log_ = spark.createDataFrame(rows, "row_id long, query string, packages array<string>, source string, result_count long, collected_on string")
+    assert {r["row_id"]: r["group_id"] for r in groups.assign_groups(log_).collect()} == {1: 0, 2: 0, 3: 1}
+    assert sorted(r["n_rows"] for r in groups.prepare(log_)[1].collect()) == [1, 2]
