@@ -137,14 +137,18 @@ def compare_paired_effect(spark, sf_dir):
     return _rounded(inference.effect(_pair(spark, sf_dir)))
 
 
+#: Resamples, as many as the reference takes.
+SAMPLES = 10_000
+
+
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return inference.bootstrap_interval(_pair(spark, sf_dir), samples=200)
+    return inference.bootstrap_interval(_pair(spark, sf_dir), samples=SAMPLES)
 
 
 @query()
 def sign_randomization(spark, sf_dir):
-    return inference.sign_randomization(_pair(spark, sf_dir), samples=200)
+    return inference.sign_randomization(_pair(spark, sf_dir), samples=SAMPLES)
 
 
 @query("""with p as (select p_partkey as id, p_brand as family, (p_partkey * 37 % 1009) / 2018.0::double as p from part), r as (select *, row_number() over (partition by family order by p, id) as r, count(*) over (partition by family) as m from p)
