@@ -8,6 +8,7 @@ from ..catalog import query
 from ..functions import text
 from ..functions.dialect import DUCK
 from ..operators import clusters
+from ..shared import materialize
 from . import views
 
 _LANGS = ("de", "en", "es", "fr")
@@ -97,10 +98,9 @@ def skeleton_tfidf(spark, sf_dir):
 
 @query()
 def gmm_categories(spark, sf_dir):
-    """Style categories by a seeded mixture over the standardised measures."""
-    features = clusters.style_features(_points(spark, sf_dir))
-    labels = clusters.mixture(features, 3, restarts=1).transform(features).select("id", "label")
-    return clusters.renumbered(labels, "id")
+    """Style categories over the standardised measures: two levels of the largest stable numbers of classes."""
+    features = materialize(clusters.style_features(_points(spark, sf_dir)).select("id", "features"), "style")
+    return clusters.fit_categories(features, "id")[0]
 
 
 @query()
