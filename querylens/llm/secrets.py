@@ -78,7 +78,9 @@ def _walk(items) -> tuple[set[str] | None, Query]:
         if name == "LITERAL":
             strings = {chr(arg).lower()}
         elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
-            strings = {chr(c).lower() for o, a in arg for c in ([a] if str(o) == "LITERAL" else range(a[0], min(a[1], a[0] + MOST_SPELT) + 1))}
+            ranges = [(a, a) if str(o) == "LITERAL" else a for o, a in arg]
+            if all(high - low < MOST_SPELT for low, high in ranges):  # a wider class is not spelt out
+                strings = {chr(c).lower() for low, high in ranges for c in range(low, high + 1)}
         elif name == "SUBPATTERN":
             strings, inner = _walk(arg[-1])
             must.append(inner)
