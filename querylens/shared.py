@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,13 @@ _OWN_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (a single machine, as in
-    tests) a temporary folder of our own stands in for it.
+    Only on a single machine where ``spark.checkpoint.dir`` is unset, as in
+    tests, a temporary folder of our own stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_DIRS:
             _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="querylens-")
