@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -21,15 +20,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import Remembered, held_by_worker, id_text, texts
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies, with Unicode's White_Space written out.
 SPACE = r"[\t-\r \x85\xa0  -     　]"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{SPACE})[^\p{{L}}\p{{N}}])+|{SPACE}+(?!(?!{SPACE})[\s\S])|{SPACE}+"
 #: White space other than a single blank or line feed between words.
 _UNUSUAL = ["  ", " \n", "\n ", "\n\n", *map(chr, (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
-#: Entries kept of words met so far, in each worker; beyond, a table starts anew.
-REMEMBERED = 500_000
+#: Bytes of words that a worker keeps in either half of a table, and pairs whose fit it keeps; beyond, these start anew.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 40 << 20, 200_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,18 +38,6 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Remembered(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
-
-
 class Bpe:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
@@ -80,9 +67,8 @@ class Bpe:
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find = regex.compile(WORD).findall
         self.fits: dict[int, bool] = {}
-        self.word = _Remembered(self._word)
-        self.blank = _Remembered(lambda part: self._lines(part, " "))
-        self.plain = _Remembered(lambda part: self._lines(part, ""))
+        self.word = Remembered(self._word, REMEMBERED_BYTES // 8)
+        self.blank = Remembered(self._after_blank, REMEMBERED_BYTES)
         # offset table: token id -> its place in one string of all tokens' bytes
         by_id = {vocab[t]: raw[t] for t in vocab} | {i: s.encode() for s, i in self.special.items()}
         self.at = np.zeros(max(by_id) + 2, np.int64)
@@ -113,54 +99,47 @@ class Bpe:
 
     def tokens(self, s: str) -> list[int]:
         """The tokens, numbered in merge order, of a word given as one character a byte."""
-        n, size, shorter, fits = len(s), self.size, self.shorter, self.fits
-        longest = [0] * n
-        for end, t in self.automaton.iter(s):
-            longest[end + 1 - size[t]] = t  # ends grow, so the last is the longest
-        t = longest[0]
-        if size[t] == n:
-            return [t]
+        n, size, shorter, fits, longest = len(s), self.size, self.shorter, self.fits, self.automaton.iter_long
         out: list[int] = []
         dead: set[int] = set()  # places from which the rest has no valid tokens
-        at, last = 0, -1
+        at, last, matches = 0, -1, longest(s)
         while at < n:
-            end = at + size[t]
-            if end not in dead:
+            t = first = next(matches)[1]  # every byte is a token, so the next match begins here
+            while True:
+                end = at + size[t]
                 if last < 0:
                     ok = True
-                elif (ok := fits.get(last << 32 | t)) is None:
-                    if len(fits) >= REMEMBERED:
+                elif (ok := fits.get(last << 20 | t)) is None:
+                    if len(fits) >= REMEMBERED_PAIRS:
                         fits.clear()
-                    ok = fits[last << 32 | t] = self._compatible(last, t)
-                if ok:
-                    out.append(t)
-                    at, last = end, t
-                    if at < n:
-                        t = longest[at]
-                    continue
-            if shorter[t] >= 0:
+                    ok = fits[last << 20 | t] = self._compatible(last, t)
+                if ok and end not in dead:
+                    break
                 t = shorter[t]
-            else:
-                dead.add(at)
-                t = out.pop()
-                at -= size[t]
-                last = out[-1] if out else -1
+                while t < 0:  # nothing fits here: the token before is taken back
+                    dead.add(at)
+                    t = out.pop()
+                    at -= size[t]
+                    t = shorter[t]
+                    last, first = out[-1] if out else -1, -1
+            out.append(t)
+            at, last = end, t
+            if t != first:
+                matches = longest(s, at)
         return out
 
     def _word(self, word: str) -> bytes:
         ids = self.ids
         return b"".join([ids[t] for t in self.tokens(word if word.isascii() else word.encode("utf-8").decode("latin-1"))])
 
-    def _lines(self, part: str, lead: str) -> bytes:
-        word = self.word
+    def _after_blank(self, part: str) -> bytes:
+        """Of what stands between two blanks, with the first of them."""
         if part.isalpha():
-            return word[lead + part]
+            return self._word(" " + part)
         if part[-1:] in (",", ".") and part[:-1].isalpha():
-            return word[lead + part[:-1]] + word[part[-1]]
-        if "\n" not in part:
-            return b"".join([word[w] for w in self.find(lead + part)])
-        first, *rest = part.split("\n")
-        return (self.blank if lead else self.plain)[first] + b"".join([word["\n"] + self.plain[x] for x in rest])
+            return self.blank[part[:-1]] + self.word[part[-1]]
+        word = self.word
+        return b"".join([word[w] for w in self.find(" " + part)])
 
     def _piece(self, text: str) -> bytes:
         if not text:
@@ -168,8 +147,12 @@ class Bpe:
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNUSUAL):
             return b"".join(map(self.word.__getitem__, self.find(text)))
         # a word takes the blank before it and never one after it: cut there
-        first, *rest = text.split(" ")
-        return self.plain[first] + b"".join(map(self.blank.__getitem__, rest))
+        lines = []
+        word, feed, blank = self.word, self.word["\n"], self.blank.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(b"".join([*(word[w] for w in self.find(first)), *map(blank, rest)]))
+        return feed.join(lines)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; special tokens only where their strings stand in the text."""
@@ -184,10 +167,9 @@ class Bpe:
         return self.bytes[place].tobytes().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """The encoder of a file, once for each worker process."""
-    return Bpe(path)
+    return held_by_worker(("bpe", path), lambda: Bpe(path))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -203,7 +185,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or tokenizer_path())
         for batch in batches:
-            ids = [np.frombuffer(bpe.encode(t), "<i4") for t in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(bpe.encode(t), "<i4") for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = id_text(docs, id_col, text_col)
@@ -234,7 +216,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         bpe = load(path or tokenizer_path())
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in batch.column("text").to_pylist():
+            for t in texts(batch.column("text")):
                 ids = bpe.encode(t)
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())

@@ -1,52 +1,53 @@
-"""What the operators share: the shared folder, lineage cuts and table access."""
+"""What the operators share: table access, texts of a batch, and the one large table of a worker."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from sys import getsizeof
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from ..shared import drop_table, materialize, new_folder  # noqa: F401
 
+_HELD: dict[Any, Any] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (a single machine, as in
-    tests) a temporary folder of our own stands in for it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="querylens-")
-        base = _OWN_DIRS[app]
-    return base.rstrip("/")
+def held_by_worker(name: Any, make: Callable[[], Any]) -> Any:
+    """What an operator keeps from batch to batch in a Python worker; what another one has kept there goes."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/querylens/{label}-{uuid.uuid4().hex}"
+class Remembered(dict):
+    """Values made of their keys, those that were asked for lately: at twice the given bytes the older half goes."""
 
+    def __init__(self, make: Callable[[str], Any], most: int):
+        super().__init__()
+        self.make, self.most, self.held, self.older = make, most, 0, {}
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    read = spark.read.schema(df.schema).parquet(path)
-    read._querylens_path = path
-    return read
+    def __missing__(self, key: str) -> Any:
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        size = 100 + getsizeof(key) + getsizeof(out)  # and a place in the table
+        if size > 1000:  # no word; it will hardly be met again
+            return out
+        if self.held + size > self.most:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += size
+        self[key] = out
+        return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_querylens_path", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a column one by one (a batch is bounded in bytes, so only one text more is held); null as empty."""
+    return (t.as_py() or "" for t in column)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .components import connected_components
+from ..operators.components import connected_components
 from .gray_index import unite
 
 #: Leading dimensions of the grid, vectors of a block and of an interval that is not halved any more.

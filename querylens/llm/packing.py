@@ -2,132 +2,126 @@
 
 Lengths are counted into a histogram, which has one cell for each length that
 fits and so never grows. Its linear program has a variable for each way to
-fill a sequence; multiplicative weights raise the prices of lengths that are
-not covered yet, and a knapsack dynamic program finds the best way to fill a
-sequence at these prices. The fractional plan is rounded down, filled up and
-completed by best fit. The plan, a bounded table of intervals, then tells each
-piece its sequence and offset from its rank among the pieces of its length.
+fill a sequence. Multiplicative weights solve it: each length's weight falls
+by a factor with each share of it that is covered, and a knapsack dynamic
+program finds, for each length at once, the best way to fill a sequence that
+holds it at these prices. What the solution uses whole times is taken, the
+rest is solved again, and the little that no whole use is left for goes by
+best fit. The plan, a bounded table of intervals, then tells each piece its
+sequence and offset from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _UNUSUAL, tokenizer_path
-from .common import id_text, materialize
+from .bpe import load, tokenizer_path
+from .common import drop_table, id_text, materialize, texts
 
-#: Entries kept of parts met so far, in each worker; beyond, the table starts anew.
-REMEMBERED = 700_000
-#: Pieces for each count of a length that one task ranks.
-PIECES_PER_SALT = 1_000_000
+#: Pieces for each count of a length that one task ranks, and pieces of a batch.
+PIECES_PER_SALT, PIECES_PER_BATCH = 1_000_000, 4_096
+#: The weights' rate, how far below the best price a configuration may stay, and the least share of a solution that another round must take.
+RATE, SLACK, LEAST_SHARE = 0.1, 0.002, 0.05
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), the longest first
 
 
-class PartTokenizer:
-    """A file of the tokenizers library whose results are kept for parts between blanks.
-
-    A word of a byte-level vocabulary takes the blank before it and never one
-    after it, so a text with single blanks and line feeds only can be cut there
-    without a change of its ids. Any other text goes to the library as a whole.
-    """
-
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.remembered = remembered
-        self.feed = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        if len(self.known) > self.remembered:
-            self.known = {}
-        missing: set[str] = set()
-        for t in texts:
-            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in _UNUSUAL) or any(s in t for s in self.special):
-                cut.append(None)
-                continue
-            # a part is what follows a blank (kept with it) or a line feed (kept without)
-            parts = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in t else None
-            cut.append(parts)
-            if parts:
-                missing.update(parts)
-        missing.difference_update(self.known)
-        todo = list(missing)
-        for s in range(0, len(todo), 4_000):
-            self.known.update(zip(todo[s : s + 4_000], self._ids(todo[s : s + 4_000]), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.known.__getitem__, c)) for c in cut]
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str, remembered: int = REMEMBERED) -> PartTokenizer:
-    return PartTokenizer(path, remembered)
-
-
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if over capacity; a first piece takes what is left over."""
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = _tokenizer(path or tokenizer_path(), remembered)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(library.encode_batch(batch.column("text").to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        row.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        bpe = load(path or tokenizer_path())
+        for batch in batches:
+            made: list[tuple[int, int, int, int, int]] = []
+
+            def flushed(made=made, batch=batch) -> pa.RecordBatch:
+                row, *rest = zip(*made, strict=True)
+                made.clear()
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rest[1:])], names)
+
+            for i, text in enumerate(texts(batch.column("text"))):
+                ids = bpe.encode(text) + end
+                n = len(ids) // 4
+                cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
+                made += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                if len(made) >= PIECES_PER_BATCH:
+                    yield flushed()
+            if made:
+                yield flushed()
 
     rows = id_text(docs, id_col, text_col)
     return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack: the sizes (ascending) that fit into capacity at the highest total price."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], took[c] = best[c - 1], 0
-        if k := fit[c]:
-            value = best[c - sizes[:k]] + price[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], took[c] = value[i], sizes[i]
-    out: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= int(took[c])
+def _fillings(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over lengths at these prices: the best total for each room, and the length that it takes first (0: as with less room)."""
+    best, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(1, capacity + 1):
+        value = price[1 : room + 1] + best[room - 1 :: -1]
+        i = int(value.argmax())
+        if value[i] > best[room - 1]:
+            best[room], first[room] = value[i], i + 1
         else:
-            c -= 1
-    return dict(out)
+            best[room] = best[room - 1]
+    return best, first
+
+
+def _configurations(sizes: np.ndarray, first: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For each size the lengths of the best configuration that holds it."""
+    at = np.maximum.accumulate(np.where(first > 0, np.arange(capacity + 1), 0))
+    room, live = capacity - sizes, np.arange(len(sizes))
+    rows, took = [live], [sizes]
+    while len(live):
+        c = at[room[live]]
+        live, c = live[c > 0], c[c > 0]
+        rows.append(live)
+        took.append(first[c])
+        room[live] = c - first[c]
+    rows, took = np.concatenate(rows), np.concatenate(took)
+    order = np.argsort(rows, kind="stable")
+    return np.split(took[order], np.searchsorted(rows[order], np.arange(1, len(sizes))))
+
+
+def relaxation(need: np.ndarray, capacity: int, rate: float = RATE, slack: float = SLACK) -> tuple[dict[Pattern, float], float]:
+    """A fractional plan that covers need (pieces by length) and a lower bound of any plan, by multiplicative weights.
+
+    A length's weight starts in proportion to what it fills, a little more for
+    the long ones, so that short ones are left to fill gaps. Each round prices
+    the lengths by their weights, and each configuration that is worth nearly as
+    much as the best is used as often as it covers no length twice. Weights fall
+    with the share that is covered; a length that is covered drops out, so there
+    are at most as many rounds as lengths.
+    """
+    length = np.arange(capacity + 1)
+    left, weight, use, bound = need.astype(float), need * length * (1 + length / capacity), {}, 0.0
+    while left.any():
+        sizes = np.flatnonzero(left)
+        price = np.full(capacity + 1, -np.inf)
+        price[sizes] = weight[sizes] / need[sizes]
+        best, first = _fillings(price, capacity)
+        worth = price[sizes] + best[capacity - sizes]
+        bound = max(bound, float(price[sizes] @ need[sizes]) / best[capacity], float(length @ need) / capacity)  # by duality, and by the room
+        for size, held in reversed(list(zip(worth, _configurations(sizes, first, capacity), strict=True))):
+            if size < best[capacity] * (1 - slack):
+                continue
+            q, k = np.unique(held, return_counts=True)
+            x = float((left[q] / k).min())
+            if x > 0:
+                left[q] -= k * x
+                left[q[left[q] < 1e-9]] = 0
+                weight[q] *= np.exp(-rate * k * x / need[q])
+                pattern = tuple(zip(q[::-1].tolist(), k[::-1].tolist(), strict=True))
+                use[pattern] = use.get(pattern, 0.0) + x
+    return use, bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> Counter[Pattern]:
@@ -160,46 +154,41 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter[Pattern]:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 600, step: float = 0.5) -> Counter[Pattern]:
-    """How often each pattern is used so that every piece of the histogram has a place."""
-    sizes = np.array(sorted(s for s, n in histogram.items() if n > 0 and s < capacity), np.int64)
-    left = {int(s): int(histogram[int(s)]) for s in sizes}
-    out: Counter[Pattern] = Counter()
-    if n := histogram.get(capacity, 0):
-        out[((capacity, 1),)] = int(n)
-    if not len(sizes):
-        return out
-    need = np.array([left[int(s)] for s in sizes], float)
-    at = {int(s): i for i, s in enumerate(sizes)}
-    weight, covered = sizes * need, np.zeros(len(sizes))
-    weight = weight / weight.sum()
-    use: dict[Pattern, float] = {}
-    for _ in range(rounds):
-        found = best_configuration(weight / need, sizes, capacity)
-        i = np.array([at[s] for s in found])
-        k = np.array(list(found.values()), float)
-        x = float((need[i] / k).min())
-        pattern = tuple(sorted(found.items(), reverse=True))
-        use[pattern] = use.get(pattern, 0.0) + x
-        covered[i] += k * x / need[i]
-        weight[i] *= np.exp(-step * k * x / need[i])
-        weight /= weight.sum()
-    # rounding: no length may be covered more than once in all, then whole sequences, the fullest patterns first
-    filled = sorted(use, key=lambda p: -sum(s * k for s, k in p))
-    scaled = {p: use[p] / max(1.0, *(covered[at[s]] for s, _ in p)) for p in filled}
-    for fill in (scaled, None):
-        for p in filled:
-            most = min(left[s] // k for s, k in p)
-            if fill is None and sum(s * k for s, k in p) < capacity:
-                continue
-            n = min(most, int(fill[p])) if fill else most
-            if n > 0:
-                out[p] += n
-                for s, k in p:
-                    left[s] -= n * k
-    out.update(best_fit(left, capacity))
-    plain = best_fit({s: n for s, n in histogram.items()}, capacity)
-    return out if sum(out.values()) <= sum(plain.values()) else plain
+def plan(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """How often each pattern is used so that every piece of the histogram has a place.
+
+    Of each fractional plan the whole uses are kept, of patterns that are filled
+    as well as the plan is on average; what is left is solved again. Once whole
+    uses are few, patterns are used once where their pieces are still there, the
+    largest remainders first, and best fit seats the last pieces.
+    """
+    length, out = np.arange(capacity + 1), Counter()
+    need = np.zeros(capacity + 1, np.int64)
+    for size, n in histogram.items():
+        need[size] = n
+    if need[capacity]:
+        out[((capacity, 1),)] = int(need[capacity])
+        need[capacity] = 0
+
+    def taken(pattern: Pattern, times: float) -> int:
+        n = int(min(times + 1e-9, *(need[s] // k for s, k in pattern)))
+        if n:
+            out[pattern] += n
+            for s, k in pattern:
+                need[s] -= k * n
+        return n
+
+    while need.any():
+        use, _ = relaxation(need, capacity)
+        whole = sum(use.values())
+        fill = int(length @ need) / whole - capacity / 1024
+        good = [p for p in use if sum(s * k for s, k in p) >= fill]
+        done = sum(taken(p, use[p]) for p in sorted(good, key=lambda p: (-use[p], p)))
+        if done < LEAST_SHARE * whole:
+            sum(taken(p, 1) for p in sorted(good, key=lambda p: (-(use[p] % 1), p)))
+            break
+    out.update(best_fit({int(s): int(need[s]) for s in np.flatnonzero(need)}, capacity))
+    return out
 
 
 def intervals(patterns: Counter[Pattern]) -> np.ndarray:
@@ -215,7 +204,7 @@ def intervals(patterns: Counter[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     All texts are packed, a null text as an empty one (its end id alone). No
@@ -224,7 +213,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | Non
     null doc_id like any other. Extra columns are not read; an empty table gives
     an empty result.
     """
-    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col, remembered), "pieces")
+    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     rows = intervals(plan(histogram, capacity))
     salts = max(64, -(-sum(histogram.values()) // PIECES_PER_SALT))

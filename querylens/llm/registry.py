@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
-from . import bpe, embeddings, exact_dedup, langid, packing, pii, secrets, simhash, toxicity, warc
+from . import bpe, embeddings, exact_dedup, langid, packing, pii, pipeline, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -53,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_langid, op5_bpe, op6_secrets, op7_embeddings, op8_warc, op9_pii, op10_packing)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_langid, op5_bpe, op6_secrets, op7_embeddings, op8_warc, op9_pii, op10_packing)} | {"pipeline": pipeline.run}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": """

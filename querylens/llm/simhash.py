@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, materialize
-from .components import connected_components
+from ..operators.components import connected_components
 from .gray_index import GrayIndex, PatternTree, gray_rank, spanning, unite
 
 SIGN = np.uint64(1 << 63)

@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import Remembered, held_by_worker, id_text, materialize, texts
 
 #: Bounds of the fit: labelled rows (chosen by a hash of their id) and features of the model.
 FIT_ROWS, FIT_FEATURES = 10_000, 4_096
@@ -28,7 +27,8 @@ FIT_ROWS, FIT_FEATURES = 10_000, 4_096
 PREFIXES = (5, 6, 7, 8)
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000
+#: Bytes of parts of texts that a worker keeps in either half of its table.
+REMEMBERED_BYTES = 24 << 20
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_featur
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = [np.fromiter(f := text_features(t), np.int64, len(f)) for t in batch.column("text").to_pylist()]
+            feats = [np.fromiter(f := text_features(t), np.int64, len(f)) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(feats, pa.list_(pa.int64()))], ["doc_id", "toxic", "features"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
@@ -118,28 +118,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_featur
     return Model({r["f"]: float(w[i]) for i, r in enumerate(best) if w[i]}, theta)
 
 
-@lru_cache(maxsize=1)
-def _parts(model: str) -> dict[str, tuple[int, ...]]:
-    return {}
-
-
-def _scores(model: Model | None, texts: list[str]) -> np.ndarray:
+def _scores(model: Model | None, column: pa.Array) -> np.ndarray:
     """P(grade > k) of each whole text."""
     if model is None:
-        return np.zeros((len(texts), GRADES - 1))
-    weights, known, score = model.weights, _parts(model.name), np.zeros(len(texts))
-    for i, text in enumerate(texts):
+        return np.zeros((len(column), GRADES - 1))
+    weights, score = model.weights, []
+
+    def features(part: str) -> tuple[int, ...]:
+        return tuple(x for w in _WORD.findall(part) for x in word_features(w) if x in weights)
+
+    known = held_by_worker(("toxicity", model.name), lambda: Remembered(features, REMEMBERED_BYTES))
+    for text in texts(column):
         found: set[int] = set()
         for part in set(text.lower().split()):
-            f = known.get(part)
-            if f is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                f = known[part] = tuple(x for w in _WORD.findall(part) for x in word_features(w) if x in weights)
-            if f:
+            if f := known[part]:
                 found.update(f)
-        score[i] = sum(sorted(weights[x] for x in found))
-    return model.over(score)
+        score.append(sum(sorted(weights[x] for x in found)))
+    return model.over(np.array(score, float))
 
 
 def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -157,7 +152,7 @@ def grade(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            over = _scores(model, batch.column("text").to_pylist())
+            over = _scores(model, batch.column("text"))
             by_grade = -np.diff(np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(over[:, 0] >= threshold), pa.array(over.sum(axis=1)), pa.array(by_grade.argmax(axis=1).astype(np.int32))], ["doc_id", "toxic", "severity", "grade"])
 
@@ -170,7 +165,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            over = _scores(model, [t or "" for t in batch.column(text_col).to_pylist()])
+            over = _scores(model, batch.column(text_col))
             yield batch.filter(pa.array(over[:, 0] < threshold))
 
     return docs.mapInArrow(of, docs.schema)
