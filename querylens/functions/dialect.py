@@ -15,7 +15,9 @@ class Spark:
         return "r" + ("'" + s + "'" if "'" not in s else '"' + s + '"')
 
     def rlike(self, x: str, pattern: str) -> str:
-        return f"rlike({x}, {self.text(pattern)})"
+        from .text import LINEAR
+
+        return f"rlike({x}, {self.text(LINEAR.get(pattern, pattern))})"
 
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, {self.text('(' + pattern + ')')}, 0)"

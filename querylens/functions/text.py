@@ -34,6 +34,7 @@ TOKEN = rf"\?[A-Za-z][{WORD}']*|[{INITIAL}][{WORD}'.₀-₉]*[{WORD}'₀-₉]|[{
 IDENTIFIER = rf"\p{{L}}[{WORD}']*(?:[._][{WORD}']+)+|[a-z]+[A-Z][{WORD}']*|[A-Z][a-z]+[A-Z][{WORD}']*"
 NAME = rf"[A-Za-z][{WORD}']*(?:[._][{WORD}']+)+"
 ONLY_NAME = rf"^[{BLANK}]*(?:{NAME})[{BLANK}]*$"
+#: Fixed value: a command of LaTeX.
 LATEX = r"\\[A-Za-z]+"
 
 
@@ -46,6 +47,17 @@ def _between(words: str) -> str:
 PROOF = rf"(?s)⊢|(?:^|[^{WORD}])(?:theorem|lemma|example)(?:[^{WORD}].*?)?:|:=[{BLANK}]*by(?:$|[^{WORD}])"
 QUESTION = "(?i)" + _between("how|why|what|which|where|is there|does|can i") + r"|\?"
 SYMBOLS = "[∀∃→↔≤≥∈∑∏=<>⊆]"
+#: What Spark looks for instead: the same texts match, but no group is repeated, on which Java's matcher would
+#: recurse, and no run of characters is gone through twice. A name is looked for from the first letter of a run;
+#: a whole text is a name if its first group is there and no dot in it lacks what a dot needs after it.
+_NAME_BEGINS = rf"[{WORD}']*[._][{WORD}']"
+_WHOLE = rf"(?![\s\S]*\.(?![{WORD}']))"
+LINEAR = {
+    NAME: rf"(?<![{WORD}'])[{WORD}'&&[^A-Za-z]]*+[A-Za-z]{_NAME_BEGINS}",
+    ONLY_NAME: rf"^[{BLANK}]*+(?=[A-Za-z]{_NAME_BEGINS}){_WHOLE}[A-Za-z][{WORD}'.]*+[{BLANK}]*+$",
+    f"^(?:{IDENTIFIER})$": rf"^(?:(?=\p{{L}}{_NAME_BEGINS}){_WHOLE}\p{{L}}[{WORD}'.]*+|[a-z]++[A-Z][{WORD}']*+|[A-Z][a-z]++[A-Z][{WORD}']*+)\z",
+    PROOF: rf"(?s)⊢|\A(?>.*?(?<![{WORD}])(?:theorem|lemma|example)(?![{WORD}])).*?:|:=[{BLANK}]*+by(?![{WORD}])",
+}
 #: Unvalidated cues of an intent and of a domain.
 INTENTS = {
     "proof_support": "(?i)⊢|" + _between("prove|proof|proving|rewrite|simp|goal"),
@@ -78,11 +90,6 @@ def nfc(x: Column) -> Column:
     return F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(_nfc(x))
 
 
-def nfc_texts(df: DataFrame, name: str) -> DataFrame:
-    """df with its text column in form C. Only rows with non-ASCII text go through Python."""
-    return df.withColumn(name, nfc(F.col(name)))
-
-
 def collapsed(x: str, d: Spark = SPARK) -> str:
     """Runs of white space as one blank, none at the ends."""
     return f"trim({d.substitute(x, f'[{BLANK}]+', ' ')})"
@@ -103,6 +110,8 @@ def once(value: str, body, d: Spark = SPARK, var: str = "v") -> str:
 
 def words(x: str, d: Spark = SPARK) -> str:
     """Number of words between white space."""
+    if d is SPARK:
+        return f"cast(regexp_count({x}, {d.text(f'[^{BLANK}]++')}) as bigint)"
     return d.size(d.matches(x, f"[^{BLANK}]+"))
 
 
@@ -149,12 +158,18 @@ def measures(x: str, kinds_: str, d: Spark = SPARK) -> dict[str, str]:
     }
 
 
-def surface(x: str, d: Spark = SPARK) -> str:
-    """The surface form; the first that applies."""
+def marks(x: str, d: Spark = SPARK) -> dict[str, str]:
+    """Signs of a text that several dimensions ask for."""
+    return {"is_proof": d.rlike(x, PROOF), "is_name": d.rlike(x, ONLY_NAME), "has_latex": d.rlike(x, LATEX), "has_name": d.rlike(x, NAME)}
+
+
+def surface(x: str, d: Spark = SPARK, known: dict[str, str] | None = None) -> str:
+    """The surface form; the first that applies. known: columns that hold marks() already."""
+    m = known or marks(x, d)
     return (
-        f"case when not {d.rlike(x, f'[^{BLANK}]')} then 'empty' when {d.rlike(x, PROOF)} then 'proof_state_or_statement' "
-        f"when {d.rlike(x, ONLY_NAME)} then 'identifier_only' when {d.rlike(x, LATEX)} then 'latex_present' "
-        f"when {d.rlike(x, QUESTION)} then 'question_like' when {d.rlike(x, NAME)} then 'mixed_identifier_text' "
+        f"case when not {d.rlike(x, f'[^{BLANK}]')} then 'empty' when {m['is_proof']} then 'proof_state_or_statement' "
+        f"when {m['is_name']} then 'identifier_only' when {m['has_latex']} then 'latex_present' "
+        f"when {d.rlike(x, QUESTION)} then 'question_like' when {m['has_name']} then 'mixed_identifier_text' "
         f"when {d.rlike(x, SYMBOLS)} then 'symbolic_expression' else 'other_text' end"
     )
 
@@ -166,14 +181,25 @@ def _one_of(flags: dict[str, str], several: str, d: Spark) -> str:
     return d.at(d.map(d.array([hits]), "h", f"case when {d.size('h')} > 1 then '{several}' when {d.size('h')} = 1 then {d.at('h', 1)} else 'unknown' end"), 1)
 
 
-def intent_cue(x: str, d: Spark = SPARK) -> str:
-    known = d.rlike(x, ONLY_NAME)
+def intent_cue(x: str, d: Spark = SPARK, known: dict[str, str] | None = None) -> str:
+    m = known or marks(x, d)
     rest = _one_of({k: d.rlike(x, p) for k, p in INTENTS.items()}, "multiple_cues", d)
-    return f"case when {known} then 'known_item_candidate' else {rest} end"
+    return f"case when {m['is_name']} then 'known_item_candidate' else {rest} end"
+
+
+def _vocabulary() -> str:
+    """A pattern of the words of all vocabularies, by their first letters."""
+    by: dict[str, set[str]] = {}
+    for v in DOMAINS.values():
+        for w in v.split():
+            by.setdefault(w[0], set()).add(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in sorted(by.items()))
 
 
 def domain_tokens(x: str, d: Spark = SPARK) -> str:
     """The words of all vocabularies that a text holds."""
+    if d is SPARK:  # only these words are taken out of a text, not all of them
+        return f"regexp_extract_all(lower({x}), r'(?<![a-z])(?:{_vocabulary()})(?![a-z])', 0)"
     every = ", ".join(d.text(w) for v in DOMAINS.values() for w in v.split())
     return d.keep(d.matches(f"lower({x})", "[a-z]+"), "t", f"t in ({every})")
 
@@ -207,15 +233,16 @@ LENGTH_BINS = ((0, 2, 4, 8, 16, 10_000), ("1–2", "3–4", "5–8", "9–16", "
 REPEAT_BINS = ((0, 1, 2, 5, 20, 100, 10**9), ("1", "2", "3–5", "6–20", "21–100", "100+"))
 
 
-def profile_dimensions(x: str, packages: str, d: Spark = SPARK) -> dict[str, str]:
+def profile_dimensions(x: str, packages: str, d: Spark = SPARK, known: dict[str, str] | None = None) -> dict[str, str]:
     """The thirteen dimensions that a row's text and package filter have."""
+    m = known or marks(x, d)
     seen = f"length({d.substitute(x, f'[{BLANK}]+', '')})"
     signs = f"length({d.substitute(x, f'[{BLANK}{WORD}.{chr(39)}]+', '')})"
     percent = once(seen, lambda n: f"case when {n} > 0 then {d.half_even(f'cast(100 * {signs} as double) / {n}')} else 0 end", d, "u")
     yes = "case when {} then 'yes' else 'no' end".format
     return {
-        "surface": surface(x, d),
-        "intent_cue": intent_cue(x, d),
+        "surface": surface(x, d, m),
+        "intent_cue": intent_cue(x, d, m),
         "domain_cue": domain_cue(domain_tokens(x, d), d),
         "words": once(words(x, d), lambda n: bucket(n, (0, 2, 4, 8, 16, 32, 64, 128)), d),
         "characters": bucket(f"length({x})", (0, 32, 64, 128, 256, 512, 1024)),
@@ -224,7 +251,18 @@ def profile_dimensions(x: str, packages: str, d: Spark = SPARK) -> dict[str, str
         "filter_count": bucket(d.size(d.distinct_sorted(packages)), (0, 1, 3)),
         "multiline": yes(d.rlike(x, "\\n")),
         "non_ascii": yes(d.rlike(x, "[^\\x00-\\x7F]")),
-        "latex": yes(d.rlike(x, LATEX)),
-        "proof_marker": yes(d.rlike(x, PROOF)),
-        "identifier_present": yes(d.rlike(x, NAME)),
+        "latex": yes(m["has_latex"]),
+        "proof_marker": yes(m["is_proof"]),
+        "identifier_present": yes(m["has_name"]),
     }
+
+
+#: The names of the thirteen dimensions.
+DIMENSIONS = tuple(profile_dimensions("x", "p"))
+
+
+def with_dimensions(rows: DataFrame, x: str, packages: str) -> DataFrame:
+    """rows with the thirteen dimensions; what several of them ask of the text is worked out once."""
+    rows = rows.withColumns({f"_{n}": F.expr(e) for n, e in marks(x).items()})
+    known = {n: f"_{n}" for n in marks(x)}
+    return rows.withColumns({n: F.expr(e) for n, e in profile_dimensions(x, packages, SPARK, known).items()}).drop(*known.values())

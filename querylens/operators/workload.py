@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket, length_class, nfc, normalized, once, profile_dimensions, surface, words
+from ..functions.text import DIMENSIONS, bucket, length_class, nfc, normalized, once, surface, with_dimensions, words
+from ..shared import materialize, spread
 from .gate import release
 
 REPEAT_BOUNDS, RESULT_BOUNDS = (0, 1, 2, 5, 10, 20, 50, 100), (0, 1, 5, 10, 25, 50, 100)
@@ -27,30 +28,39 @@ def _first(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def profile_counts(rows: DataFrame) -> DataFrame:
-    """(view, dimension, source, category, n) of rows (position, source, text, packages, result_count, day), before the gate."""
-    keyed = with_request_key(rows)
-    repeats = keyed.groupBy("source", "norm", "filters").agg(F.count(F.lit(1)).alias("times"))
-    first = _first(keyed.select("position", "source", "norm", "filters", "text", "packages"), ["source", "norm", "filters"]).join(repeats, ["source", "norm", "filters"])
-    dims = profile_dimensions("text", "packages")
+    """(view, dimension, source, category, n) of rows (position, source, text, packages, result_count, day), before the gate.
+
+    A request's own dimensions depend on its text and filter alone, so they are
+    measured once for each spelling, not for each row, and all cells of both
+    views are counted in one aggregate. A request's first row is that of the
+    least position; of rows that share it, the least in all other columns.
+    """
+    key, rest = ["source", "norm", "filters"], ["text", "packages", "result_count", "day"]
+    spelt = with_request_key(rows).groupBy(*key, *rest).agg(F.count(F.lit(1)).alias("weight"), F.min("position").alias("position"))
+    spelt = materialize(spread(spelt), "spellings")
+    requests = materialize(spelt.groupBy(*key).agg(F.sum("weight").alias("times"), F.min(F.struct("position", *rest)).alias("first")), "requests")
+    same = reduce(lambda x, y: x & y, (F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key))
+    events = spelt.alias("s").join(requests.alias("r"), same).select("s.*", "r.times", "r.first")
+    events = events.withColumn("is_first", F.struct("position", *rest).eqNullSafe(F.col("first"))).drop("first")
+    events = with_dimensions(events, "text", "packages")
     result = f"case when result_count is null then 'missing' else {bucket('result_count', RESULT_BOUNDS)} end"
-
-    def cells(df: DataFrame, view: str, named: list[str]) -> DataFrame:
-        pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("dimension"), F.col(n).alias("category")) for n in named))).alias("c")
-        return df.select("source", "weight", pairs).groupBy(F.lit(view).alias("view"), "c.dimension", "source", "c.category").agg(F.sum("weight").alias("n"))
-
-    # a request's own dimensions depend on its text and filter alone, so they are measured once for each spelling, not for each row
-    spelt = keyed.groupBy("source", "norm", "filters", "text", "packages", "result_count", "day").agg(F.count(F.lit(1)).alias("weight")).join(repeats, ["source", "norm", "filters"])
-    more = {"repeats": bucket("times", REPEAT_BOUNDS)}
-    events = spelt.select("source", "weight", "day", *(F.expr(e).alias(n) for n, e in (dims | more | {"results": result}).items()))
-    events = events.withColumns({"requests": F.lit("requests"), "weekday": F.date_format("day", "EEEE"), "surface_results": F.concat_ws(" / ", "surface", "results"), "intent_results": F.concat_ws(" / ", "intent_cue", "results")}).withColumn("day", F.col("day").cast("string"))
-    named = [*dims, "repeats"]
-    out = [cells(events, "events", [*named, "results", "day", "weekday", "surface_results", "intent_results"])]
-    out.append(events.groupBy(F.lit("events").alias("view"), F.lit("source").alias("dimension"), "source", F.lit("requests").alias("category")).agg(F.sum("weight").alias("n")))
-    once = first.select("source", F.lit(1).alias("weight"), *(F.expr(e).alias(n) for n, e in (dims | more).items()))
-    out.append(cells(once, "distinct_requests", named))
-    out.append(once.groupBy(F.lit("distinct_requests").alias("view"), F.lit("source").alias("dimension"), "source", F.lit("requests").alias("category")).agg(F.sum("weight").alias("n")))
+    events = events.withColumns({"repeats": F.expr(bucket("times", REPEAT_BOUNDS)), "results": F.expr(result)})
+    own = [*DIMENSIONS, "repeats"]
+    more = {"results": F.col("results"), "day": F.col("day").cast("string"), "weekday": F.date_format("day", "EEEE"), "surface_results": F.concat_ws(" / ", "surface", "results"), "intent_results": F.concat_ws(" / ", "intent_cue", "results")}
+
+    def cell(view: str, dimension: str, category, n):
+        return F.struct(F.lit(view).alias("view"), F.lit(dimension).alias("dimension"), category.alias("category"), n.alias("n"))
+
+    every = {**{c: F.col(c) for c in own}, **more, "source": F.lit("requests")}
+    once_ = {**{c: F.col(c) for c in own}, "source": F.lit("requests")}
+    cells = F.concat(
+        F.array(*(cell("events", d, c, F.col("weight")) for d, c in every.items())),
+        F.when(F.col("is_first"), F.array(*(cell("distinct_requests", d, c, F.lit(1).cast("long")) for d, c in once_.items()))).otherwise(F.array()),
+    )
+    counted = events.select("source", F.explode(cells).alias("c")).groupBy("c.view", "c.dimension", "source", "c.category").agg(F.sum("c.n").alias("n"))
+    out = [counted]
     for name, key in (("distinct_texts", ["norm"]), ("distinct_requests", ["norm", "filters"])):
-        n = repeats.select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))
+        n = requests.select(*key).distinct().agg(F.count(F.lit(1)).alias("n"))
         out.append(n.select(F.lit("global").alias("view"), F.lit(name).alias("dimension"), F.lit("all").alias("source"), F.lit(name).alias("category"), "n"))
     return reduce(DataFrame.unionByName, out)
 
@@ -60,39 +70,46 @@ def profile(rows: DataFrame, min_count: int = 10) -> DataFrame:
     return release(profile_counts(rows), ["view", "dimension"], min_count)
 
 
-def windowed(rows: DataFrame) -> DataFrame:
-    """Each row under each window that it is part of: full, first_day or later."""
-    first = rows.agg(F.min("day").alias("first"))  # one row
-    return rows.crossJoin(F.broadcast(first)).select(*rows.columns, F.explode(F.expr("array('full', if(day = first, 'first_day', 'later'))")).alias("win"))
-
-
 def workload_counts(rows: DataFrame) -> DataFrame:
-    """(path..., category, n): counts of all measures for each window, of all sources and of each large enough one."""
-    w = with_request_key(windowed(rows)).withColumns({"surface": F.expr(surface("text")), "length": F.expr(once(words("text"), length_class)), "has": F.when(F.size("packages") > 0, "with_filter").otherwise("without_filter")})
-    both = w.withColumn("channel", F.explode(F.array(F.lit("all"), F.concat(F.lit("channel:"), "source"))))
-    large = both.groupBy("win", "channel").agg(F.count(F.lit(1)).alias("rows")).where(f"channel = 'all' or rows >= {CHANNEL_ROWS}")
-    both = both.join(F.broadcast(large.select("win", "channel")), ["win", "channel"], "left_semi")
-    at = ["win", "channel"]
-    groups = both.groupBy(*at, "norm", "filters").agg(
-        F.count(F.lit(1)).alias("times"), F.countDistinct("day").alias("days"), F.countDistinct("result_count").alias("results"), F.count(F.when(F.col("result_count").isNull(), 1)).alias("unknown"),
-        F.min_by(F.struct("surface", "length", "has"), "position").alias("f"),
+    """(win, channel, measure, category, n): counts of all measures for each window, of all sources and of each large enough one.
+
+    Rows are counted by source, day and request first; only these counts are
+    dealt to windows and channels, and each measure is a cell of one aggregate.
+    """
+    keyed = with_request_key(rows).withColumns({"surface": F.expr(surface("text")), "length": F.expr(once(words("text"), length_class)), "has": F.when(F.size("packages") > 0, "with_filter").otherwise("without_filter")})
+    dims = ["surface", "length", "has"]
+    daily = keyed.groupBy("source", "day", "norm", "filters", *dims).agg(
+        F.count(F.lit(1)).alias("times"), F.min("result_count").alias("low"), F.max("result_count").alias("high"),
+        F.count(F.when(F.col("result_count").isNull(), 1)).alias("unknown"), F.min("position").alias("position"),
+    )
+    daily = materialize(daily, "daily")
+    first = daily.agg(F.min("day").alias("first"))  # one row
+    both = daily.crossJoin(F.broadcast(first)).select(
+        *daily.columns, F.explode(F.expr("array('full', if(day = first, 'first_day', 'later'))")).alias("win")
+    ).withColumn("channel", F.explode(F.array(F.lit("all"), F.concat(F.lit("channel:"), "source"))))
+    large = both.groupBy("win", "channel").agg(F.sum("times").alias("rows")).where(f"channel = 'all' or rows >= {CHANNEL_ROWS}")
+    both = both.join(large.select("win", "channel"), ["win", "channel"], "left_semi")
+    groups = both.groupBy("win", "channel", "norm", "filters").agg(
+        F.sum("times").alias("times"), F.min("day").alias("from"), F.max("day").alias("to"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("unknown").alias("unknown"),
+        F.min_by(F.struct(*dims), "position").alias("f"),
     )
 
-    def cells(df: DataFrame, measure: str, category, n) -> DataFrame:
-        return df.groupBy(*at, F.lit(measure).alias("measure"), category.alias("category")).agg(n.alias("n"))
-
-    one, all_rows = F.count(F.lit(1)), F.sum("times")
-    out = [
-        cells(groups, "requests", F.lit("requests"), all_rows),
-        cells(groups, "repeat_accounting", F.lit("distinct"), one),
-        cells(groups, "repeat_accounting", F.lit("extra_occurrences"), F.sum(F.col("times") - 1)),
-        cells(groups, "frequency_events", F.expr("case when times = 1 then 'once' when times <= 5 then '2-5' else '6+' end"), all_rows),
-        cells(groups, "recurrence_distinct", F.expr("if(days = 1, 'one_day', 'multiple_days')"), one),
-        cells(groups.where("times >= 2"), "repeated_result_counts", F.expr("case when unknown > 0 then 'missing' when results = 1 then 'same_count' else 'different_counts' end"), one),
-        *(cells(both, f"requests/{m}", F.col(c), one) for m, c in (("surface", "surface"), ("length", "length"), ("filters", "has"))),
-        *(cells(groups, f"distinct/{m}", F.col(f"f.{c}"), one) for m, c in (("surface", "surface"), ("length", "length"), ("filters", "has"))),
+    def cells(df: DataFrame, made: list[tuple]) -> DataFrame:
+        every = F.array(*(F.struct(F.lit(m).alias("measure"), c.alias("category"), n.cast("long").alias("n")) for m, c, n in made))
+        return df.select("win", "channel", F.explode(F.filter(every, lambda c: c["n"].isNotNull())).alias("c")).groupBy("win", "channel", "c.measure", "c.category").agg(F.sum("c.n").alias("n"))
+
+    one, times = F.lit(1), F.col("times")
+    by = dict(zip(("surface", "length", "filters"), dims, strict=True))
+    of_groups = [
+        ("requests", F.lit("requests"), times),
+        ("repeat_accounting", F.lit("distinct"), one),
+        ("repeat_accounting", F.lit("extra_occurrences"), times - 1),
+        ("frequency_events", F.expr("case when times = 1 then 'once' when times <= 5 then '2-5' else '6+' end"), times),
+        ("recurrence_distinct", F.expr("if(`from` = `to`, 'one_day', 'multiple_days')"), one),
+        ("repeated_result_counts", F.expr("case when unknown > 0 then 'missing' when low = high then 'same_count' else 'different_counts' end"), F.when(times >= 2, one)),
+        *((f"distinct/{m}", F.col(f"f.{c}"), one) for m, c in by.items()),
     ]
-    return reduce(DataFrame.unionByName, out)
+    return cells(groups, of_groups).unionByName(cells(both, [(f"requests/{m}", F.col(c), times) for m, c in by.items()]))
 
 
 def workload(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import numbers, text
 from ..functions.dialect import DUCK
 from ..operators import gate, groups, sampling, workload
+from ..shared import spread
 from . import views
 
 
@@ -41,7 +42,7 @@ def query_features(spark, sf_dir):
 
 @query(f"with {views.LOG} select row_id, {text.surface('query', DUCK)} as surface from log")
 def surface_form(spark, sf_dir):
-    return views.log(spark, sf_dir).select("row_id", F.expr(text.surface("query")).alias("surface"))
+    return spread(views.log(spark, sf_dir)).select("row_id", F.expr(text.surface("query")).alias("surface"))
 
 
 @query(f"with {views.CHAT} select id, {text.intent_cue('text', DUCK)} as intent_cue from chat")
@@ -56,7 +57,7 @@ def domain_cue(spark, sf_dir):
 
 @query(f"with {views.LOG} select row_id, " + ", ".join(f"{e} as {n}" for n, e in text.profile_dimensions("query", "packages", DUCK).items()) + " from log")
 def feature_buckets(spark, sf_dir):
-    return views.log(spark, sf_dir).select("row_id", *(F.expr(e).alias(n) for n, e in text.profile_dimensions("query", "packages").items()))
+    return text.with_dimensions(spread(views.log(spark, sf_dir)), "query", "packages").select("row_id", *text.DIMENSIONS)
 
 
 @query(f"with {views.LOG}, w as (select row_id, {text.words('query', DUCK)} as n from log) select row_id, n as n_words, {text.binned('n', *text.LENGTH_BINS)} as length_bin, {text.length_class('n')} as length_class from w")

@@ -49,3 +49,9 @@ def drop_table(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer splits than there are cores, before work that is heavy for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -57,3 +57,36 @@ def test_numbers(spark):
     assert [tuple(r) for r in got] == [(0, 0, None), (0, 4, None), (10, 5, None), (10, 14, 10), (20, 15, 20)]
     assert one(spark, "x", text.bucket("0", (0, 2, 4)), text.bucket("3", (0, 2, 4)), text.bucket("5", (0, 2, 4))) == ("0", "3-4", "5+")
     assert one(spark, "x", text.binned("0", *text.LENGTH_BINS), text.binned("2", *text.LENGTH_BINS), text.binned("17", *text.LENGTH_BINS)) == (None, "1–2", "17+")
+
+
+def test_linear_patterns_match_what_the_fixed_ones_match(spark):
+    """Spark's patterns without repeated groups against the fixed ones in DuckDB, on random texts of telling characters."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from querylens.functions.dialect import DUCK
+
+    rng = random.Random(3)
+    bits = ["a", "b", "B", "1", "_", ".", "'", " ", "\n", "é", "²", "theorem", "lemma", ":", ":=", " by", "⊢", "x.y", "⅓"]
+    rows = pd.DataFrame({"x": sorted({"".join(rng.choices(bits, k=rng.randrange(9))) for _ in range(6000)})})
+    exprs = {"only": text.ONLY_NAME, "name": text.NAME, "ident": f"^(?:{text.IDENTIFIER})$", "proof": text.PROOF}
+    got = spark.createDataFrame(rows).select("x", *(F.expr(text.SPARK.rlike("x", p)).alias(n) for n, p in exprs.items())).toPandas().sort_values("x", ignore_index=True)
+    want = duckdb.sql("select x, " + ", ".join(f"{DUCK.rlike('x', p)} as {n}" for n, p in exprs.items()) + " from rows").df().sort_values("x", ignore_index=True)
+    for n in exprs:
+        differ = rows.x[(got[n] != want[n]).to_numpy()].tolist() if got.x.equals(want.x) else ["order"]
+        assert not differ, (n, differ[:5])
+        assert 0 < got[n].sum() < len(got)
+
+
+LONG = {n: (part * (1_000_000 // len(part)))[:1_000_000] for n, part in {"dots": "a.", "digits": "1.", "underscores": "_a", "blanks": " ", "one_word": "a", "keywords": "theorem ", "words": "ring and "}.items()}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_megabyte_of_anything_passes(spark, name):
+    df = spark.createDataFrame([(LONG[name], ["p"])], "x string, p array<string>")
+    row = text.with_dimensions(df, "x", "p").first()
+    assert row["surface"] == {"dots": "mixed_identifier_text", "digits": "other_text", "underscores": "mixed_identifier_text", "blanks": "empty"}.get(name, "other_text")
+    kinds = df.select(F.expr(text.kinds("x")).alias("k"), "x").select(F.size("k").alias("n"), *(F.expr(e).alias(c) for c, e in text.measures("x", "k").items())).first()
+    assert kinds["n"] >= 0 and kinds["n_chars"] == len(LONG[name])
