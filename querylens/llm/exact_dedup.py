@@ -5,17 +5,24 @@ first, so a text that fills a third of the table reaches its owner once per
 task. The owner compares whole texts, byte by byte, as grouping keys. Entries
 go to buckets of an extendible-hash directory: the directory doubles while a
 bucket holds more bytes than allowed, buddies that still fit keep a smaller
-local depth. The index is written in ranges of the key, each owned by one
-task, where entries with equal keys but different texts form a chain.
+local depth. Owner tasks take ranges of buckets, chain the entries whose keys
+are equal though their texts are not, and write a folder for each bucket. A
+lookup goes from a row's key by the directory's cell to its bucket, and finds
+the key there. A split writes the entries of the split bucket and no others.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize, new_folder
 
+#: Bytes that an entry takes, that a bucket may hold, and of the buckets that an owner task takes.
+ENTRY_BYTES, BUCKET_BYTES, OWNER_BYTES = 128, 4 << 20, 64 << 20
+MAX_DEPTH = 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,16 +43,31 @@ def _prefix(key: Column, depth: int) -> Column:
     return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(2**63))), 64 - depth)
 
 
+class Index(NamedTuple):
+    """A folder for each bucket, the global depth, (cell, local_depth, bucket) of each used cell, and the entries."""
+
+    path: str
+    depth: int
+    directory: DataFrame
+    entries: DataFrame
+
+
+def _bucket(prefix: Column, depth: Column) -> Column:
+    """A bucket's name is its entries' shared bits, so it stays the same when the directory doubles."""
+    bits = F.lpad(F.bin(prefix), MAX_DEPTH, "0")
+    return F.concat(F.lit("b"), F.when(depth > 0, bits.substr(F.lit(MAX_DEPTH + 1) - depth, depth)).otherwise(""))
+
+
 def directory(entries: DataFrame, bucket_bytes: int, max_depth: int) -> tuple[int, DataFrame]:
     """Double the directory until no bucket with several keys is overfull.
 
     Returns the global depth and (cell, local_depth, bucket): one row for each
-    used cell of the directory, where bucket is the first cell of its bucket.
+    used cell of the directory.
     """
-    total = entries.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    total = entries.count() * ENTRY_BYTES
     depth = min(max_depth, max(0, (int(total) // bucket_bytes).bit_length()))
     while True:
-        cells = entries.groupBy(_prefix(F.col("k"), depth).alias("cell")).agg(F.sum("weight").alias("weight"), F.min("k").alias("first"), F.max("k").alias("last"))
+        cells = entries.groupBy(_prefix(F.col("k"), depth).alias("cell")).agg((F.count(F.lit(1)) * ENTRY_BYTES).alias("weight"), F.min("k").alias("first"), F.max("k").alias("last"))
         full = cells.where((F.col("weight") > bucket_bytes) & (F.col("first") < F.col("last")))
         if depth == max_depth or full.isEmpty():
             break
@@ -56,28 +78,86 @@ def directory(entries: DataFrame, bucket_bytes: int, max_depth: int) -> tuple[in
     fits = rolled.groupBy("d", "p").agg(F.sum("weight").alias("w"), F.min("first").alias("f"), F.max("last").alias("l"))
     fits = fits.where((F.col("w") <= bucket_bytes) | (F.col("f") == F.col("l")) | (F.col("d") == depth)).select("d", "p")
     local = rolled.join(fits, ["d", "p"]).groupBy("cell").agg(F.min("d").alias("local_depth"))
-    return depth, local.withColumn("bucket", F.expr(f"shiftleft(shiftrightunsigned(cell, {depth} - local_depth), {depth} - local_depth)"))
+    return depth, local.withColumn("bucket", _bucket(F.expr(f"shiftrightunsigned(cell, {depth} - local_depth)"), F.col("local_depth")))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20, key_bits: int = 64) -> DataFrame:
-    """One row for each distinct text, without the text: its key, bucket, place in its key's chain and verdict."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    entries = rows.groupBy(_key(F.col("norm"), key_bits).alias("k"), "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("k", "keep_id", "group_size", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"), (F.octet_length("norm") + 64).cast("long").alias("weight"))
-    entries = materialize(entries, "entries")
-    depth, cells = directory(entries, bucket_bytes, min(key_bits, 40))
-    placed = entries.withColumn("cell", _prefix(F.col("k"), depth)).join(cells, "cell")
-    chain = Window.partitionBy("k")
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    owned = placed.repartitionByRange(parts, "k").select(
-        "k", "bucket", "local_depth", "keep_id", "group_size", "text_sha256",
+def _placed(rows: DataFrame, depth: int, cells: DataFrame) -> DataFrame:
+    """rows with a key k, and the bucket that the directory sends it to. On disk the directory's size is known, so the engine broadcasts it only if it is small."""
+    return rows.withColumn("cell", _prefix(F.col("k"), depth)).join(cells.select("cell", "local_depth", "bucket"), "cell").drop("cell")
+
+
+def _write(placed: DataFrame, path: str, n: int) -> None:
+    """Owner tasks take ranges of buckets, as many bytes each, chain equal keys and write a folder for each bucket."""
+    chain = Window.partitionBy("bucket", "k")
+    owners = max(1, -(-n * ENTRY_BYTES // OWNER_BYTES))
+    owned = placed.repartitionByRange(owners, "bucket", "k").select(
+        "bucket", "k", "local_depth", "keep_id", "group_size", "text_sha256",
         F.row_number().over(chain.orderBy("text_sha256", "keep_id")).alias("chain_pos"),
         F.count(F.lit(1)).over(chain).alias("chain_len"),
     )
-    return materialize(owned, "index")
+    owned.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _opened(spark, path: str) -> DataFrame:
+    kinds = "k long, local_depth int, keep_id long, group_size long, text_sha256 string, chain_pos int, chain_len long, bucket string"
+    return spark.read.schema(kinds).parquet(path)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 16 << 20, key_bits: int = 64) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, key_bits: int = 64) -> Index:
+    """An entry for each distinct text, without the text: its key, bucket, place in its key's chain and verdict."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    entries = rows.groupBy(_key(F.col("norm"), key_bits).alias("k"), "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    entries = materialize(entries.select("k", "keep_id", "group_size", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256")), "entries")
+    depth, cells = directory(entries, bucket_bytes, min(key_bits, MAX_DEPTH))
+    cells, path = materialize(cells, "directory"), new_folder(docs.sparkSession, "index")
+    _write(_placed(entries, depth, cells), path, entries.count())
+    drop_table(entries)
+    return Index(path, depth, cells, _opened(docs.sparkSession, path))
+
+
+def split_overfull(index: Index, bucket_bytes: int) -> Index:
+    """The index with buckets of bucket_bytes at most. Only the entries of buckets that hold more are written again."""
+    spark = index.entries.sparkSession
+    full = index.entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("f"), F.max("k").alias("l")).where(f"n * {ENTRY_BYTES} > {bucket_bytes} and f < l")
+    full = materialize(full.select("bucket"), "full")
+    moved = materialize(index.entries.join(full, "bucket", "left_semi").select("k", "keep_id", "group_size", "text_sha256"), "moved")
+    if moved.isEmpty():
+        return index
+    depth, split = directory(moved, bucket_bytes, MAX_DEPTH)
+    grown = max(depth, index.depth)
+    by = F.expr(f"explode(sequence(0L, shiftleft(1L, {grown - index.depth}) - 1))")  # each old cell becomes as many as the directory has doubled
+    stay = index.directory.join(full, "bucket", "left_anti").withColumn("_i", by).select((F.shiftleft("cell", grown - index.depth) + F.col("_i")).alias("cell"), "local_depth", "bucket")
+    by = F.expr(f"explode(sequence(0L, shiftleft(1L, {grown - depth}) - 1))")
+    split = split.withColumn("_i", by).select((F.shiftleft("cell", grown - depth) + F.col("_i")).alias("cell"), "local_depth", "bucket")
+    cells = materialize(stay.union(split), "directory")
+    _write(_placed(moved, grown, cells), index.path, moved.count())
+    for r in full.toLocalIterator():  # the folders of the buckets that were split
+        drop_table(_folder(index.entries, f"{index.path}/bucket={r['bucket']}"))
+    drop_table(moved)
+    return Index(index.path, grown, cells, _opened(spark, index.path))
+
+
+def _folder(df: DataFrame, path: str) -> DataFrame:
+    out = df.limit(0)
+    out._querylens_path = path
+    return out
+
+
+def verdicts(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
+    """Each row's verdict as the index has it: key, cell of the directory, bucket, entry."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("k", _key(F.col("norm"), key_bits))
+    verdict = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"]
+    # the owner has compared the bytes of all texts with this key: a chain of one needs no second look
+    found = _placed(rows.select("doc_id", "k"), index.depth, index.directory).drop("local_depth")
+    out = found.join(index.entries.where("chain_len = 1").select("bucket", "k", "keep_id", "group_size", "text_sha256"), ["bucket", "k"]).select(*verdict)
+    chained = index.entries.where("chain_len > 1").select("bucket", "k", "keep_id", "group_size", "text_sha256")
+    if chained.isEmpty():
+        return out
+    rows = rows.withColumn("text_sha256", F.sha2(F.encode("norm", "utf-8"), 256)).select("doc_id", "k", "text_sha256")
+    return out.union(_placed(rows, index.depth, index.directory).join(chained, ["bucket", "k", "text_sha256"]).select(*verdict))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, key_bits: int = 64) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text
@@ -87,18 +167,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group's keep_id ignores it). Extra columns are not read. An empty table
     gives an empty result.
     """
-    index = build_index(docs, id_col, text_col, bucket_bytes, key_bits)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn("k", _key(F.col("norm"), key_bits))
-    verdict = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"]
-    # the owner has compared the bytes of all texts with this key: a chain of one needs no second look
-    out = rows.select("doc_id", "k").join(index.where("chain_len = 1").select("k", "keep_id", "group_size", "text_sha256"), "k").select(*verdict)
-    chained = index.where("chain_len > 1").select("k").distinct()
-    if chained.isEmpty():
-        return out
-    rows = rows.join(chained, "k", "left_semi")
-    groups = rows.groupBy("k", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.withColumn("text_sha256", F.sha2(F.encode("norm", "utf-8"), 256))
-    return out.union(rows.join(groups, ["k", "norm"]).select(*verdict))
+    return verdicts(docs, build_index(docs, id_col, text_col, bucket_bytes, key_bits), id_col, text_col, key_bits)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
