@@ -1,11 +1,13 @@
 """SimHash near-dedup over a Gray-order hierarchical index (operator 2).
 
 Fingerprints that are equal are one class from the start, so a large group of
-copies costs one entry. Classes are cut into blocks of equal size along the
-Gray order; the blocks' shared bits form the upper nodes of the index, a small
-table by which each fingerprint is sent only to the blocks that it can match.
-Inside a block a task searches its own hierarchical index and sends back a
-spanning forest of the links that it has found, never the pairs themselves.
+copies costs one entry. The Gray order is cut into blocks by the leading bits
+that their fingerprints share; a block that holds too many is cut again, by
+further bits. These upper nodes follow from the bits alone: a fingerprint is
+sent to the nodes whose shared bits differ from its own by no more than the
+radius, and what has differed already counts in the nodes below. Inside a
+block a task searches its own hierarchical index and sends back a spanning
+forest of the links that it has found, never the pairs themselves.
 Near-copies by set similarity take two rounds: the index only proposes pairs,
 and each is verified by the exact Jaccard similarity before it is an edge.
 """
@@ -13,6 +15,9 @@ and each is verified by the exact Jaccard similarity before it is an edge.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
 from ..operators.components import connected_components
-from .gray_index import GrayIndex, PatternTree, gray_rank, spanning, unite
+from .common import drop_table, id_text, materialize, texts
+from .gray_index import GrayIndex, gray_rank, spanning, unite
 
-SIGN = np.uint64(1 << 63)
-#: Rows of a block of the index, and the least number of blocks (for the tasks to share).
-BLOCK_ROWS, LEAST_BLOCKS = 32_768, 64
+#: Rows of a block of the index, the least number of blocks (for the tasks to share), bits of a further cut, and rows routed at once.
+BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 65_536, 32, 4, 1 << 17
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -68,14 +72,100 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, id_col: str =
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([fingerprint(shingle_hashes(t, words), width) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, width)
+            f = np.array([fingerprint(shingle_hashes(t, words), width) for t in texts(batch.column("text"))], np.uint64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(f[:, k].view(np.int64)) for k in range(width))], ["doc_id", *names])
 
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(of, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0) -> DataFrame:
+def _masks(bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All words of so many bits of which radius at most are set, with how many."""
+    found = [np.zeros(1, np.uint64)]
+    for n in range(1, min(bits, radius) + 1):
+        found.append(np.array([sum(1 << i for i in c) for c in combinations(range(bits), n)], np.uint64))
+    return np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+
+def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes, columns: list[str], block_rows: int, least_blocks: int) -> DataFrame:
+    """Rows (t, depth, prefix, chunk, home, columns...): each class at every block of each table that can hold a code within the radius.
+
+    Of two blocks the one that is later in Gray order gets both codes. home
+    tells a block's own codes from those that only ask. Blocks with more than
+    four times block_rows are cut by further bits, down to single codes; a code
+    that is still too frequent is dealt to chunks, and asks all of them.
+    """
+    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes.count() / block_rows, least_blocks / tables, 1))))))
+    kinds = ", ".join(f"{x} {classes.schema[x].dataType.simpleString()}" for x in columns)
+    node_schema = f"t int, depth int, prefix long, code long, home boolean, budget int, {kinds}"
+
+    def expanded(batch: pa.RecordBatch, t, code, prefix, home, budget, was: int, now: int, rows) -> Iterator[pa.RecordBatch]:
+        """Of nodes with was bits those below with now bits that are still within the budget."""
+        masks, ones = _masks(now - was, radius)
+        own = code >> np.uint64(slice_bits - now) if now else np.zeros(len(code), np.uint64)
+        for s in range(0, len(code), step := max(1, ROUTED // len(masks))):
+            low = own[s : s + step, None] & np.uint64((1 << (now - was)) - 1)
+            child = (prefix[s : s + step, None] << np.uint64(now - was)) | (low ^ masks[None])
+            left = budget[s : s + step, None] - ones[None]
+            mine = home[s : s + step, None]
+            there = (left >= 0) & (~mine | (gray_rank(child) >= gray_rank(own[s : s + step])[:, None]))
+            i, j = np.nonzero(there)
+            at = pa.array(rows[s + i])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t[s + i].astype(np.int32)), pa.array(np.full(len(i), now, np.int32)), pa.array(child[i, j].view(np.int64)), pa.array(code[s + i].view(np.int64)), pa.array(mine[i, 0] & (child[i, j] == own[s + i])), pa.array(left[i, j].astype(np.int32)), *(batch.column(x).take(at) for x in columns)],
+                ["t", "depth", "prefix", "code", "home", "budget", *columns],
+            )
+
+    def first(batches):
+        for batch in batches:
+            n = batch.num_rows
+            for t in range(tables):
+                yield from expanded(batch, np.full(n, t), codes(batch, t), np.zeros(n, np.uint64), np.ones(n, bool), np.full(n, radius), 0, depth, np.arange(n))
+
+    def further(was: int, now: int):
+        def of(batches):
+            for batch in batches:
+                t, code, prefix, home, budget = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("t", "code", "prefix", "home", "budget"))
+                yield from expanded(batch, t, code.view(np.uint64), prefix.view(np.uint64), home, budget, was, now, np.arange(batch.num_rows))
+
+        return of
+
+    def owners(batches):
+        for batch in batches:
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(codes(batch, t).view(np.int64))], ["t", "code"])
+
+    # blocks that are too full: as many rows as there are such blocks, and hardly ever one
+    owned, full, now = classes.mapInArrow(owners, "t int, code long"), [], depth
+    while True:
+        prefix = F.shiftrightunsigned("code", slice_bits - now) if now else F.lit(0).cast("long")
+        counted = owned.groupBy("t", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * block_rows)
+        full.append(materialize(counted.withColumn("depth", F.lit(now)), "full-blocks"))
+        if now == slice_bits or full[-1].isEmpty():
+            break
+        owned = owned.withColumn("prefix", prefix).join(full[-1].select("t", "prefix"), ["t", "prefix"], "left_semi").select("t", "code")
+        now = min(slice_bits, now + CUT_BITS)
+    sent, out = classes.mapInArrow(first, node_schema), []
+    keep = ["t", "depth", "prefix", F.lit(0).alias("chunk"), "home", *columns]
+    for k, counted in enumerate(full):
+        if counted.isEmpty():
+            out.append(sent.select(*keep))
+            break
+        was = min(slice_bits, depth + k * CUT_BITS)
+        marked = sent.join(counted.select("t", "prefix", F.col("n").alias("_n")), ["t", "prefix"], "left")
+        out.append(marked.where("_n is null").select(*keep))
+        inner = marked.where("_n is not null")
+        if was == slice_bits:  # one code many times over
+            chunks = F.ceil(F.col("_n") / block_rows).cast("int")
+            mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+            dealt = inner.withColumn("_mine", mine).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            out.append(dealt.select("t", "depth", "prefix", "chunk", (F.col("home") & (F.col("chunk") == F.col("_mine"))).alias("home"), *columns))
+        else:
+            sent = inner.select("t", "depth", "prefix", "code", "home", "budget", *columns).mapInArrow(further(was, min(slice_bits, was + CUT_BITS)), node_schema)
+    return reduce(DataFrame.union, out)
+
+
+def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """Edges (a, b) that connect exactly the classes (node, f0, f1, ...) which links connect.
 
     A link: some slice of slice_bits differs in slice_radius bits at most, and
@@ -92,58 +182,20 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
     more = ["n", "part"] if propose else []
     mask = np.uint64(2**slice_bits - 1)
 
-    def code(columns: list[np.ndarray], t: int) -> np.ndarray:
+    def sliced(columns: list[np.ndarray], t: int) -> np.ndarray:
         return (columns[t // per_word] >> np.uint64(slice_bits * (t % per_word))) & mask
 
-    def words(batch) -> list[np.ndarray]:
-        return [batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in names]
-
-    def ranks(batches):
-        for batch in batches:
-            f = words(batch)
-            for t in range(tables):
-                c = code(f, t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), t, np.int32)), pa.array((gray_rank(c) ^ SIGN).view(np.int64)), pa.array(c.view(np.int64))], ["t", "rank", "code"])
-
-    ranked = classes.mapInArrow(ranks, "t int, rank long, code long")
-    blocks = max(-(-LEAST_BLOCKS // tables), -(-classes.count() // BLOCK_ROWS))
-    cuts = {r["t"]: np.array(r["cuts"] or [], np.int64) for r in ranked.groupBy("t").agg(F.percentile_approx("rank", [i / blocks for i in range(1, blocks)] or [0.5], 20 * blocks).alias("cuts")).collect()}
-    bounds = {t: np.unique(c) for t, c in cuts.items()}
+    def codes(batch, t: int) -> np.ndarray:
+        return (batch.column(names[t // per_word]).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(slice_bits * (t % per_word))) & mask
 
-    def placed(batches):
-        for batch in batches:
-            t, rank = batch.column("t").to_numpy(), batch.column("rank").to_numpy()
-            b = np.empty(len(t), np.int32)
-            for x in np.unique(t):
-                b[t == x] = np.searchsorted(bounds[x], rank[t == x], "right")
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(b), batch.column("code")], ["t", "b", "code"])
-
-    # upper nodes: the bits that all codes of a block share; as many rows as there are blocks
-    roots = ranked.mapInArrow(placed, "t int, b int, code long").groupBy("t", "b").agg(F.bit_and("code").alias("a"), F.bit_or("code").alias("o")).collect()
-    upper = {}
-    for t in {r["t"] for r in roots}:
-        mine = sorted((r["b"], r["a"], r["o"]) for r in roots if r["t"] == t)
-        upper[t] = (np.array([m[0] for m in mine]), PatternTree(np.array([m[1] for m in mine], np.int64).view(np.uint64), np.array([m[2] for m in mine], np.int64).view(np.uint64)))
-
-    def routed(batches):
-        for batch in batches:
-            f, node, extra = words(batch), batch.column("node").to_numpy(), [batch.column(x).to_numpy() for x in more]
-            for t in range(tables):
-                c = code(f, t)
-                home = np.searchsorted(bounds[t], (gray_rank(c) ^ SIGN).view(np.int64), "right")
-                for s in range(0, len(c), 4096):
-                    q, run = upper[t][1].search(c[s : s + 4096], slice_radius)
-                    b = upper[t][0][run]
-                    q = q + s
-                    there = b >= home[q]  # a pair of blocks meets in the later one
-                    q, b = q[there], b[there]
-                    yield pa.RecordBatch.from_arrays([pa.array((b * tables + t).astype(np.int32)), pa.array(b == home[q]), pa.array(node[q]), *(pa.array(x[q].view(np.int64)) for x in f), *(pa.array(x[q]) for x in extra)], ["block", "home", "node", *names, *more])
+    def of_block(rows) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        return rows.column("node").to_numpy(), [rows.column(x).to_numpy().view(np.uint64) for x in names], rows.column("home").to_numpy(zero_copy_only=False)
 
     def linked(key, rows):
-        t = key[0].as_py() % tables
-        node, home = rows.column("node").to_numpy(), np.flatnonzero(rows.column("home").to_numpy(zero_copy_only=False))
-        f = [rows.column(x).to_numpy().view(np.uint64) for x in names]
-        c, label = code(f, t), np.arange(len(node))
+        t = key[0].as_py()
+        node, f, home = of_block(rows)
+        home = np.flatnonzero(home)
+        c, label = sliced(f, t), np.arange(len(node))
         if len(home):
             for q, at in GrayIndex(c[home]).search(c, slice_radius):
                 at = home[at]
@@ -155,11 +207,11 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
         return pa.table({"a": node[out], "b": node[label[out]]})
 
     def proposed(key, rows):
-        t = key[0].as_py() % tables
-        node, n, part = (rows.column(x).to_numpy() for x in ("node", *more))
-        is_home = rows.column("home").to_numpy(zero_copy_only=False)
-        f, home = [rows.column(x).to_numpy().view(np.uint64) for x in names], np.flatnonzero(is_home)
-        c, label, found = code(f, t), np.unique(part, return_inverse=True)[1], []
+        t = key[0].as_py()
+        node, f, is_home = of_block(rows)
+        n, part = (rows.column(x).to_numpy() for x in more)
+        home = np.flatnonzero(is_home)
+        c, label, found = sliced(f, t), np.unique(part, return_inverse=True)[1], []
         for q, at in GrayIndex(c[home]).search(c, slice_radius) if len(home) else ():
             at = home[at]
             ok = (label[q] != label[at]) & (~is_home[q] | (node[q] < node[at])) & (np.minimum(n[q], n[at]) >= ratio * np.maximum(n[q], n[at]) - 1e-9)
@@ -173,18 +225,40 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
                     found += spanning(label, q[ok], at[ok])
             else:
                 for u in range(t):  # a pair that an earlier slice has found too is that slice's
-                    x = code(f, u)
+                    x = sliced(f, u)
                     ok = np.bitwise_count(x[q] ^ x[at]) > slice_radius
                     q, at = q[ok], at[ok]
                 found.append((q, at))
         a, b = (np.concatenate([node[:0], *(node[x[k]] for x in found)]) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    sent = classes.mapInArrow(routed, "block int, home boolean, node long, " + ", ".join(f"{x} long" for x in (*names, *more)))
-    return sent.groupBy("block").applyInArrow(proposed if propose else linked, "a long, b long")
+    sent = _blocks(classes, tables, slice_bits, slice_radius, codes, ["node", *names, *more], block_rows, least_blocks)
+    return sent.groupBy("t", "depth", "prefix", "chunk").applyInArrow(proposed if propose else linked, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = 5, width: int = 5, slice_bits: int = 20, slice_radius: int = 1, radius: int = 54, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def slices_for(n: int, threshold: float = 0.8, recall: float = 0.98, most: float = 2.0) -> tuple[int, int, int, int]:
+    """(words, bits of a slice, its radius, radius of all bits) to look for sets with a Jaccard similarity of threshold among n.
+
+    Slices grow with the logarithm of n, so that at most so many codes that have
+    nothing to do with a set are within the radius of its own. Their number is
+    such that a pair at the threshold meets in one of them with the probability
+    recall; of the ways to do so the one that visits the fewest nodes is taken.
+    """
+    apart = np.arccos(2 * threshold / (1 + threshold)) / np.pi  # the share of bits that differ, for sets of equal size
+    ways = []
+    for bits in (32, 40, 48, 56, 64):
+        for radius in (3, 4):
+            if n * sum(comb(bits, i) for i in range(radius + 1)) <= most * 2.0**bits:
+                p = sum(comb(bits, i) * apart**i * (1 - apart) ** (bits - i) for i in range(radius + 1))
+                tables = int(np.ceil(np.log(1 - recall) / np.log(1 - p)))
+                ways.append((tables * sum(comb(15, i) for i in range(radius + 1)), -(-tables // (64 // bits)), bits, radius))
+    if not ways:
+        raise ValueError("too many sets for slices of 64 bits")
+    _, words, bits, radius = min(ways)
+    return words, bits, radius, int(np.ceil(64 * words * apart + 3.5 * np.sqrt(64 * words * apart * (1 - apart))))
+
+
+def simhash_components(docs: DataFrame, words: int = 3, width: int = 1, slice_bits: int = 64, slice_radius: int = 2, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, f0, f1, ..., component_id.
 
     component_id is the smallest doc_id that links reach, its own included. A
@@ -216,7 +290,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     def sets(batches):
         for batch in batches:
             for i in range(0, len(batch), 256):
-                h = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").slice(i, 256).to_pylist()]
+                h = [np.unique(shingle_hashes(t, words)) for t in texts(batch.column("text").slice(i, 256))]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in h], pa.int64()), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["node", "s"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -228,15 +302,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold).select("a", "b")
 
 
-def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, width: int = 5, slice_bits: int = 20, slice_radius: int = 2, radius: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach) of each row with an id.
 
     A link: the sets of five-word shingles have a Jaccard similarity of
     threshold or more, decided exactly. Which pairs are looked at the index over
-    320-bit fingerprints of the sets proposes. Equal sets are one class. A forest
-    of proposals is verified first; then all proposals between the components
-    that this has left, so that large groups do not bring all of their pairs.
+    fingerprints of the sets proposes; slices_for() tells their width. Equal sets
+    are one class. A forest of proposals is verified first; then all proposals
+    between the components that this has left, so that large groups do not bring
+    all of their pairs. A null text counts as empty; repeated rows come out as
+    often as they come in; an empty table gives an empty result.
     """
+    width, slice_bits, slice_radius, radius = slices_for(max(1, docs.count()), threshold, recall)
     names = [f"f{k}" for k in range(width)]
 
     def row(text):
@@ -245,7 +322,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, wid
 
     def of(batches):
         for batch in batches:
-            made = np.array([row(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 2 + width)
+            made = np.array([row(t) for t in texts(batch.column("text"))], np.int64).reshape(-1, 2 + width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, k]) for k in range(2 + width))], ["doc_id", "node", "n", *names])
 
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
@@ -257,6 +334,8 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, wid
         parts = materialize(parts.select("node", *names, "n", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
         pairs = materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold).distinct(), "proposed")
         good = materialize(_verified(pairs, classes, rows, words, threshold), "verified")
+        drop_table(pairs)
+        drop_table(parts)
         linked = good if linked is None else linked.union(good)
     found = classes.select("node", "doc_id").join(connected_components(linked), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

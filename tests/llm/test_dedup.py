@@ -37,13 +37,50 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_directory_splits_overfull_buckets(spark):
+def random_documents(spark, n=2000):
     rng = random.Random(1)
-    docs = spark.createDataFrame([(i, "%030x" % rng.getrandbits(120)) for i in range(2000)], "doc_id long, text string")
-    index = exact_dedup.build_index(docs, bucket_bytes=10_000).toPandas()
+    return spark.createDataFrame([(i, "%030x" % rng.getrandbits(120)) for i in range(n)], "doc_id long, text string")
+
+
+def test_directory_splits_overfull_buckets(spark):
+    index = exact_dedup.build_index(random_documents(spark), bucket_bytes=10_000).entries.toPandas()
     per = index.groupby("bucket").size()
-    assert len(index) == 2000 and (per * 94 <= 10_000).all() and len(per) > 19
+    assert len(index) == 2000 and (per * exact_dedup.ENTRY_BYTES <= 10_000).all() and len(per) > 25
     assert index.groupby("bucket").local_depth.nunique().max() == 1
+    assert (index.bucket.str.len() - 1 == index.local_depth).all()
+
+
+def test_lookup_goes_by_the_directory(spark):
+    docs = random_documents(spark, 400)
+    index = exact_dedup.build_index(docs, bucket_bytes=10_000)
+    right = exact_dedup.verdicts(docs, index)
+    assert right.count() == right.where("kept").count() == 400
+    names = [r["bucket"] for r in index.directory.select("bucket").distinct().orderBy("bucket").collect()]
+    wrong = index.directory.replace(dict(zip(names, names[1:] + names[:1], strict=True)), subset=["bucket"])
+    assert exact_dedup.verdicts(docs, index._replace(directory=wrong)).count() == 0
+
+
+def test_a_split_writes_one_buckets_entries(spark):
+    import glob
+
+    docs = random_documents(spark, 400)
+    index = exact_dedup.build_index(docs, bucket_bytes=40_000)
+    sizes = sorted((r["count"], r["bucket"]) for r in index.entries.groupBy("bucket").count().collect())
+    assert len(sizes) == 2 and sizes[0][0] < sizes[1][0]
+    place = index.path.removeprefix("file://")
+
+    def files():
+        return {f: open(f, "rb").read() for f in glob.glob(f"{place}/bucket=*/*.parquet")}
+
+    before = files()
+    grown = exact_dedup.split_overfull(index, sizes[0][0] * exact_dedup.ENTRY_BYTES)
+    after = files()
+    gone = {f.split("bucket=")[1].split("/")[0] for f in before if f not in after}
+    new = {f.split("bucket=")[1].split("/")[0] for f in after if f not in before}
+    assert gone == {sizes[1][1]} and new == {sizes[1][1] + "0", sizes[1][1] + "1"} and grown.depth == index.depth + 1
+    assert all(after[f] == before[f] for f in before if f in after)
+    got = exact_dedup.verdicts(docs, grown)
+    assert got.count() == got.where("kept").count() == 400
 
 
 @settings(max_examples=50, deadline=None)
@@ -106,6 +143,65 @@ def test_simhash_query_against_brute_force(spark):
     assert got == {i: (f"{f[k]:016x}", rows[c[k]][0]) for k, (i, _) in enumerate(rows)}
 
 
+def test_full_blocks_are_cut_and_common_codes_dealt(spark):
+    """Blocks of 16 rows at most, codes that crowd in one corner, and in slices the same code many times over: the links are those of brute force."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 20, np.uint64)
+    near = base[rng.integers(0, 20, 400)] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    corner = np.uint64(5) << np.uint64(58) | rng.integers(0, 2**12, 300).astype(np.uint64)
+    f = np.unique(np.concatenate([base, near, corner, rng.integers(0, 2**63, 300, np.uint64)]))
+    df = spark.createDataFrame([(i, int(x.view(np.int64))) for i, x in enumerate(f)], "node long, f0 long")
+    diff = np.bitwise_count(f[:, None] ^ f[None])
+    half = [f >> np.uint64(s) & np.uint64(2**32 - 1) for s in (0, 32)]
+    near_half = [np.bitwise_count(h[:, None] ^ h[None]) <= 1 for h in half]
+
+    def classes_of(u, v):
+        label = np.arange(len(f))
+        gray_index.unite(label, u, v)
+        return label
+
+    for bits, slice_radius, radius, links in ((64, 2, 2, diff <= 2), (32, 1, 6, (near_half[0] | near_half[1]) & (diff <= 6))):
+        found = simhash.near_edges(df, 1, bits, slice_radius, radius, block_rows=4, least_blocks=8).collect()
+        want, got = classes_of(*np.nonzero(np.triu(links, 1))), classes_of(np.array([r["a"] for r in found]), np.array([r["b"] for r in found]))
+        assert (want == got).all() and len(np.unique(want)) < len(f)
+
+
+def test_slices_grow_with_the_number_of_sets():
+    """Codes that meet a set by chance do not rise from a hundred thousand sets to ten billion."""
+    from math import comb
+
+    for n in (10**5, 10**6, 10**7, 10**8, 10**9, 10**10):
+        _, bits, r, _ = simhash.slices_for(n)
+        assert n * sum(comb(bits, i) for i in range(r + 1)) / 2**bits <= 2
+
+
+def test_candidates_of_random_codes_do_not_grow():
+    rng, met = np.random.default_rng(5), []
+    for n in (100_000, 1_000_000):
+        _, bits, r, _ = simhash.slices_for(n)
+        codes = rng.integers(0, 2**bits, n, np.uint64)
+        met.append(sum(len(q) for q, _ in gray_index.GrayIndex(codes).search(codes[:500], r)) / 500 - 1)
+    assert met[1] <= 2 and met[0] <= 2
+
+
+def test_recall_of_planted_pairs(spark):
+    """Of pairs at a similarity of 0.80 to 0.85 at least nine in ten are found, by the index alone."""
+    rng = random.Random(11)
+    texts, planted = [], 0
+    for k in range(400):
+        words = [f"w{k}_{i}" for i in range(104 + rng.randrange(300))]
+        own = len(words) - 4
+        changed = int(own * rng.uniform(0.0815, 0.11))  # a run at the end, so each word changes one shingle
+        j = (own - changed) / (own + changed)
+        planted += 0.8 <= j <= 0.85
+        texts += [" ".join(words), " ".join(words[:-changed] + [f"x{k}_{i}" for i in range(changed)])]
+        if not 0.8 <= j <= 0.85:
+            texts = texts[:-2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.near_deduplicated(df).count()
+    assert planted > 300 and 2 * planted - kept >= 0.95 * planted
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
