@@ -31,6 +31,8 @@ from .gray_index import GrayIndex, gray_rank, spanning, unite
 
 #: Rows of a block of the index, the least number of blocks (for the tasks to share), bits of a further cut, and rows routed at once.
 BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 65_536, 32, 4, 1 << 17
+#: Words of a fingerprint that a proposal compares as a whole.
+COMPARED = 4
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -88,7 +90,7 @@ def _masks(bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes, columns: list[str], block_rows: int, least_blocks: int) -> DataFrame:
-    """Rows (t, depth, prefix, chunk, home, columns...): each class at every block of each table that can hold a code within the radius.
+    """Rows (t, depth, prefix, chunk, home, code, columns...): each class at every block of each table that can hold a code within the radius.
 
     Of two blocks the one that is later in Gray order gets both codes. home
     tells a block's own codes from those that only ask. Blocks with more than
@@ -146,7 +148,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
         owned = owned.withColumn("prefix", prefix).join(full[-1].select("t", "prefix"), ["t", "prefix"], "left_semi").select("t", "code")
         now = min(slice_bits, now + CUT_BITS)
     sent, out = classes.mapInArrow(first, node_schema), []
-    keep = ["t", "depth", "prefix", F.lit(0).alias("chunk"), "home", *columns]
+    keep = ["t", "depth", "prefix", F.lit(0).alias("chunk"), "home", "code", *columns]
     for k, counted in enumerate(full):
         if counted.isEmpty():
             out.append(sent.select(*keep))
@@ -159,7 +161,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
             chunks = F.ceil(F.col("_n") / block_rows).cast("int")
             mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
             dealt = inner.withColumn("_mine", mine).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            out.append(dealt.select("t", "depth", "prefix", "chunk", (F.col("home") & (F.col("chunk") == F.col("_mine"))).alias("home"), *columns))
+            out.append(dealt.select("t", "depth", "prefix", "chunk", (F.col("home") & (F.col("chunk") == F.col("_mine"))).alias("home"), "code", *columns))
         else:
             sent = inner.select("t", "depth", "prefix", "code", "home", "budget", *columns).mapInArrow(further(was, min(slice_bits, was + CUT_BITS)), node_schema)
     return reduce(DataFrame.union, out)
@@ -169,93 +171,88 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
     """Edges (a, b) that connect exactly the classes (node, f0, f1, ...) which links connect.
 
     A link: some slice of slice_bits differs in slice_radius bits at most, and
-    all bits together in radius bits at most. With one slice that holds all
-    bits both are the same, and the result is exact.
+    the first COMPARED words together in radius bits at most. With one slice that
+    holds all bits both are the same, and the result is exact.
 
     With propose the classes have n, the size of their set, and part as well,
     and the edges are links themselves, between sets of which the smaller has
     at least ratio of the larger's size: "forest" gives those that span each
-    block, near ones first, "all" every link between different parts, once.
+    block, near ones first, "all" every link between different parts, in each
+    slice that finds it.
     """
     per_word = 64 // slice_bits
     tables, names = width * per_word, [f"f{k}" for k in range(width)]
+    compared = names[:COMPARED] if tables > 1 else []
     more = ["n", "part"] if propose else []
     mask = np.uint64(2**slice_bits - 1)
 
-    def sliced(columns: list[np.ndarray], t: int) -> np.ndarray:
-        return (columns[t // per_word] >> np.uint64(slice_bits * (t % per_word))) & mask
-
     def codes(batch, t: int) -> np.ndarray:
         return (batch.column(names[t // per_word]).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(slice_bits * (t % per_word))) & mask
 
-    def of_block(rows) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        return rows.column("node").to_numpy(), [rows.column(x).to_numpy().view(np.uint64) for x in names], rows.column("home").to_numpy(zero_copy_only=False)
+    def of_block(rows) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        return rows.column("node").to_numpy(), rows.column("code").to_numpy().view(np.uint64), [rows.column(x).to_numpy().view(np.uint64) for x in compared], rows.column("home").to_numpy(zero_copy_only=False)
+
+    def apart(f: list[np.ndarray], q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return sum((np.bitwise_count(x[q] ^ x[at]).astype(np.int32) for x in f), np.zeros(len(q), np.int32))
 
     def linked(key, rows):
-        t = key[0].as_py()
-        node, f, home = of_block(rows)
-        home = np.flatnonzero(home)
-        c, label = sliced(f, t), np.arange(len(node))
+        node, c, f, home = of_block(rows)
+        home, label = np.flatnonzero(home), np.arange(len(node))
         if len(home):
             for q, at in GrayIndex(c[home]).search(c, slice_radius):
                 at = home[at]
-                if width > 1 or per_word > 1:
-                    near = sum(np.bitwise_count(x[q] ^ x[at]).astype(np.int32) for x in f) <= radius
-                    q, at = q[near], at[near]
-                unite(label, q, at)
+                near = apart(f, q, at) <= radius
+                unite(label, q[near], at[near])
         out = np.flatnonzero(label != np.arange(len(node)))
         return pa.table({"a": node[out], "b": node[label[out]]})
 
     def proposed(key, rows):
-        t = key[0].as_py()
-        node, f, is_home = of_block(rows)
+        node, c, f, is_home = of_block(rows)
         n, part = (rows.column(x).to_numpy() for x in more)
-        home = np.flatnonzero(is_home)
-        c, label, found = sliced(f, t), np.unique(part, return_inverse=True)[1], []
+        home, label, found = np.flatnonzero(is_home), np.unique(part, return_inverse=True)[1], []
         for q, at in GrayIndex(c[home]).search(c, slice_radius) if len(home) else ():
             at = home[at]
             ok = (label[q] != label[at]) & (~is_home[q] | (node[q] < node[at])) & (np.minimum(n[q], n[at]) >= ratio * np.maximum(n[q], n[at]) - 1e-9)
             q, at = q[ok], at[ok]
-            apart = sum(np.bitwise_count(x[q] ^ x[at]).astype(np.int32) for x in f)
-            ok = apart <= radius
-            q, at, apart = q[ok], at[ok], apart[ok]
+            far = apart(f, q, at)
+            ok = far <= radius
+            q, at, far = q[ok], at[ok], far[ok]
             if propose == "forest":
                 for most in (radius // 4, radius // 2, radius * 3 // 4, radius):
-                    ok = apart <= most
+                    ok = far <= most
                     found += spanning(label, q[ok], at[ok])
             else:
-                for u in range(t):  # a pair that an earlier slice has found too is that slice's
-                    x = sliced(f, u)
-                    ok = np.bitwise_count(x[q] ^ x[at]) > slice_radius
-                    q, at = q[ok], at[ok]
                 found.append((q, at))
         a, b = (np.concatenate([node[:0], *(node[x[k]] for x in found)]) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    sent = _blocks(classes, tables, slice_bits, slice_radius, codes, ["node", *names, *more], block_rows, least_blocks)
+    sent = _blocks(classes, tables, slice_bits, slice_radius, codes, ["node", *compared, *more], block_rows, least_blocks)
     return sent.groupBy("t", "depth", "prefix", "chunk").applyInArrow(proposed if propose else linked, "a long, b long")
 
 
 def slices_for(n: int, threshold: float = 0.8, recall: float = 0.98, most: float = 2.0) -> tuple[int, int, int, int]:
-    """(words, bits of a slice, its radius, radius of all bits) to look for sets with a Jaccard similarity of threshold among n.
+    """(words, bits of a slice, its radius, radius of the compared words) to look for sets with a Jaccard similarity of threshold among n.
 
     Slices grow with the logarithm of n, so that at most so many codes that have
     nothing to do with a set are within the radius of its own. Their number is
     such that a pair at the threshold meets in one of them with the probability
-    recall; of the ways to do so the one that visits the fewest nodes is taken.
+    recall; of the ways to do so the cheapest is taken, by the nodes that a
+    search visits and, worth a hundred of these each, the words of a fingerprint.
     """
     apart = np.arccos(2 * threshold / (1 + threshold)) / np.pi  # the share of bits that differ, for sets of equal size
     ways = []
-    for bits in (32, 40, 48, 56, 64):
-        for radius in (3, 4):
+    for bits in (24, 28, 32, 40, 48, 56, 64):
+        for radius in (2, 3, 4):
             if n * sum(comb(bits, i) for i in range(radius + 1)) <= most * 2.0**bits:
                 p = sum(comb(bits, i) * apart**i * (1 - apart) ** (bits - i) for i in range(radius + 1))
                 tables = int(np.ceil(np.log(1 - recall) / np.log(1 - p)))
-                ways.append((tables * sum(comb(15, i) for i in range(radius + 1)), -(-tables // (64 // bits)), bits, radius))
+                words = -(-tables // (64 // bits))
+                ways.append((tables * sum(comb(15, i) for i in range(radius + 1)) + 100 * words, words, bits, radius))
     if not ways:
         raise ValueError("too many sets for slices of 64 bits")
     _, words, bits, radius = min(ways)
-    return words, bits, radius, int(np.ceil(64 * words * apart + 3.5 * np.sqrt(64 * words * apart * (1 - apart))))
+    compared = 64 * min(words, COMPARED)
+    return words, bits, radius, int(np.ceil(compared * apart + 3.5 * np.sqrt(compared * apart * (1 - apart))))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, width: int = 1, slice_bits: int = 64, slice_radius: int = 2, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
