@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, new_folder
 
 #: Bytes that an entry takes, that a bucket may hold, and of the buckets that an owner task takes.
-ENTRY_BYTES, BUCKET_BYTES, OWNER_BYTES = 128, 4 << 20, 64 << 20
+ENTRY_BYTES, BUCKET_BYTES, OWNER_BYTES = 128, 4 << 20, 8 << 20
 MAX_DEPTH = 40
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
