@@ -10,19 +10,21 @@ small lead over the next codeword marks the text as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialize, texts
+
 #: Trigram cells; margins per unit of mean log-odds; least lead (in loss) of a clear decision.
 CELLS_LOG2, SHARPNESS, CLEAR_LEAD = 16, 4.0, 0.5
 #: At most about so many rows, of those to learn from, tell how far each bit is to be trusted.
 TRUST_ROWS = 20_000
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def trigram_cells(text: str) -> np.ndarray:
@@ -33,16 +35,14 @@ def trigram_cells(text: str) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """(languages, bits) of -1 and 1: all ways to split up to five languages in two, beyond that random dense ones."""
-    if n <= 5:
-        bits = [[1 if s >> k & 1 else -1 for k in range(n)] for s in range(1, 2 ** max(n - 1, 0))] or [[1] * n]
-        return np.array(bits, np.int8).T.reshape(n, -1)
+    """(languages, bits) of -1 and 1: splits of the languages into halves, of many draws the one whose codewords are the furthest apart."""
     rng, bits = np.random.default_rng(7), max(15, int(np.ceil(10 * np.log2(n))))
+    halves = np.where(np.arange(n) < (n + 1) // 2, 1, -1).astype(np.int8)
     best, apart = None, -1
     for _ in range(200):
-        c = rng.choice(np.array([-1, 1], np.int8), (n, bits))
-        far = min(int((c[i] != c[:i]).sum(axis=1).min()) for i in range(1, n))
-        if far > apart and (np.abs(c.sum(axis=0)) < n).all():
+        c = rng.permuted(np.tile(halves, (bits, 1)), axis=1).T
+        far = min((int((c[i] != c[:i]).sum(axis=1).min()) for i in range(1, n)), default=bits)
+        if far > apart:
             best, apart = c, far
     return best
 
@@ -53,15 +53,10 @@ def in_fold(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs))
-        smooth = counts + 0.5
-        share = smooth / smooth.sum(axis=1, keepdims=True)
-        weights = []
-        for bits in self.code.T:
-            one, zero = share[bits == 1], share[bits == -1]
-            weights.append(np.log(one.mean(axis=0) / zero.mean(axis=0)) if len(one) and len(zero) else np.zeros(share.shape[1]))
-        self.weights = np.stack(weights, axis=1).astype(np.float32)
+    """langs, their codewords, and for each bit a weight of each cell and the trust that each language has in it."""
+
+    def __init__(self, langs: list[str], code: np.ndarray, weights: np.ndarray):
+        self.langs, self.code, self.weights = langs, code, weights.astype(np.float32)
         self.trust = np.full(self.code.shape, 1 / self.code.shape[1])
 
     def margins(self, text: str) -> np.ndarray:
@@ -89,7 +84,7 @@ def fit(rows: DataFrame, trust_rows: int = TRUST_ROWS) -> Model | None:
         sums: dict[str, np.ndarray] = {}
         n = 0
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 if _LETTER.search(text):
                     if lang not in sums:
                         sums[lang] = np.zeros(cells, np.int64)
@@ -100,21 +95,34 @@ def fit(rows: DataFrame, trust_rows: int = TRUST_ROWS) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "cell", "n"])
 
     sums = known.select("text", "lang").mapInArrow(counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # as many rows as there are cells, for each language
-    langs = sorted(set(got.column("lang").to_pylist()))
+    sums = materialize(sums, "trigrams")
+    total = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
+    langs = sorted(total)
     if not langs:
         return None
-    counts = np.zeros((len(langs), cells))
-    where = {x: i for i, x in enumerate(langs)}
-    counts[[where[x] for x in got.column("lang").to_pylist()], got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    model = Model(langs, counts)
+    where, code = {x: i for i, x in enumerate(langs)}, codewords(len(langs))
+    bits = code.shape[1]
+    # a cell's share of a language is (n + 1/2) / whole; only their sums over either half of a bit go to the driver
+    whole = np.array([total[x] + cells / 2 for x in langs], float)
+    halves = sums.sparkSession.createDataFrame([(x, 1 / float(whole[i]), (code[i] == 1).tolist()) for x, i in where.items()], "lang string, scale double, ones array<boolean>")
+    part = F.col("n") * F.col("scale")
+    got = sums.join(halves, "lang").groupBy("cell").agg(F.sum(part).alias("all"), *(F.sum(F.when(F.col("ones")[b], part).otherwise(0.0)).alias(f"b{b}") for b in range(bits))).toArrow()
+    at = got.column("cell").to_numpy()
+    every, one = np.full(cells, (0.5 / whole).sum()), np.tile((0.5 / whole) @ (code == 1), (cells, 1))
+    every[at] += got.column("all").to_numpy()
+    for b in range(bits):
+        one[at, b] += got.column(f"b{b}").to_numpy()
+    of_one, of_zero = (code == 1).sum(axis=0), (code == -1).sum(axis=0)
+    weights = np.log((one / of_one) / ((every[:, None] - one) / of_zero)) if len(langs) > 1 else np.zeros((cells, bits))
+    model = Model(langs, code, weights)
+    drop_table(sums)
     share = min(1.0, trust_rows / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1)).select("text", "lang")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right = np.zeros((*model.code.shape, 2), np.int64)
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist(), strict=True):
                 if _LETTER.search(text):
                     ok = model.code[where[lang]] * model.margins(text) > 0
                     right[where[lang], np.arange(len(ok)), 0] += ok
@@ -142,11 +150,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            there = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
-            lang, score, lead = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+            n = batch.num_rows
+            there, margins = [], []
+            for i, t in enumerate(texts(batch.column("text")) if model else ()):
+                if _LETTER.search(t):
+                    there.append(i)
+                    margins.append(model.margins(t))
+            lang, score, lead = np.full(n, "und", object), np.zeros(n), np.zeros(n)
             if there:
-                first, p, gap = model.decode(np.stack([model.margins(texts[i]) for i in there]))
+                first, p, gap = model.decode(np.stack(margins))
                 lang[there], score[there], lead[there] = [model.langs[k] for k in first], p, gap
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(lead < CLEAR_LEAD)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
