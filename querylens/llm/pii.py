@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The key of the permutations; give your own.
-KEY = "querylens"
+#: Where the key of the permutations is read from, and what stands in for it in tests. Whoever knows the key can undo them.
+KEY_CONF, KEY = "spark.querylens.pii.key", "querylens"
 ROUNDS = 8
 
-#: What each kind looks like. The first kind that fits at a place has it.
+#: What each kind looks like. The first kind that fits at a place has it. A domain has up to 127 labels of up to 63
+#: characters; repeated groups are bounded, as Java's matcher recurses on them.
 LOOKS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}+",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])(?!\.[0-9])",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -115,16 +116,13 @@ class Masks:
             return f"aggregate(split({s}, ''), 0, (m, c) -> if(c rlike '[0-9]', pmod(m * 10 + ascii(c) - 48, 97), pmod(m * 100 + ascii(c) - 55, 97)))"
 
         b = "substr(d, 5)"
-        bban = self.let(self.only_digits(b), "e", f"if(e = '', {b}, {self.let(self.long_digits('iban', 'e'), 'w', self.refilled(b, 'w'))})")
+        bban = self.let(self.only_digits(b), "e", f"if(e = '', {b}, {self.let(self.digits('iban', 'e'), 'w', self.refilled(b, 'w'))})")
         check = f"lpad(98 - {mod97(chr(39) + chr(39) + ' || q || substr(d, 1, 2) || ' + chr(39) + '00' + chr(39))}, 2, '0')"
         new = self.let(bban, "q", f"concat(substr(d, 1, 2), {check}, q)")
         valid = f"length(d) between 15 and 34 and {mod97('substr(d, 5) || substr(d, 1, 4)')} = 1"
         spaced = f"array_join(transform(split({h}, ''), (c, j) -> if(c = ' ', ' ', substr(z, length(replace(substr({h}, 1, j + 1), ' ', '')), 1))), '')"
         return self.let(f"replace({h}, ' ', '')", "d", f"if({valid}, {self.let(new, 'z', spaced)}, {h})")
 
-    def long_digits(self, kind: str, d: str) -> str:
-        return self.digits(kind, d)
-
     def email(self, h: str) -> str:
         """The part before the @: letters among letters, digits among digits, other signs as they are."""
 
@@ -147,13 +145,15 @@ def kind_of(h: str) -> str:
     return "case " + " ".join(f"when {h} rlike {_quoted('^(?:' + LOOKS[k] + ')$')} then '{k}'" for k in KINDS) + " end"
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text with pseudonyms, n_<kind> replaced of each kind, n_pii.
 
     The whole text is read; a null text stays null, with no finding. Null and
     repeated ids pass through; extra columns are not read; an empty table gives
-    an empty result. No row is moved: there is no exchange in the plan.
+    an empty result. No row is moved: there is no exchange in the plan. The key
+    is the session's spark.querylens.pii.key unless one is given.
     """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     pattern = _quoted("(" + "|".join(f"(?:{p})" for p in LOOKS.values()) + ")")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # most texts hold none of the signs that every kind needs
@@ -167,7 +167,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_
     return rows.select("doc_id", text.alias("text"), *counts, F.expr("coalesce(size(filter(found, x -> x.was <> x.now)), 0)").alias("n_pii"))
 
 
-def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with pseudonyms in text and its length in n_chars; other columns as they are."""
     pattern = pseudonymised(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), key)
     return pattern.select(*((F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns))
