@@ -19,12 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
 from ..operators.components import connected_components
+from .common import drop_table, materialize
 from .gray_index import unite
 
-#: Leading dimensions of the grid, vectors of a block and of an interval that is not halved any more.
-GRID_DIMS, BLOCK, LEAF = 8, 1024, 64
+#: Leading dimensions of the grid, those by whose cells blocks meet, vectors of a block and of an interval that is not halved any more.
+GRID_DIMS, MEET_DIMS, BLOCK, LEAF = 8, 3, 16_384, 256
+#: Vectors that a task puts into grid order.
+ORDERED_ROWS = 32_768
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -34,6 +36,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: no cosine changes, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = batch.column("dim").to_numpy()
     for d in np.unique(sizes):
@@ -46,7 +53,7 @@ def _axes(classes: DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]
     def sums(batches):
         for batch in batches:
             for part in _by_size(batch):
-                x = _matrix(part.column("v"))
+                x = _scaled(_matrix(part.column("v")))
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 d = x.shape[1]
                 value = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
@@ -116,19 +123,19 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     def projected(batches):
         for batch in batches:
             for part in _by_size(batch):
-                x = _matrix(part.column("v"))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                v = _scaled(_matrix(part.column("v")))
+                x = v / np.linalg.norm(v, axis=1, keepdims=True)
                 mean, axis = axes[x.shape[1]]
                 p = np.zeros((len(x), GRID_DIMS))
                 p[:, : axis.shape[1]] = (x - mean) @ axis
                 cells = np.floor(p / reach).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "dim", "node", "copies", "v")), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))], ["label", "dim", "node", "copies", "v", "p", "cells"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "dim", "node", "copies")), pa.array(list(v), pa.list_(pa.float64())), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))], ["label", "dim", "node", "copies", "v", "p", "cells"])
 
     kind = classes.schema["label"].dataType.simpleString()
     schema = f"label {kind}, dim int, node long, copies long, v array<double>, p array<double>"
     placed = classes.mapInArrow(projected, schema + ", cells array<int>")
     order = ["label", "dim", *(F.col("cells")[i] for i in range(GRID_DIMS)), "node"]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4, -(-classes.count() // ORDERED_ROWS))
 
     def blocked(batches):
         number, held, last = -1, 0, None
@@ -147,12 +154,21 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     ordered = materialize(ordered.mapInArrow(blocked, f"block long, seq long, {schema}, cells array<int>"), "grid-order")
     boxes = ordered.groupBy("block", "label", "dim").agg(F.array(*(F.min(F.col("p")[i]) for i in range(GRID_DIMS))).alias("lo"), F.array(*(F.max(F.col("p")[i]) for i in range(GRID_DIMS))).alias("hi"))
     boxes = materialize(boxes, "boxes")
-    # blocks meet on label and the cell of the first dimension, each taken with its neighbours on one side
-    cell = f"explode(sequence(cast(floor(lo[0] / {reach}) as int) - {{0}}, cast(floor(hi[0] / {reach}) as int) + {{0}}))"
-    left = boxes.select("label", "dim", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.expr(cell.format(1)).alias("cell"))
-    right = boxes.select("label", "dim", F.col("block").alias("b"), "lo", "hi", F.expr(cell.format(0)).alias("cell"))
+    # blocks meet on label and the cell of the leading dimensions, each taken with its neighbours on one side
+
+    def met(more: int) -> list:
+        return [F.expr(f"sequence(cast(floor(lo[{i}] / {reach}) as int) - {more}, cast(floor(hi[{i}] / {reach}) as int) + {more})") for i in range(MEET_DIMS)]
+
+    def at_cells(df: DataFrame, more: int) -> DataFrame:
+        for i, cells in enumerate(met(more)):
+            df = df.withColumn(f"c{i}", F.explode(cells))
+        return df
+
+    at = [f"c{i}" for i in range(MEET_DIMS)]
+    left = at_cells(boxes, 1).select("label", "dim", F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), *at)
+    right = at_cells(boxes, 0).select("label", "dim", F.col("block").alias("b"), "lo", "hi", *at)
     gap = "aggregate(sequence(0, {0}), 0D, (s, i) -> s + pow(greatest(0D, greatest(alo[i] - hi[i], lo[i] - ahi[i])), 2))".format(GRID_DIMS - 1)
-    meet = left.join(right, ["label", "dim", "cell"]).where("a <= b").where(F.expr(gap) <= reach * reach).select("a", "b").distinct()
+    meet = left.join(right, ["label", "dim", *at]).where("a <= b").where(F.expr(gap) <= reach * reach).select("a", "b").distinct()
     meet = materialize(meet, "meetings")
     sides = meet.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(meet.where("a < b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
     sent = sides.join(ordered.select("block", "node", "copies", "v", "p", "cells"), "block").select("a", "b", "side", "node", "copies", "v", "p", "cells")
@@ -175,6 +191,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
         return pa.table({"node": node[out], "root": node[label[out]], "links": links[out]})
 
     found = materialize(sent.groupBy("a", "b").applyInArrow(linked, "node long, root long, links long"), "links")
+    for done in (ordered, boxes, meet):
+        drop_table(done)
     comps = connected_components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(links, "node", "left").join(comps, "node", "left").select(
