@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, texts
 
 #: Bytes of text of a segment (a longer text is a segment of its own); most strings that a part of a rule is spelt out to.
 SEGMENT_BYTES, MOST_SPELT = 2 << 20, 64
@@ -119,16 +119,18 @@ def trigrams(query: Query) -> set[str]:
 class SegmentIndex:
     """Postings of the asked trigrams over one segment of texts."""
 
-    def __init__(self, texts: list[bytes], table: np.ndarray, wanted: list[str]):
-        low = np.frombuffer(b"\0\0".join(texts).lower() + b"\0\0", np.uint8).astype(np.uint32)
-        ends = np.cumsum([len(t) + 2 for t in texts])
-        self.size = len(texts)
-        if len(low) > 2:
-            number = table[low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]]
+    def __init__(self, raw: list[bytes], table: np.ndarray, wanted: list[str]):
+        low = b"\0\0".join(raw).lower() + b"\0\0"
+        ends = np.cumsum([len(t) + 2 for t in raw])
+        self.size = len(raw)
+        docs, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        for start in range(0, len(low) - 2, SEGMENT_BYTES):  # a long text takes no more memory at a time than a short segment
+            part = np.frombuffer(low, np.uint8, min(SEGMENT_BYTES + 2, len(low) - start), start).astype(np.uint32)
+            number = table[part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]]
             at = np.flatnonzero(number)
-            doc, number = np.searchsorted(ends, at, "right"), number[at]
-        else:
-            doc, number = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            docs.append(np.searchsorted(ends, at + start, "right"))
+            numbers.append(number[at])
+        doc, number = np.concatenate(docs), np.concatenate(numbers)
         self.postings = {t: np.unique(doc[number == i + 1]) for i, t in enumerate(wanted)}
 
     def candidates(self, query: Query) -> np.ndarray:
@@ -149,6 +151,20 @@ def _letters(strings: set[str]) -> list[str]:
     return sorted(strings)
 
 
+def _segments(every: Iterator[str]) -> Iterator[list[tuple[str, bytes]]]:
+    """Texts with their bytes, as many as make a segment; only one segment is held."""
+    held, size = [], 0
+    for t in every:
+        raw = t.encode("utf-8", "replace")
+        if held and size + len(raw) > SEGMENT_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((t, raw))
+        size += len(raw)
+    if held:
+        yield held
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_<kind> for each base rule, base_sha256, spans.
 
@@ -168,22 +184,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rul
             table[ord(t[0]) << 16 | ord(t[1]) << 8 | ord(t[2])] = i + 1
         compiled = [r.compiled() for r in rules]
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            raw = [t.encode("utf-8", "replace") for t in texts]
-            found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(raw[end]) <= SEGMENT_BYTES):
-                    size += len(raw[end])
-                    end += 1
-                index = SegmentIndex(raw[at:end], table, wanted)
+            found: list[list[tuple[int, int, int]]] = []
+            for segment in _segments(texts(batch.column("text"))):
+                index, here = SegmentIndex([raw for _, raw in segment], table, wanted), [[] for _ in segment]
                 for k, (rule, query, pattern) in enumerate(zip(rules, queries, compiled, strict=True)):
                     for i in index.candidates(query):
-                        for m in pattern.finditer(texts[at + i]):
+                        for m in pattern.finditer(segment[i][0]):
                             if len(m.group(rule.group)) >= rule.least:
-                                found[at + i].append((m.start(), k, m.end()))
-                at = end
+                                here[i].append((m.start(), k, m.end()))
+                found += here
             counts = [[sum(rules[k].kind == r.kind for _, k, _ in f) for f in found] for r in base]
             spans = [[(rules[k].kind, f"{rules[k].kind}:{s}:{e}") for s, k, e in sorted(f)] for f in found]
             sha = [hashlib.sha256(",".join(x for kind, x in f if kind in is_base).encode()).hexdigest() for f in spans]
