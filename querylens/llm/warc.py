@@ -10,8 +10,10 @@ headers first, and passes over a payload that nothing asks for.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -104,23 +106,13 @@ def _line_headers(stream: BinaryIO) -> dict[str, str] | None:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, with_payload: bool):
+    """Records of files whose header fields hold one of the given values; a partition for each file."""
+
+    def __init__(self, path: str, with_payload: bool, only: dict[str, Iterable[str]] | None = None):
         self.path, self.with_payload = path, with_payload
-        self.only: dict[str, set[str]] = {}
+        self.only = {n: set(v) for n, v in (only or {}).items()}
         self.present: set[str] = set()
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if isinstance(f, EqualTo) and name in FIELDS:
-                self.only[name] = self.only.get(name, {f.value}) & {f.value}
-            elif isinstance(f, In) and name in FIELDS:
-                self.only[name] = self.only.get(name, set(f.value)) & set(f.value)
-            elif isinstance(f, IsNotNull) and name in FIELDS:
-                self.present.add(name)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
@@ -139,7 +131,7 @@ class WarcReader(DataSourceReader):
         store, path = _open_store(partition.path)
         rows, held = [], 0
         with store.open_input_file(path) as raw:
-            stream = io.BufferedReader(raw, 1 << 20)
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20)
             while (head := _line_headers(stream)) is not None:
                 length = int(head["content-length"])
                 fields = {n: head.get(h.lower()) for n, h in FIELDS.items()}
@@ -165,6 +157,22 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class PushedWarcReader(WarcReader):
+    """The same where the session lets Python sources take predicates."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, EqualTo) and name in FIELDS:
+                self.only[name] = self.only.get(name, {f.value}) & {f.value}
+            elif isinstance(f, In) and name in FIELDS:
+                self.only[name] = self.only.get(name, set(f.value)) & set(f.value)
+            elif isinstance(f, IsNotNull) and name in FIELDS:
+                self.present.add(name)
+            else:
+                yield f
+
+
 class WarcSource(DataSource):
     """spark.read.format("warc").option("payload", "false").load(folder)"""
 
@@ -176,13 +184,20 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() == "true")
+        kind = PushedWarcReader if self.options.get("pushdown", "false").lower() == "true" else WarcReader
+        return kind(self.options["path"], self.options.get("payload", "true").lower() == "true", json.loads(self.options.get("only", "{}")))
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, payload: bool = True, **only: str | list[str]) -> DataFrame:
+    """Records of the archives below a path; only: values of columns that are header fields, which the reader looks at before anything else.
+
+    Filters of the engine reach the reader as well where the session's
+    spark.sql.python.filterPushdown.enabled is set; it is left as it is.
+    """
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    wanted = json.dumps({n: [v] if isinstance(v, str) else list(v) for n, v in only.items()})
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", pushdown).option("only", wanted).load(path)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", uri_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -197,21 +212,18 @@ def archived(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", ur
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_warc(pages, path, least_bytes, id_col, uri_col, text_col)
-    back = read_warc(spark, path)
+    back = read_warc(spark, path, record_type=["response", "revisit"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for said, payload in zip(batch.column("payload_digest"), batch.column("payload"), strict=True):
+                if payload.is_valid and digest(payload.as_py()) != said.as_py():
+                    raise ValueError("a payload does not have the digest that its headers say")
+            yield batch.select(["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    back = back.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload").mapInArrow(checked, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
     def page(c: str):
         return F.expr(f"try_cast(nullif(substring({c}, 10), '') as bigint)")
 
-    responses = read_warc(spark, path).where("record_type = 'response'")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said, payload = batch.column("payload_digest").to_pylist(), batch.column("payload").to_pylist()
-            if any(digest(p) != d for p, d in zip(payload, said, strict=True)):
-                raise ValueError("a payload does not have the digest that its headers say")
-            yield batch.select(["record_id", "payload_bytes", "payload_digest"])
-
-    responses = responses.select("record_id", "payload_bytes", "payload_digest", "payload").mapInArrow(checked, "record_id string, payload_bytes long, payload_digest string")
-    responses = responses.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    revisits = back.where("record_type = 'revisit'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
-    return responses.union(revisits)
+    return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
