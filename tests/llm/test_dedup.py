@@ -253,6 +253,18 @@ def test_embeddings_against_brute_force(spark):
     assert sum(len(x) for x in links.values()) > 100
 
 
+def test_embeddings_of_any_size(spark):
+    """Tiny, subnormal and huge vectors link by their cosine like any others."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(base)]
+    rows += [(100 + i, [float(x) for x in v * scale], 1) for i, (v, scale) in enumerate(zip(base[:4], (1e-200, 1e200, 1e-300, 1e300), strict=True))]
+    rows += [(200, [1e-200] + [0.0] * 7, 1), (201, [5e-324] + [0.0] * 7, 1), (202, [1e308] + [0.0] * 7, 1)]
+    got = {r["vec_id"]: r for r in embeddings.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == len(rows) and all(got[100 + i]["component_id"] == got[i]["component_id"] and got[100 + i]["n_links"] >= 1 for i in range(4))
+    assert {got[i]["component_id"] for i in (200, 201, 202)} == {200} and got[200]["n_links"] == 2
+
+
 def test_embeddings_empty(spark):
     assert embeddings.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

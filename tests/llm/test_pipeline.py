@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from querylens.llm import registry, toxicity
 from querylens.llm.common import table
@@ -63,3 +65,40 @@ def test_stages_against_brute_force(spark):
     packed = stages["packing"](spark, private, SF).collect()
     held(packed, list(after.items()), Tokenizer.from_file(bpe.tokenizer_path()), 1024)
     assert sorted(map(str, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(str(r) for r in stages["packing"](spark, private, SF).drop("sequence_id", "offset").collect())
+
+
+def odd_table(spark):
+    """Null, repeated and shared ids, null, empty and long texts, ties, and columns that clash with names inside."""
+    rows = [(1, None), (2, ""), (3, "Same TEXT of a document that stays"), (4, "same text of a document that stays"), (4, "same text of a document that stays"), (None, "same text of a document that stays"), (None, None), (5, "w " * 60_000), (6, "mail a@b.co at 10.0.0.1"), (6, "another text of the same id"), (7, " ".join(f"w{i}" for i in range(300))), (8, " ".join(f"w{i}" for i in range(299)))]
+    names = "doc_id long, text string, lang string, source string, n_chars long, node long, k long, norm string, label int, f0 long, row long, f string, hits int, piece int, length long, kept boolean, component_id long, text_sha256 string"
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, 2, "n", 3, 4, 5, "f", 6, 7, 8, True, 9, "x") for i, t in rows], names), rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_tables(spark, name):
+    docs, rows = odd_table(spark)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) if name != "packing" else out.collect()
+    if name != "packing":
+        assert out.schema == docs.schema
+    if name == "toxicity":
+        assert got == sorted(rows, key=str)
+    elif name == "exact_dedup":  # rows without an id stay; of 1 and 2 the text is empty, 4 comes twice
+        assert sorted(str(i) for i, _ in got) == sorted(map(str, (2, 4, 4, None, None, 5, 6, 6, 7, 8)))
+    elif name == "simhash_near_dedup":
+        assert sorted(str(i) for i, _ in got) == sorted(map(str, (1, 3, None, None, 5, 6, 6, 7)))
+    elif name == "pii":
+        assert len(got) == len(rows) and not any(t and "10.0.0.1" in t for _, t in got)
+    else:
+        assert sum(r["piece"] == 0 for r in got) == len(rows)
+    empty = stage(spark, docs.limit(0), SF)
+    assert empty.count() == 0 and (name == "packing" or empty.schema == docs.schema)
+
+
+def test_run_is_its_stages_and_cannot_import_alone():
+    import importlib
+    import sys
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "pii", "packing"] and corpus_pipeline.ORACLE_SQL is None
+    assert importlib.import_module("querylens.llm.pipeline").STAGES is corpus_pipeline.STAGES and "corpus_pipeline" in sys.modules

@@ -168,6 +168,17 @@ def test_secrets_against_plain_scan(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_odd_ids_and_long_segments(spark, monkeypatch):
+    rows = [(None, "token=abcdefgh"), (1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, None), (2, "x" * 50 + "AKIA" + "B" * 20 + "y" * 60 + " token: abcdefgh")]
+    monkeypatch.setattr(secrets, "SEGMENT_BYTES", 16)
+    table = np.zeros(1 << 24, np.uint8)
+    table[ord("a") << 16 | ord("k") << 8 | ord("i")] = 1
+    assert list(secrets.SegmentIndex([(t or "").encode() for _, t in rows], table, ["aki"]).postings["aki"]) == [4]
+    monkeypatch.undo()
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_assign"], r["n_access"]) for r in got) == [("1", 1, 0), ("1", 1, 0), ("2", 1, 1), ("None", 0, 0), ("None", 1, 0)]
+
+
 def test_warc(spark):
     rows = [(1, "u", "a"), (2, "u", "a"), (3, None, None), (4, "u v", ""), (None, "u", "a"), (5, "u", "x\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n é"), (6, "u", "b"), (6, "u", "b"), (7, "u", "z" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, key string, head int")
@@ -189,13 +200,35 @@ def test_warc_reader_takes_predicates_and_passes_payloads_over(spark, tmp_path):
 
     pages = spark.createDataFrame([(i, f"u{i}", f"page {i % 3}") for i in range(9)], "page_id long, url string, html string")
     warc.write_warc(pages, f"file://{tmp_path}/w")
-    reader = warc.WarcReader(f"file://{tmp_path}/w", with_payload=False)
+    reader = warc.PushedWarcReader(f"file://{tmp_path}/w", with_payload=False)
     left = list(reader.pushFilters([EqualTo(("record_type",), "response"), IsNotNull(("record_type",)), EqualTo(("payload_bytes",), 6)]))
     assert len(left) == 1
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert len(rows) == 3 and all(r["payload"] is None and r["payload_bytes"] == 6 for r in rows)
-    plan = warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'revisit'")
-    assert plan.count() == 6
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'revisit'").count() == 6
+    assert warc.read_warc(spark, f"file://{tmp_path}/w", payload=False, record_type="revisit").count() == 6
+    assert spark.conf.get("spark.sql.python.filterPushdown.enabled") == before
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert warc.read_warc(spark, f"file://{tmp_path}/w").where("record_type = 'revisit'").count() == 6
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
+def test_compressed_archives(spark, tmp_path):
+    import glob
+    import gzip
+    import os
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i}") for i in range(5)], "page_id long, url string, html string")
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    for f in glob.glob(f"{tmp_path}/w/part-*"):
+        data = open(f, "rb").read()
+        with open(f"{f}.gz", "wb") as out:  # a member for each half, as for each record
+            out.write(gzip.compress(data[: len(data) // 2]) + gzip.compress(data[len(data) // 2 :]))
+        os.remove(f)
+    assert sorted(bytes(r["payload"]).decode() for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == [f"page {i}" for i in range(5)]
 
 
 def luhn(d):
