@@ -15,5 +15,11 @@ def safe(n: str, least: int = MIN_COUNT) -> str:
     return f"case when {n} >= {least} then {rounded(n)} end"
 
 
-def ratio(part: str, whole: str) -> str:
-    return f"case when {whole} > 0 then cast({part} as double) / {whole} else cast(0 as double) end"
+def percent(x: str) -> str:
+    """A share as text with two decimals, as Spark writes it."""
+    return f"format_string('%.2f%%', 100 * cast({x} as double))"
+
+
+def thousands(n: str) -> str:
+    """A whole number as text with commas."""
+    return f"format_number({n}, 0)"

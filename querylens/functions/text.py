@@ -87,7 +87,17 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 def nfc(x: Column) -> Column:
     """Unicode normal form C; ASCII text never leaves the JVM."""
-    return F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(_nfc(x))
+    return F.when(x.rlike(r"^\p{ASCII}*+$"), x).otherwise(_nfc(x))
+
+
+@pandas_udf(StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.casefold())
+
+
+def casefold(x: Column) -> Column:
+    """Unicode case folding; ASCII text never leaves the JVM."""
+    return F.when(x.rlike(r"^\p{ASCII}*+$"), F.lower(x)).otherwise(_casefold(x))
 
 
 def collapsed(x: str, d: Spark = SPARK) -> str:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, CountVectorizer, NGram, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INITIAL, WORD
+from ..shared import materialize
+from .sampling import hash_sample
 
 #: Fixed value: terms of keywords, whole names included.
 TERM = rf"[{INITIAL}][{WORD}'.]*[{WORD}']|[{INITIAL}]"
@@ -45,6 +50,19 @@ def cluster_summary(points: DataFrame) -> DataFrame:
     return rest.join(mix, "cluster", "left")
 
 
+def ordered_summary(summary: DataFrame) -> DataFrame:
+    """The summary with place: clusters from the largest to the smallest, noise last."""
+    order = Window.partitionBy(F.lit(1)).orderBy(F.col("cluster") < 0, F.desc("queries"), "cluster")  # a row for each cluster
+    return summary.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def jittered(points: DataFrame, columns: list[str], key: str, share: float = 0.01, seed: int = 0) -> DataFrame:
+    """Columns moved by uniform noise of up to this share of their range, which follows from the key alone."""
+    ranges = points.agg(*(F.min(c).alias(f"_lo_{c}") for c in columns), *(F.max(c).alias(f"_hi_{c}") for c in columns))  # one row
+    noise = {c: F.col(c) + (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), key), F.lit(2**31)) / 2.0**30 - 1) * share * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) for c in columns}
+    return points.crossJoin(F.broadcast(ranges)).withColumns(noise).select(*points.columns)
+
+
 def share_pivot(cells: DataFrame, rows: str, columns: str, n: str, values: list[str]) -> DataFrame:
     """Shares of each row's total over fixed columns; a row of nothing has zeros."""
     wide = cells.groupBy(rows).pivot(columns, values).agg(F.sum(n)).fillna(0, values)
@@ -75,12 +93,19 @@ def best_jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
     return cells.join(left, "a").join(right, "b").groupBy(F.col("a").alias("label")).agg(F.max(F.expr("cast(n as double) / (na + nb - n)")).alias("jaccard"))
 
 
+#: Distinct values that one task ranks.
+RANKED_VALUES = 65_536
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Ranks of columns, ties sharing their average, by counts of values: only distinct values are sorted."""
+    """Ranks of columns, ties sharing their average, by counts of values: distinct values are sorted within ranges, whose sums say how many come before."""
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.partitionBy(F.lit(1)).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(F.col(c).alias("_v"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
+        counts = materialize(df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "values")
+        ranged = materialize(counts.repartitionByRange(-(-counts.count() // RANKED_VALUES) or 1, "_v").withColumn("_range", F.spark_partition_id()), "ranges")
+        earlier = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        start = ranged.groupBy("_range").agg(F.sum("_n").alias("_all")).select("_range", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))  # a row for each range
+        within = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+        ranks = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(start, "_range").select("_v", (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias(f"rank_{c}"))
         df = df.join(ranks, df[c].eqNullSafe(ranks["_v"])).drop("_v")
     return df
 
@@ -112,11 +137,39 @@ def skeleton_weights(df: DataFrame, key: str, skeleton: str = "skeleton", min_df
     return w.join(norm, key).select(key, F.element_at(F.array(*(F.lit(v) for v in model.vocabulary)), F.col("i") + 1).alias("gram"), (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def style_features(df: DataFrame) -> DataFrame:
-    """Adds features: the six measures, three of them on a log scale, standardised."""
+def skeleton_components(weights: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """(key, components): the leading right singular vectors of the sparse weights (key, gram, weight), times them; no centring.
+
+    Only the vectors go to the driver, as many numbers as there are grams times
+    k. A vector's sign is such that its largest entry is positive. With fewer
+    than two grams there is nothing to reduce, and no row.
+    """
+    grams = sorted(r["gram"] for r in weights.select("gram").distinct().collect())  # the vocabulary
+    if len(grams) < 2:
+        return weights.select(key, F.array().cast("array<double>").alias("components")).limit(0)
+    spark, k = weights.sparkSession, min(k, len(grams) - 1)
+    place = {g: i for i, g in enumerate(grams)}
+    numbered = weights.join(F.broadcast(spark.createDataFrame(list(place.items()), "gram string, i int")), "gram")
+    rows = numbered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))  # of one row's grams
+    matrix = RowMatrix(rows.select("x").rdd.map(lambda r: Vectors.sparse(len(place), [(e["i"], e["weight"]) for e in r["x"]])))
+    v = matrix.computeSVD(k).V.toArray()
+    v = v * np.where(np.abs(v).max(axis=0) == v.max(axis=0), 1, -1)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, v array<double>")
+    met = numbered.join(F.broadcast(table), "i")
+    return met.groupBy(key).agg(F.array(*(F.sum(F.col("weight") * F.col("v")[j]) for j in range(v.shape[1]))).alias("components"))
+
+
+def style_features(df: DataFrame, key: str | None = None, skeleton: str = "skeleton") -> DataFrame:
+    """Adds features: the six measures, three of them on a log scale, and with a key the components of the skeletons, all standardised."""
     scaled = df.withColumns({f"_{c}": F.log1p(c) if c in LOG_SCALED else F.col(c).cast("double") for c in NUMERIC})
-    vectors = VectorAssembler(inputCols=[f"_{c}" for c in NUMERIC], outputCol="_raw").transform(scaled)
-    return StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(vectors).transform(vectors).drop("_raw", *(f"_{c}" for c in NUMERIC))
+    names = [f"_{c}" for c in NUMERIC]
+    if key is not None:
+        parts = materialize(skeleton_components(skeleton_weights(df.select(key, skeleton), key, skeleton), key), "components")
+        n = len((parts.first() or {"components": []})["components"])
+        scaled = scaled.join(parts, key, "left").withColumns({f"_c{j}": F.coalesce(F.col("components")[j], F.lit(0.0)) for j in range(n)}).drop("components")
+        names += [f"_c{j}" for j in range(n)]
+    vectors = VectorAssembler(inputCols=names, outputCol="_raw").transform(scaled)
+    return StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(vectors).transform(vectors).drop("_raw", *names)
 
 
 def bic(log_likelihood: float, k: int, dims: int, n: int) -> float:
@@ -130,8 +183,8 @@ def mixture(df: DataFrame, k: int, restarts: int = 3, seed: int = 0, features: s
 
 
 def subsample(df: DataFrame, key: str, round_: int, share: float = 0.8) -> DataFrame:
-    """A fixed share of rows, chosen by a hash of their key."""
-    return df.where(F.pmod(F.xxhash64(F.lit(round_), key), F.lit(1000)) < int(share * 1000))
+    """A fixed number of rows, this share of all, without replacement, by a hash of their key."""
+    return hash_sample(df, key, int(df.count() * share), round_)
 
 
 def select_classes(df: DataFrame, key: str, most: int = 8, rounds: int = 8, least: float = 0.75, seed: int = 0):

@@ -38,6 +38,12 @@ def releasable_counts(df: DataFrame, by: list[str], min_count: int = MIN_COUNT,
     return kept.unionByName(pooled)
 
 
+def shown(released: DataFrame) -> DataFrame:
+    """A released table without its pooled row, for drawings that have no place for it."""
+    keys = [c for c, t in released.dtypes if t == "string"]
+    return released.where(" and ".join(f"coalesce(`{c}`, '') not in ('{SUPPRESSED}', 'suppressed')" for c in keys) or "true")
+
+
 def release(counted: DataFrame, table: list[str], min_count: int = MIN_COUNT) -> DataFrame:
     """The export's gate over cells (table columns, source, category, n): table columns, source, category, count.
 

@@ -6,8 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def paired(collection: DataFrame, base: DataFrame, candidate: DataFrame, metric: str) -> DataFrame:
-    """(group_id, s, n): sums of candidate minus baseline over a group's queries. Both sides must score the same queries."""
+def differences(base: DataFrame, candidate: DataFrame, base_qrels: DataFrame, candidate_qrels: DataFrame) -> DataFrame:
+    """(rule, violations): what keeps two evaluations from being compared. Collections are (q, track, group_id, answerability), judgments (q, doc, grade)."""
+    same = ["track", "group_id", "answerability"]
+    a, b = (c.select("q", F.struct(*same).alias(n), F.lit(True).alias(f"has_{n}")) for c, n in ((base, "a"), (candidate, "b")))
+    both = a.join(b, "q", "full_outer").agg(
+        F.count_if(F.col("has_a").isNull() | F.col("has_b").isNull()).alias("query scheduled on one side only"),
+        F.count_if(F.col("has_a") & F.col("has_b") & ~F.col("a").eqNullSafe(F.col("b"))).alias("query metadata differ"),
+    )
+    a, b = (j.select("q", "doc", F.col("grade").alias(n)) for j, n in ((base_qrels, "ga"), (candidate_qrels, "gb")))
+    judged = a.join(b, ["q", "doc"], "full_outer").agg(F.count_if(~F.col("ga").eqNullSafe(F.col("gb"))).alias("judgments differ"))
+    one = both.crossJoin(judged)
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in one.columns))).alias("x")).select("x.*")
+
+
+def check_comparable(base: DataFrame, candidate: DataFrame, base_qrels: DataFrame, candidate_qrels: DataFrame, revisions: tuple[str | None, str | None] = (None, None)) -> None:
+    """Raise unless both evaluations are of one corpus, the same queries with the same metadata, and the same judgments."""
+    if revisions[0] != revisions[1]:
+        raise ValueError("corpus revisions differ")
+    broken = differences(base, candidate, base_qrels, candidate_qrels).where("violations > 0").collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['rule']}: {r['violations']}" for r in broken))
+
+
+def paired(collection: DataFrame, base: DataFrame, candidate: DataFrame, metric: str, track: str = "all") -> DataFrame:
+    """(group_id, s, n): sums of candidate minus baseline over a group's queries, of one track or all. Both sides must score the same queries."""
+    if track != "all":
+        collection = collection.where(F.col("track") == track)
+        base, candidate = (x.join(collection.select("q"), "q", "left_semi") for x in (base, candidate))
     a = base.where(F.col("metric") == metric).select("q", F.col("value").alias("a"))
     b = candidate.where(F.col("metric") == metric).select("q", F.col("value").alias("b"))
     both = a.join(b, "q", "full_outer")
@@ -30,15 +56,26 @@ def _guard(groups: DataFrame, samples: int) -> int:
     return n
 
 
+#: Up to so many groups a resample draws exactly as many groups as there are.
+EXACT_GROUPS = 4_096
+
+
 def bootstrap_interval(groups: DataFrame, samples: int = 1000, seed: int = 42) -> DataFrame:
     """One row: the 2.5 and 97.5 percentiles of the effect over resampled groups.
 
-    Each group draws its multiplicity for each resample from its own Poisson(1)
+    Up to EXACT_GROUPS groups, which fit one row, each resample draws as many
+    groups as there are, with replacement. Beyond that each group draws its multiplicity for each resample from its own Poisson(1)
     counter, which is how resampling with replacement looks from one group when there
     are many; no resample is ever gathered in one place, and sums combine on the
     map side.
     """
-    _guard(groups, samples)
+    n = _guard(groups, samples)
+    if n <= EXACT_GROUPS:
+        held = groups.agg(F.sort_array(F.collect_list(F.struct("group_id", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))).alias("g"))  # one row
+        drawn = f"aggregate(sequence(0, {n - 1}), named_struct('s', 0D, 'n', 0D), (a, i) -> transform(array(g[cast(pmod(xxhash64({seed}, rep, i), {n}) as int)]), x -> named_struct('s', a.s + x.s, 'n', a.n + x.n))[0], a -> a.s / a.n)"
+        cores = groups.sparkSession.sparkContext.defaultParallelism
+        sums = groups.sparkSession.range(0, samples, 1, cores).withColumnRenamed("id", "rep").crossJoin(F.broadcast(held)).select(F.expr(drawn).alias("x"))
+        return sums.agg(F.expr("percentile(x, 0.025)").alias("low"), F.expr("percentile(x, 0.975)").alias("high"))
     u = "(pmod(xxhash64({seed}, rep, group_id), 1000000007) + 0.5D) / 1000000007D".format(seed=seed)
     # inverse of the Poisson(1) distribution function
     steps, cumulative, p = [], 0.0, 2.718281828459045**-1

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 CUTOFFS = (1, 5, 10)
 RELEVANT = 2
+PREMISE_METRICS = ("best_route_group_recall", "route_covered")
 METRICS = ("ndcg", "recall", "success", "mrr", "map", "precision", "judged")
 
 
@@ -76,15 +76,29 @@ def outcomes(collection: DataFrame, run: DataFrame) -> DataFrame:
     return c.select("q", metric.alias("m")).select("q", "m.metric", "m.value")
 
 
-def query_scores(collection: DataFrame, run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, max_k: int | None = None) -> DataFrame:
-    """(q, metric, value): all scores of all scheduled queries; cutoffs deeper than max_k are unavailable and have no row."""
-    usable = tuple(k for k in cutoffs if max_k is None or k <= max_k)
+def unavailable(cutoffs: tuple[int, ...], max_k: int | None) -> list[int]:
+    """The cutoffs that a run is too shallow for; they are reported, not scored."""
+    return [k for k in cutoffs if max_k is not None and k > max_k]
+
+
+def _long(wide: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(q, metric@k, value) of one column for each metric."""
+    long = wide.select("q", "k", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("m"))
+    return long.select("q", F.concat("m.metric", F.lit("@"), "k").alias("metric"), "m.value")
+
+
+def query_scores(collection: DataFrame, run: DataFrame, qrels: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS, max_k: int | None = None, routes: DataFrame | None = None) -> DataFrame:
+    """(q, metric, value): all scores of all scheduled queries; cutoffs deeper than max_k are unavailable() and have no row.
+
+    Answerable queries that have routes (q, route, grp, doc) are scored by them as well.
+    """
+    usable = tuple(k for k in cutoffs if k not in unavailable(cutoffs, max_k))
     answerable = collection.where("answerability = 'answerable'").select("q")
     parts = [outcomes(collection, run)]
     if usable:
-        wide = ranking_metrics(run, qrels.join(answerable, "q", "left_semi"), usable)
-        long = wide.select("q", "k", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("m"))
-        parts.append(long.select("q", F.concat("m.metric", F.lit("@"), "k").alias("metric"), "m.value"))
+        parts.append(_long(ranking_metrics(run, qrels.join(answerable, "q", "left_semi"), usable), METRICS))
+        if routes is not None:
+            parts.append(_long(premise_metrics(run, routes.join(answerable, "q", "left_semi"), usable), PREMISE_METRICS))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -116,6 +130,26 @@ def binary_metrics(run: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def stage_metrics(trace: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(q, stage, k, hit, recall, mrr, ndcg, first_rank) of a trace (q, stage, id, rank): binary gain at the depth of each stage's own list, one at least.
+
+    Only stages that a query has reached have a row.
+    """
+    deep = trace.groupBy("q", "stage").agg(F.greatest(F.max("rank"), F.lit(1)).alias("k"))
+    found = trace.join(relevant.select("q", F.col("doc").alias("id")), ["q", "id"], "left_semi").groupBy("q", "stage").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first_rank"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    wanted = relevant.groupBy("q").agg(F.countDistinct("doc").alias("nrel"))
+    ideal = "aggregate(sequence(1, cast(least(k, nrel) as int)), 0D, (s, i) -> s + 1 / log2(i + 1))"
+    return deep.join(wanted, "q").join(found, ["q", "stage"], "left").select(
+        "q", "stage", "k", F.coalesce((F.col("n") > 0).cast("double"), F.lit(0.0)).alias("hit"), F.coalesce(F.col("n") / F.col("nrel"), F.lit(0.0)).alias("recall"),
+        F.coalesce(1 / F.col("first_rank"), F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / F.expr(ideal), F.lit(0.0)).alias("ndcg"), "first_rank",
+    )
+
+
+def relevant_ranks(trace: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(q, stage, id, rank): the first place of each relevant document in each stage that holds it."""
+    return trace.join(relevant.select("q", F.col("doc").alias("id")).distinct(), ["q", "id"]).groupBy("q", "stage", "id").agg(F.min("rank").alias("rank"))
+
+
 def variant_summary(records: DataFrame) -> DataFrame:
     """(variant, category, queries, runs, hit, recall, mrr, ndcg, candidate_recall, p50, p95) of records, for each category and all.
 

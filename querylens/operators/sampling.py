@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import surface
 from .workload import _first, with_request_key
 
-#: Axes of review labels that hold one of a list.
-AXES = {"language": ("en", "de", "fr", "es", "other"), "certainty": ("low", "medium", "high")}
+#: The axes of review labels and what each may hold.
+AXES = {
+    "intent": ("known_item", "find_lemma", "next_proof_step", "premise_bundle", "definition_or_api", "usage_example", "explanation", "exploration", "formalization", "debugging", "multiple", "unknown"),
+    "actor": ("unknown", "human_confirmed", "agent_confirmed"),
+    "certainty": ("clear", "ambiguous", "insufficient_context"),
+    "evidence": ("annotator_inference", "user_self_report", "client_attestation"),
+    "language": ("english", "other", "formal_only", "mixed", "unknown"),
+    "expected_output": ("declaration", "premise_set", "proof_step", "proof", "explanation", "example", "multiple", "unknown"),
+}
 
 
 def quotas(sizes: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -49,3 +56,36 @@ def label_errors(annotations: DataFrame, axes: dict[str, tuple[str, ...]] = AXES
     rules["actor without evidence"] = "actor <> 'unknown' and (evidence is null or evidence = 'annotator_inference')"
     found = F.array(*(F.when(F.coalesce(F.expr(e), F.lit(False)), F.lit(r)) for r, e in rules.items()))
     return annotations.select("position", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("error"))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly n rows, or all if there are fewer, in the order of a hash of their key, which is distinct.
+
+    Rows are counted by the leading bits of the hash; whole ranges of it are
+    taken until the n-th row's, and only that one is ranked.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_r", F.shiftright(F.col("_h"), 48))
+    below = Window.partitionBy(F.lit(1)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = hashed.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0))).where(F.col("_before") < n)  # 65,536 rows at most
+    met = hashed.join(F.broadcast(ranges.select("_r", "_n", "_before")), "_r")
+    whole = met.where(F.col("_before") + F.col("_n") <= n)
+    last = met.where(F.col("_before") + F.col("_n") > n).withColumn("_at", F.row_number().over(Window.partitionBy("_r").orderBy("_h", key))).where(F.col("_before") + F.col("_at") <= n)
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))
+
+
+def group_sample(df: DataFrame, group: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows of each group, or all if there are fewer, in the order of a hash of their key; the engine drops the rest before the exchange."""
+    order = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= n).drop("_at")
+
+
+def run_order(cases: DataFrame, keys: list[str], repetitions: int, seed: int = 42) -> DataFrame:
+    """Each case in each repetition, with its place in that repetition's shuffled order."""
+    every = cases.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    order = Window.partitionBy("repetition").orderBy(F.xxhash64(F.lit(seed), "repetition", *keys), *keys)
+    return every.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def with_strata(annotations: DataFrame, sample: DataFrame) -> DataFrame:
+    """Annotations by position with the stratum, population and sample size of their request; those outside the sample have none."""
+    return annotations.join(sample.select("position", "source", "surface", "population", "sampled"), "position", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import text
 from ..functions.dialect import DUCK
-from ..operators import clusters
+from ..operators import clusters, report
 from ..shared import materialize
 from . import views
 
@@ -40,9 +40,10 @@ def ctfidf_keywords(spark, sf_dir):
 @query(f"""with {_POINTS}, e as (select cluster, unnest(sources) as source from points), m as (select cluster, source, count(*)::double / sum(count(*)) over (partition by cluster) as share from e group by cluster, source),
     mix as (select cluster, string_agg(source || ' ' || cast(round(share * 100, 0) as integer) || '%', ', ' order by -share, source) as sources from m group by cluster),
     c as (select cluster, category, count(*) as n from points group by all), mode_ as (select cluster, arg_min(category, (-n, category)) as main_category from c group by all)
-    select p.cluster, count(*) as queries, any_value(main_category) as main_category, median(n_words)::double as median_words, round(avg(identifier_share), 2) as identifier_share, any_value(mix.sources) as sources from points p join mix using (cluster) join mode_ using (cluster) group by p.cluster""")
+    select p.cluster, count(*) as queries, any_value(main_category) as main_category, median(n_words)::double as median_words, round(avg(identifier_share), 2) as identifier_share, any_value(mix.sources) as sources, row_number() over (order by p.cluster < 0, count(*) desc, p.cluster) as place from points p join mix using (cluster) join mode_ using (cluster) group by p.cluster""")
 def cluster_summary(spark, sf_dir):
-    return clusters.cluster_summary(_points(spark, sf_dir)).withColumn("median_words", F.col("median_words").cast("double"))
+    """Clusters from the largest to the smallest, noise last."""
+    return clusters.ordered_summary(clusters.cluster_summary(_points(spark, sf_dir))).withColumn("median_words", F.col("median_words").cast("double"))
 
 
 @query("select source, " + ", ".join(f"round(coalesce(sum(case when lang = '{x}' then 1 else 0 end)::double / nullif(sum(case when lang in {_LANGS} then 1 else 0 end), 0), 0), 9) as {x}" for x in _LANGS) + " from documents group by source")
@@ -78,17 +79,10 @@ def label_jaccard(spark, sf_dir):
 
 
 @query(f"""with {_POINTS}, s as (select category, skeleton, count(*) as n from points group by all), f as (select category, string_agg(skeleton || ' (' || n || ')', ' · ' order by n desc, skeleton) as common from (select *, row_number() over (partition by category order by n desc, skeleton) as r from s where n >= 10) where r <= 3 group by all)
-    select p.category, round(100.0 * count(*) / (select count(*) from points), 2)::double as share_of_searches, median(n_words)::double as median_words, round(avg(identifier_share), 2) as identifier_share, round(avg(function_word_share), 2) as prose_share, round(avg(symbol_share), 2) as symbol_share, coalesce(any_value(common), '') as common_skeletons
+    select p.category, row_number() over (order by p.category) as place, round(100.0 * count(*) / (select count(*) from points), 2)::double as share_of_searches, median(n_words)::double as median_words, round(avg(identifier_share), 2) as identifier_share, round(avg(function_word_share), 2) as prose_share, round(avg(symbol_share), 2) as symbol_share, coalesce(any_value(common), '') as common_skeletons
     from points p left join f using (category) group by p.category having count(*) >= 10""")
 def describe_categories(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p = _points(spark, sf_dir)
-    total = p.agg(F.count(F.lit(1)).alias("total"))
-    per = p.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.median("n_words").cast("double").alias("median_words"), F.round(F.avg("identifier_share"), 2).alias("identifier_share"), F.round(F.avg("function_word_share"), 2).alias("prose_share"), F.round(F.avg("symbol_share"), 2).alias("symbol_share")).where("n >= 10")
-    best = p.groupBy("category", "skeleton").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "skeleton"))).where("r <= 3")
-    common = best.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "skeleton", "n"))), lambda x: F.concat(x["skeleton"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), " · ").alias("common_skeletons"))
-    return per.crossJoin(total).join(common, "category", "left").select("category", F.round(100 * F.col("n") / F.col("total"), 2).alias("share_of_searches"), "median_words", "identifier_share", "prose_share", "symbol_share", F.coalesce("common_skeletons", F.lit("")).alias("common_skeletons"))
+    return report.describe_categories(_points(spark, sf_dir))
 
 
 @query()
@@ -96,11 +90,49 @@ def skeleton_tfidf(spark, sf_dir):
     return clusters.skeleton_weights(_points(spark, sf_dir).select("id", "skeleton"), "id")
 
 
+@query()
+def skeleton_components(spark, sf_dir):
+    """The skeletons' leading components, a row for each turn and component."""
+    weights = clusters.skeleton_weights(_points(spark, sf_dir).select("id", "skeleton"), "id")
+    return clusters.skeleton_components(weights, "id").select("id", F.posexplode("components").alias("component", "value"))
+
+
+def _style(spark, sf_dir):
+    return materialize(clusters.style_features(_points(spark, sf_dir), "id").select("id", "features"), "style")
+
+
 @query()
 def gmm_categories(spark, sf_dir):
-    """Style categories over the standardised measures: two levels of the largest stable numbers of classes."""
-    features = materialize(clusters.style_features(_points(spark, sf_dir)).select("id", "features"), "style")
-    return clusters.fit_categories(features, "id")[0]
+    """Style categories over the standardised measures and components: two levels of the largest stable numbers of classes."""
+    return clusters.fit_categories(_style(spark, sf_dir), "id")[0]
+
+
+@query()
+def category_selection(spark, sf_dir):
+    """How stable each number of classes is: information criterion, agreement and worst overlap of refits."""
+    return clusters.select_classes(_style(spark, sf_dir), "id", most=4, rounds=4)[1]
+
+
+_PAIRS = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query(" union all ".join(f"select '{x}' as x, '{y}' as y, round(corr({x}, {y}), 6) as r from lineitem" for x in _PAIRS for y in _PAIRS))
+def pearson_matrix(spark, sf_dir):
+    return _rounded(clusters.correlations(views.table(spark, sf_dir, "lineitem").select(*_PAIRS), list(_PAIRS), "pearson"), 6)
+
+
+@query("""with c as (select p_size as x, p_size % 7 + p_partkey % 3 as y, count(*) as n from part group by all), t as (select sum(n) as n from c),
+    s as (select sum(a.n * b.n * sign(b.y - a.y)) as s from c a join c b on a.x < b.x), tx as (select sum(n * (n - 1) / 2.0) as tx from (select sum(n) as n from c group by x)), ty as (select sum(n * (n - 1) / 2.0) as ty from (select sum(n) as n from c group by y))
+    select round(s / sqrt((n * (n - 1) / 2.0 - tx) * (n * (n - 1) / 2.0 - ty)), 9)::double as tau from s, t, tx, ty""")
+def kendall_tau(spark, sf_dir):
+    part = views.table(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.expr("p_size % 7 + p_partkey % 3").alias("y"))
+    return _rounded(clusters.kendall(part, "x", "y"))
+
+
+@query("with s as (select p_size % 6 as label, count(*) as n from part group by all), r as (select label, cast(row_number() over (order by n desc, label) as varchar) as category from s) select p_partkey as id, category from part join r on p_size % 6 = label")
+def renumbered_classes(spark, sf_dir):
+    labels = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("p_size % 6").alias("label"))
+    return clusters.renumbered(labels, "id")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import inference, ranking, retrieval
+from ..shared import small
 from . import views
 
 _KS = "ks as (select unnest([1, 5, 10]) as k)"
@@ -57,16 +58,75 @@ def ir_latency_cost(spark, sf_dir):
 
 def _routes(spark, sf_dir):
     """Routes by return flag, groups by line status, any part of a group will do."""
-    return views.table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("q"), F.col("l_returnflag").alias("route"), F.col("l_linenumber").alias("grp"), F.col("l_partkey").alias("doc")).distinct()
+    return views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_returnflag").alias("route"), F.col("l_linenumber").alias("grp"), F.col("l_partkey").alias("doc")).distinct()
 
 
-@query(f"""with {views.run_sql()}, {_KS}, routes as (select distinct l_orderkey as q, l_returnflag as route, l_linenumber as grp, l_partkey as doc from lineitem where l_partkey % 3 = 0),
+@query(f"""with {views.run_sql()}, {_KS}, routes as (select distinct l_orderkey as q, l_returnflag as route, l_linenumber as grp, l_partkey as doc from lineitem),
     g as (select routes.q, route, grp, k, max(case when rank <= k then 1.0 else 0.0 end) as hit from routes left join run on run.q = routes.q and run.doc = routes.doc cross join ks group by all),
     r as (select q, route, k, avg(hit) as share from g group by all) select q, k, round(max(share), 9) as best_route_group_recall, max(case when share = 1 then 1.0 else 0.0 end)::double as route_covered from r group by all""")
 def ir_premise_routes(spark, sf_dir):
     return _rounded(ranking.premise_metrics(views.run(spark, sf_dir), _routes(spark, sf_dir)))
 
 
+_ROUTES = """routes as (select distinct l_orderkey as q, l_returnflag as route, l_linenumber as grp, l_partkey as doc from lineitem),
+    pg as (select routes.q, route, grp, k, max(case when rank <= k then 1.0 else 0.0 end) as hit from routes left join run on run.q = routes.q and run.doc = routes.doc cross join ks group by all),
+    pr as (select q, route, k, avg(hit) as share from pg group by all), premise as (select q, k, max(share) as best_route_group_recall, max(case when share = 1 then 1.0 else 0.0 end)::double as route_covered from pr where q in (select q from collection where answerability = 'answerable') group by all)"""
+
+
+@query(f"""with {views.run_sql()}, {_BASE}, {_metrics_sql()}, {_OUTCOMES}, {_ROUTES}, every as ({_LONG} union all select * from outcomes
+    union all select q, unnest([{{'metric': 'best_route_group_recall@' || k, 'value': best_route_group_recall::double}}, {{'metric': 'route_covered@' || k, 'value': route_covered::double}}], recursive := true) from premise)
+    select q, metric, round(value, 9) as value from every where metric not like '%@10'""")
+def ir_all_scores(spark, sf_dir):
+    """Every score of every query: relevance, routes, outcomes. The run declares a depth of 5, so the cutoff of 10 is unavailable."""
+    c = views.collection(spark, sf_dir)
+    return _rounded(ranking.query_scores(c, views.run(spark, sf_dir), views.qrels(spark, sf_dir), max_k=5, routes=_routes(spark, sf_dir)))
+
+
+@query("select unnest([10, 20, 50, 100]) as cutoff")
+def unavailable_cutoffs(spark, sf_dir):
+    """Of the usual cutoffs those that a run of depth 5 cannot be scored at."""
+    return spark.createDataFrame([(k,) for k in ranking.unavailable((1, 5, 10, 20, 50, 100), 5)], "cutoff int")
+
+
+def _other_side(spark, sf_dir):
+    """A second evaluation that differs: queries left out, other tracks, other grades, judgments more and less."""
+    c, q = views.collection(spark, sf_dir), views.qrels(spark, sf_dir)
+    return c.where("q % 29 <> 0").withColumn("track", F.expr("if(q % 31 = 0, 'human', track)")), q.where("doc % 41 <> 0").withColumn("grade", F.expr("if(doc % 37 = 0, (grade + 1) % 4, grade)"))
+
+
+@query(f"""with {views.QRELS}, {views.COLLECTION}, o as (select * replace (case when q % 31 = 0 then 'human' else track end as track) from collection where q % 29 <> 0),
+    j as (select q, doc, case when doc % 37 = 0 then (grade + 1) % 4 else grade end as grade from qrels where doc % 41 <> 0)
+    select 'query scheduled on one side only' as rule, count(*) as violations from collection a full join o b on a.q = b.q where a.q is null or b.q is null
+    union all select 'query metadata differ', count(*) from collection a join o b on a.q = b.q where a.track is distinct from b.track or a.group_id is distinct from b.group_id or a.answerability is distinct from b.answerability
+    union all select 'judgments differ', count(*) from qrels a full join j b on a.q = b.q and a.doc = b.doc where a.grade is distinct from b.grade""")
+def compare_guards(spark, sf_dir):
+    """What keeps two evaluations from being compared."""
+    return inference.differences(views.collection(spark, sf_dir), (other := _other_side(spark, sf_dir))[0], views.qrels(spark, sf_dir), other[1])
+
+
+def _two_stages(spark, sf_dir):
+    return views.run(spark, sf_dir).select("q", F.lit("price").alias("stage"), F.col("doc").alias("id"), "rank").unionByName(views.run(spark, sf_dir, "l_quantity").select("q", F.lit("quantity").alias("stage"), F.col("doc").alias("id"), "rank"))
+
+
+_STAGED = f"{views.run_sql('price', 'l_extendedprice')}, {views.run_sql('quantity', 'l_quantity')}, {views.QRELS}, rel as (select q, doc from qrels where grade >= 2), trace as (select q, 'price' as stage, doc, rank from price union all select q, 'quantity', doc, rank from quantity)"
+
+
+@query(f"with {_STAGED} select q, stage, doc as id, min(rank) as rank from trace join rel using (q, doc) group by all")
+def stage_relevant_ranks(spark, sf_dir):
+    """The first place of each relevant document in each stage."""
+    return ranking.relevant_ranks(_two_stages(spark, sf_dir), views.qrels(spark, sf_dir).where("grade >= 2").select("q", "doc"))
+
+
+@query(f"""with {_STAGED}, n as (select q, count(*) as nrel from rel group by all), d as (select q, stage, max(rank) as k from trace group by all),
+    f as (select q, stage, count(*) as n, min(rank) as first_rank, sum(1 / log2(rank + 1)) as dcg from trace join rel using (q, doc) group by all),
+    i as (select d.q, d.stage, sum(1 / log2(r + 1)) as idcg from d join n using (q), range(1, 100) t(r) where r <= nrel and r <= k group by all)
+    select q, stage, k, case when f.n > 0 then 1.0 else 0.0 end::double as hit, round(coalesce(f.n::double / nrel, 0), 9) as recall, round(coalesce(1.0 / first_rank, 0), 9) as mrr, round(coalesce(dcg / idcg, 0), 9) as ndcg, first_rank
+    from d join n using (q) left join f using (q, stage) join i using (q, stage)""")
+def stage_metrics(spark, sf_dir):
+    """Binary metrics of each stage at the depth of its own list."""
+    return _rounded(ranking.stage_metrics(_two_stages(spark, sf_dir), views.qrels(spark, sf_dir).where("grade >= 2").select("q", "doc")))
+
+
 @query(f"""with {views.run_sql()}, {_BASE}, c as (select c.*, best from collection c left join judged using (q))
     select 'null id' as rule, count(*) filter (where q is null) as violations from c union all select 'null group', count(*) filter (where group_id is null) from c union all select 'null track', count(*) filter (where track is null) from c
     union all select 'unknown answerability', count(*) filter (where answerability not in ('answerable', 'unanswerable', 'unknown')) from c
@@ -141,6 +201,13 @@ def compare_paired_effect(spark, sf_dir):
 SAMPLES = 10_000
 
 
+@query(_PAIRED.replace("where answerability = 'answerable'", "where answerability = 'answerable' and track = '1-URGENT'") + " select sum(n)::bigint as n_queries, count(*) as n_groups, round(sum(s) / sum(n), 9) as candidate_minus_baseline from g")
+def compare_track_effect(spark, sf_dir):
+    c, q = views.collection(spark, sf_dir), views.qrels(spark, sf_dir)
+    a, b = (ranking.query_scores(c, views.run(spark, sf_dir, by), q, (5,)) for by in ("l_extendedprice", "l_quantity"))
+    return _rounded(inference.effect(inference.paired(c, a, b, "ndcg@5", "1-URGENT")))
+
+
 @query()
 def bootstrap_ci(spark, sf_dir):
     return inference.bootstrap_interval(_pair(spark, sf_dir), samples=SAMPLES)
@@ -196,7 +263,7 @@ def _fused(spark, sf_dir):
     from pyspark.sql import Window
 
     q, d = _searches(spark, sf_dir), _docs(spark, sf_dir)
-    byname = d.join(F.broadcast(q.select("q", F.regexp_extract("text", "[a-z]+", 0).alias("w"))), F.expr("contains(text, w)")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.length("name"), "id"))).where("rank <= 20").select("q", "id", "rank")
+    byname = d.join(small(q.select("q", F.regexp_extract("text", "[a-z]+", 0).alias("w"))), F.expr("contains(text, w)")).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.length("name"), "id"))).where("rank <= 20").select("q", "id", "rank")
     return retrieval.fuse(retrieval.bm25(q, d, 20), byname)
 
 
@@ -226,30 +293,89 @@ def hashed_word_vectors(spark, sf_dir):
 @query(f"with {views.CORPUS}, {_SEARCH} select q, w.word as name, min(id) as id, count(id) as found, count(id) = 0 as missing from (select q, unnest(['small ring', 'red widget', 'no such part']) as word from searches) w left join corpus on name = word group by all")
 def target_resolution(spark, sf_dir):
     wanted = _searches(spark, sf_dir).select("q", F.explode(F.array(*(F.lit(x) for x in ("small ring", "red widget", "no such part")))).alias("name"))
-    return wanted.join(views.corpus(spark, sf_dir).select("id", "name"), "name", "left").groupBy("q", "name").agg(F.min("id").alias("id"), F.count("id").alias("found"), (F.count("id") == 0).alias("missing"))
+    return retrieval.resolve_targets(wanted, views.corpus(spark, sf_dir))
+
+
+@query(f"with {views.CORPUS}, {_SEARCH}, w as (select q, packages, unnest(['small ring', 'red widget', 'no such part']) as name from searches), m as (select q, w.name, case when len(packages) = 0 or list_contains(packages, package) then id end as id from w left join corpus using (name)) select q, name, min(id) as id, count(id) as found, count(id) = 0 as missing from m group by all")
+def target_resolution_filtered(spark, sf_dir):
+    """Targets by name within the packages that their query lists; one outside of them is missing."""
+    q = _searches(spark, sf_dir)
+    wanted = q.select("q", F.explode(F.array(*(F.lit(x) for x in ("small ring", "red widget", "no such part")))).alias("name"))
+    return retrieval.resolve_targets(wanted, views.corpus(spark, sf_dir), q.select("q", "packages"))
+
+
+_TWO = "greatest(coalesce(r.score, 0), coalesce(s.score, 0))"
+
+
+def _index_sql(prefix: str, tokens) -> str:
+    p = prefix
+    return f"""{p}tok as (select id, {tokens('name')} as w from corpus), {p}st as (select count(*) as n, avg(len(w)) as av from {p}tok),
+    {p}post as (select id, len(w) as len_, term, count(*) as tf from (select id, w, unnest(w) as term from {p}tok) group by id, len(w), term), {p}df as (select term, count(*) as df from {p}post group by all),
+    {p}qt as (select distinct q, unnest({tokens('text')}) as term from searches),
+    {p} as (select q, id, round(sum(ln((n + 1)::double / df) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len_ / av)) + 1)), 9) as score from {p}qt join {p}df using (term) join {p}post using (term), {p}st group by all)"""
+
+
+@query(f"""with {views.CORPUS}, {_SEARCH}, {_index_sql('raw', lambda x: f"regexp_extract_all(lower({x}), '[^ ]+')")}, {_index_sql('split', lambda x: f"regexp_extract_all(lower(regexp_replace({x}, '([a-z0-9])([A-Z])', '{chr(92)}1 {chr(92)}2', 'g')), '[a-z0-9]+')")},
+    best as (select q, id, max(score) as score from (select * from raw union all select * from split) where score > 0 group by all)
+    select q, id, round(score, 6) as score, row_number() over (partition by q order by best.score desc, id) as rank from best qualify rank <= 20""")
+def bm25_two_indices(spark, sf_dir):
+    """Names by two indices, whole tokens and their parts."""
+    return _rounded(retrieval.bm25_names(_searches(spark, sf_dir), _docs(spark, sf_dir), 20), 6).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _edges(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", F.expr("(id * 7) % 100").alias("needs"))
+
+
+@query(f"""with {_RRF}, pool as (select * from ranked where rank <= 500), gain as (select q, (id * 7) % 100 as id, max(score) as by_ from pool group by all), b as (select p.q, p.id, p.score + 0.1 * coalesce(by_, 0) as score from pool p left join gain g on g.q = p.q and g.id = p.id)
+    select q, id, round(score, 9) as score, row_number() over (partition by q order by b.score desc, id) as rank from b""")
+def selection_boost(spark, sf_dir):
+    """The pool after candidates on which others depend have risen."""
+    return _rounded(retrieval.boost(_fused(spark, sf_dir), _edges(spark, sf_dir))).withColumn("rank", F.col("rank").cast("long"))
+
+
+_MIXED = f"""{_RRF}, m as (select r.q, r.id, r.rank as before, round(len(list_intersect(list_distinct(regexp_extract_all(text, '[a-z0-9]+')), list_distinct(regexp_extract_all(source_text, '[a-z0-9]+'))))::double / greatest(len(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))), 1) + 0.5 * r.score, 12) as score
+    from ranked r join corpus using (id) join searches using (q) where rank <= 10), mixed as (select q, id, score, row_number() over (partition by q order by score desc, before) as rank from m)"""
+
+
+def _mixed(spark, sf_dir):
+    return retrieval.rerank(retrieval.cut(_fused(spark, sf_dir), 10), _searches(spark, sf_dir), _docs(spark, sf_dir), mix=0.5)
+
+
+@query(f"with {_MIXED} select q, id, round(score, 9) as score, rank from mixed")
+def reranked_mixture(spark, sf_dir):
+    return _rounded(_mixed(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {_MIXED}, v as (select q, mixed.id, row_number() over (partition by q order by rank) as rank from mixed join corpus using (id) where not regexp_matches(name, '^(small|green)')) select q, id, rank from v where rank <= 5")
+def results_stage(spark, sf_dir):
+    """What a search returns: candidates whose names are not made by a program (here: of two colours), then the limit."""
+    return retrieval.cut(retrieval.visible(_mixed(spark, sf_dir), _docs(spark, sf_dir), "^(small|green)"), 5).select("q", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
 def retrieval_stages(spark, sf_dir):
     """The whole trace of a search, all stages; models' places are taken by deterministic stand-ins."""
-    d = _docs(spark, sf_dir)
-    edges = d.select("id", F.expr("(id * 7) % 100").alias("needs"))
-    return retrieval.stages(_searches(spark, sf_dir), d, depth=50, limit=10, edges=edges)
+    return retrieval.stages(_searches(spark, sf_dir), _docs(spark, sf_dir), depth=50, limit=10, edges=_edges(spark, sf_dir))
+
+
+@query()
+def variant_experiment(spark, sf_dir):
+    """Every stage under two variants, scored against a stated set of targets; times are of this run."""
+    q = _searches(spark, sf_dir)
+    relevant = views.corpus(spark, sf_dir).where("id % 7 = 0").select(F.col("id").alias("doc"), F.expr("id % 25").alias("q"))
+    variants = [{"depth": 50, "exclude_zero": True, "boost": True}, {"depth": 0, "exclude_zero": False, "boost": False}]
+    return retrieval.run_experiment(q, _docs(spark, sf_dir), relevant, variants, edges=_edges(spark, sf_dir))
 
 
 @query("select q, d as depth, z as exclude_zero, b as boost from (select n_nationkey as q from nation), (select unnest([0, 50, 100]) as d), (select unnest([true, false]) as z), (select unnest([true, false]) as b)")
 def variant_grid(spark, sf_dir):
-    """Each query under each variant: tiny tables, all of fixed size but the stated queries."""
-    grid = spark.createDataFrame([(d, z, b) for d in (0, 50, 100) for z in (True, False) for b in (True, False)], "depth int, exclude_zero boolean, boost boolean")
-    return _searches(spark, sf_dir).select("q").crossJoin(F.broadcast(grid))
+    """Each query under each variant."""
+    return retrieval.variant_grid(_searches(spark, sf_dir))
 
 
 @query(f"with {_BM25}, every as (select q, id, coalesce(score, 0) as score from searches cross join corpus left join bm using (q, id)), r as (select *, row_number() over (partition by q order by score desc, id) as rank from every qualify rank <= 200) select q, count(*) as candidates, count(*) filter (where score > 0) as positive, count(*) filter (where score = 0) as zero, min(rank) filter (where id % 7 = 0) as target_rank from r group by q")
 def lexical_audit(spark, sf_dir):
     """For each query: candidates, how many score above zero and how many do not, and the rank of the first target."""
-    q, d = _searches(spark, sf_dir), _docs(spark, sf_dir)
-    scored = retrieval.bm25(q, d, 200).select("q", "id", "score")
-    # documents without a query word follow in the order of their ids: 200 for each query are enough, and there are at most 200 better ones
-    rest = d.select("id").orderBy("id").limit(400).crossJoin(F.broadcast(q.select("q"))).join(scored.select("q", "id"), ["q", "id"], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = retrieval._top(scored.unionByName(rest.select("q", "id", "score")), "q", "score", "id", 200)
-    return ranked.groupBy("q").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("score") == 0).alias("zero"), F.min(F.when(F.col("id") % 7 == 0, F.col("rank"))).cast("long").alias("target_rank"))
+    d = _docs(spark, sf_dir)
+    return retrieval.lexical_audit(_searches(spark, sf_dir), d, d.where("id % 7 = 0"))

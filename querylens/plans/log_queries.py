@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import numbers, text
 from ..functions.dialect import DUCK
-from ..operators import gate, groups, sampling, workload
+from ..operators import clusters, gate, groups, report, sampling, workload
 from ..shared import spread
 from . import views
 
@@ -198,10 +198,8 @@ def rows_with_groups(spark, sf_dir):
 def counts_with_empty_bins(spark, sf_dir):
     """Counts of two ordered bins; bins without rows are kept, unknown ones are groups of their own."""
     s = _summary(spark, sf_dir)[1]
-    n = s.select(F.expr(text.binned("n_rows", *text.REPEAT_BINS)).alias("repeat_bin"), F.expr(text.once(text.words("query"), lambda n: text.binned(n, *text.LENGTH_BINS))).alias("length_bin")).groupBy("repeat_bin", "length_bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.createDataFrame([(a, b) for a in text.REPEAT_BINS[1] for b in text.LENGTH_BINS[1]], "repeat_bin string, length_bin string")
-    known = F.broadcast(grid).join(n, ["repeat_bin", "length_bin"], "left").select("repeat_bin", "length_bin", F.coalesce("n", F.lit(0)).alias("n"))
-    return known.unionByName(n.where("repeat_bin is null or length_bin is null"))
+    binned = s.select(F.expr(text.binned("n_rows", *text.REPEAT_BINS)).alias("repeat_bin"), F.expr(text.once(text.words("query"), lambda n: text.binned(n, *text.LENGTH_BINS))).alias("length_bin"))
+    return report.counts_with_empty(binned, {"repeat_bin": text.REPEAT_BINS[1], "length_bin": text.LENGTH_BINS[1]})
 
 
 def _overview_sql() -> str:
@@ -216,20 +214,20 @@ def _overview_sql() -> str:
 @query(_overview_sql())
 def overview(spark, sf_dir):
     """Headline numbers; shares come from rounded counts."""
-    grouped = groups.with_normal_form(views.log(spark, sf_dir))
-    per = grouped.groupBy("normalized").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("result_count") == 0).alias("z"), F.count_if(F.size("packages") > 0).alias("f"))
-    days = grouped.agg(F.countDistinct("collected_on").alias("days"))
-    one = per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("r"), F.sum("z").alias("z"), F.sum("f").alias("f")).crossJoin(days)
-    total = numbers.rounded("n")
-    return one.select(
-        F.expr(total).alias("rows"), F.expr(numbers.rounded("d")).alias("distinct_queries"), "days",
-        *(F.round(F.expr(f"cast({numbers.rounded(c)} as double) / nullif({total}, 0)"), 9).alias(a) for c, a in (("r", "share_rows_in_repeated_groups"), ("z", "zero_result_share"), ("f", "package_filter_share"))),
-    )
+    return report.overview(views.log(spark, sf_dir))
+
+
+_OVERVIEW = ("rows", "distinct_queries", "days", "share_rows_in_repeated_groups", "zero_result_share", "package_filter_share")
+
+
+@query(f"with o as ({_overview_sql()}) " + " union all ".join(f"select '{c}' as measure, " + (f"printf('%.2f%%', 100 * {c})" if c.endswith("share") or c.startswith("share") else f"format('{{:,}}', {c})") + " as value from o" for c in _OVERVIEW))
+def overview_table(spark, sf_dir):
+    return report.formatted(report.overview(views.log(spark, sf_dir)))
 
 
 @query(f"with {views.LOG}, {_EXACT} select group_id, query, n_rows from summary order by n_rows desc, group_id limit 20")
 def most_repeated(spark, sf_dir):
-    return _summary(spark, sf_dir)[1].select("group_id", "query", "n_rows").orderBy(F.desc("n_rows"), "group_id").limit(20)
+    return report.most_repeated(_summary(spark, sf_dir)[1])
 
 
 _SHORT = "short as (select item_id as id, 'b' as source, cast(item_id % 3 as varchar) as collected_on, regexp_replace(trim(text), '\\s+', ' ', 'g') as normalized from benchmark union all select 100000 + item_id, 'b', cast(item_id % 3 as varchar), regexp_replace(trim(text), '\\s+', ' ', 'g') || ' again' from benchmark)"
@@ -321,17 +319,88 @@ def review_sample(spark, sf_dir):
     return sampling.review_sample(rows, 150)
 
 
-@query("""with a as (select doc_id as position, lang as language, case when n_chars % 5 = 0 then 'certain' else 'high' end as certainty, case when n_chars % 3 = 0 then 'human' else 'unknown' end as actor,
-    case when n_chars % 2 = 0 then 'annotator_inference' when n_chars % 7 = 0 then null else 'explicit_text' end as evidence from documents)
-    select position, 'unknown certainty' as error from a where certainty not in ('low', 'medium', 'high') union all select position, 'unknown language' from a where language is null or language not in ('en', 'de', 'fr', 'es', 'other')
-    union all select position, 'actor without evidence' from a where actor <> 'unknown' and (evidence is null or evidence = 'annotator_inference')""")
+_AXES = {  # what made-up labels hold, by number; the last of each is no value of its axis
+    "intent": (*sampling.AXES["intent"], "guess"), "actor": (*sampling.AXES["actor"], "robot"), "certainty": (*sampling.AXES["certainty"], "sure"),
+    "evidence": sampling.AXES["evidence"], "language": (*sampling.AXES["language"], "de"), "expected_output": (*sampling.AXES["expected_output"], "poem"),
+}
+_LABELS = {a: f"case {' '.join(f'when (doc_id * {7 + 2 * i}) % {len(values)} = {j} then {chr(39)}{v}{chr(39)}' for j, v in enumerate(values))} end" for i, (a, values) in enumerate(_AXES.items())}
+_LABELS["evidence"] = f"case when doc_id % 23 <> 0 then {_LABELS['evidence']} end"
+
+
+@query(
+    "with a as (select doc_id as position, " + ", ".join(f"{e} as {n}" for n, e in _LABELS.items()) + " from documents) "
+    + " union all ".join(f"select position, 'unknown {a}' as error from a where {a} is null or {a} not in {values}" for a, values in sampling.AXES.items())
+    + " union all select position, 'actor without evidence' from a where actor <> 'unknown' and (evidence is null or evidence = 'annotator_inference')"
+)
 def review_label_validation(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
-    a = d.select(F.col("doc_id").alias("position"), F.col("lang").alias("language"), F.expr("if(n_chars % 5 = 0, 'certain', 'high')").alias("certainty"), F.expr("if(n_chars % 3 = 0, 'human', 'unknown')").alias("actor"), F.expr("case when n_chars % 2 = 0 then 'annotator_inference' when n_chars % 7 = 0 then null else 'explicit_text' end").alias("evidence"))
-    return sampling.label_errors(a)
+    return sampling.label_errors(d.select(F.col("doc_id").alias("position"), *(F.expr(e).alias(n) for n, e in _LABELS.items())))
 
 
 @query(f"with {views.REQUESTS}, w as (select position, source, row_number() over (partition by source order by result_count desc nulls last, position) as r from requests) select source, r as place, position from w where r <= 5")
 def top_per_source(spark, sf_dir):
     w = Window.partitionBy("source").orderBy(F.desc_nulls_last("result_count"), "position")
     return views.requests(spark, sf_dir).withColumn("place", F.row_number().over(w).cast("long")).where("place <= 5").select("source", "place", "position")
+
+
+@query(f"with {views.LOG} select row_id, replace(lower({_norm_sql('query', True)}), 'ß', 'ss') as folded from log")
+def normalize_casefold(spark, sf_dir):
+    """The log's normal form with its case folded; of the letters of these texts only ß folds to something else than its small letter."""
+    return groups.with_normal_form(spread(views.log(spark, sf_dir)), folded=True).select("row_id", F.col("normalized").alias("folded"))
+
+
+@query(f"with {views.REQUESTS}, g as (with c as (select source, day, count(*) as n from requests group by all), w as (select *, row_number() over (order by n, source, day) as r, sum(case when n < 10 then 1 else 0 end) over () as sm, count(*) over () as cells from c) select cast(source as varchar) as source, cast(day as varchar) as day, cast(floor((n + 5) / 10.0) * 10 as bigint) as n from w where not (n < 10 or (sm = 1 and cells > 2 and r = 2))) select * from g")
+def gate_shown_cells(spark, sf_dir):
+    """The gated volume without its pooled row, as a heat map shows it."""
+    return gate.shown(gate.releasable_counts(views.requests(spark, sf_dir), ["source", "day"]))
+
+
+@query("select count(*) as requests, sum(o_orderkey)::bigint as prompt_tokens, sum(o_custkey)::bigint as completion_tokens, round(sum(o_totalprice), 2) as cost from orders")
+def usage_totals(spark, sf_dir):
+    calls = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("prompt_tokens"), F.col("o_custkey").alias("completion_tokens"), F.col("o_totalprice").alias("cost"))
+    return report.usage_totals(calls).withColumn("cost", F.round("cost", 2))
+
+
+@query(f"with {views.LOG} select source, least(count(*), 7) as n, least(count(*), 7) as members from log group by source")
+def sample_per_source(spark, sf_dir):
+    """Sizes of a fixed-size sample of each source; the members are chosen by hash, and are rows of that source."""
+    rows = views.log(spark, sf_dir).select("row_id", "source")
+    picked = sampling.group_sample(rows, ["source"], "row_id", 7)
+    known = picked.join(rows.select("row_id", F.col("source").alias("own")), "row_id")
+    return known.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("own") == F.col("source")).alias("members"))
+
+
+@query(f"with {views.LOG} select cast(floor(0.8 * count(*)) as bigint) as n, cast(floor(0.8 * count(*)) as bigint) as rows from log")
+def subsample_size(spark, sf_dir):
+    """A subsample of four fifths without replacement: its size, and how many different rows it holds."""
+    return clusters.subsample(views.log(spark, sf_dir).select("row_id"), "row_id", 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("rows"))
+
+
+@query("select r.repetition, count(*) as cases, count(*) as places, 1::bigint as first_place, count(*) as last_place from nation, (select unnest([0, 1, 2]) as repetition) r group by r.repetition")
+def run_order(spark, sf_dir):
+    """Cases shuffled anew in each repetition: every place is taken once."""
+    cases = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("q"))
+    placed = sampling.run_order(cases, ["q"], 3)
+    return placed.groupBy("repetition").agg(F.count(F.lit(1)).alias("cases"), F.countDistinct("place").alias("places"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+
+
+_QUOTAS = f"""with {views.LOG}, f as (select source, {_norm_sql('query', False)} as norm, {DUCK.distinct_sorted('packages')} as filters, arg_min(query, row_id) as query from log group by all),
+    s as (select source, {text.surface('query', DUCK)} as surface, count(*) as n from f group by all), slots as (select source, surface, n, unnest(range(1, n + 1)) as slot from s),
+    taken as (select source, surface, n from slots order by slot, source, surface limit 150)"""
+
+
+@query(_QUOTAS + " select source, surface, n as population, count(*) as sampled, count(*) as rows from taken group by all")
+def review_sample_sizes(spark, sf_dir):
+    """Of the review sample each stratum's population and size; its annotations find them by position."""
+    rows = views.log(spark, sf_dir).select(F.col("row_id").alias("position"), "source", F.col("query").alias("text"), "packages")
+    sample = sampling.review_sample(rows, 150)
+    return sampling.with_strata(sample.select("position"), sample).groupBy("source", "surface", "population", "sampled").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select count(*) as n, count(*) as near, true as moved from lineitem")
+def jittered_points(spark, sf_dir):
+    """Points moved by at most a hundredth of the range of each axis."""
+    line = views.table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y"))
+    moved = clusters.jittered(line.withColumns({"x0": F.col("x"), "y0": F.col("y")}), ["x", "y"], "id")
+    r = moved.crossJoin(line.agg((F.max("x") - F.min("x")).alias("rx"), (F.max("y") - F.min("y")).alias("ry")))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("abs(x - x0) <= 0.0101 * rx and abs(y - y0) <= 0.0101 * ry")).alias("near"), (F.count_if(F.expr("x <> x0")) > 0).alias("moved"))

@@ -39,11 +39,11 @@ REQUESTS = """requests as (select event_id as position, event_type as source, ev
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, text of what users say."""
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select(F.expr("conv_id * 1000 + turn").alias("id"), "text")
+    """id, text of every turn."""
+    return table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("id"), "text")
 
 
-CHAT = "chat as (select conv_id * 1000 + turn as id, text from conversations where role = 'user')"
+CHAT = "chat as (select conv_id * 1000 + turn as id, text from conversations)"
 
 
 def run(spark: SparkSession, sf_dir: str, by: str = "l_extendedprice") -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -55,3 +56,24 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer splits than there are cores, before work that is heavy for each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def dense_blocks(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """df in blocks of so many rows at most by the order of their key; a single one where df is no larger."""
+    if df.limit(rows + 1).count() <= rows:
+        return [df]
+    placed = materialize(df.repartitionByRange(-(-df.count() // rows) * 2, key).withColumn("_block", F.spark_partition_id()), "blocks")
+    return [placed.where(F.col("_block") == r["_block"]).drop("_block") for r in placed.select("_block").distinct().collect()]
+
+
+#: Rows of a table that may go to every task.
+SMALL_ROWS = 10_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many rows, else as it is: the engine then exchanges both sides of a join."""
+    return F.broadcast(df) if is_small(df, rows) else df

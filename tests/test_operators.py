@@ -132,8 +132,10 @@ def test_quotas_go_round(spark):
 
 
 def test_label_errors(spark):
-    a = spark.createDataFrame([(1, "en", "high", "unknown", None), (2, "xx", "high", "human", "annotator_inference"), (3, "en", None, "human", "explicit_text")], "position int, language string, certainty string, actor string, evidence string")
-    assert {(r["position"], r["error"]) for r in sampling.label_errors(a).collect()} == {(2, "unknown language"), (2, "actor without evidence"), (3, "unknown certainty")}
+    good = {"intent": "find_lemma", "actor": "unknown", "certainty": "clear", "evidence": "annotator_inference", "language": "english", "expected_output": "proof"}
+    rows = [good, good | {"language": "xx", "actor": "human_confirmed"}, good | {"certainty": None, "actor": "agent_confirmed", "evidence": "client_attestation"}, good | {"evidence": None}]
+    a = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(rows, 1)], "position int, " + ", ".join(f"{n} string" for n in good))
+    assert {(r["position"], r["error"]) for r in sampling.label_errors(a).collect()} == {(2, "unknown language"), (2, "actor without evidence"), (3, "unknown certainty"), (4, "unknown evidence")}
 
 
 def test_workload_is_independent_of_order(spark):

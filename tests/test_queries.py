@@ -7,7 +7,7 @@ from querylens import catalog, plans  # noqa: F401
 from .oracle import connect, same
 
 SF = "/root/testdata/sf0.001"
-WEAK = {"review_sample", "bootstrap_ci", "sign_randomization", "hashed_word_vectors", "retrieval_stages", "skeleton_tfidf", "gmm_categories", "pca_2d"}
+WEAK = {"review_sample", "bootstrap_ci", "sign_randomization", "hashed_word_vectors", "retrieval_stages", "skeleton_tfidf", "gmm_categories", "pca_2d", "skeleton_components", "category_selection", "variant_experiment"}
 
 
 @pytest.fixture(scope="module")
