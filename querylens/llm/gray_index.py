@@ -42,18 +42,22 @@ class PatternTree:
 
     def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, run) index pairs that the shared bits do not rule out."""
-        width = len(self.levels[0][0])
-        q = np.repeat(np.arange(len(queries)), width)
-        node = np.tile(np.arange(width), len(queries))
+        width, below = len(self.levels[0][0]), np.arange(self.fanout, dtype=np.int32)
+        q = np.repeat(np.arange(len(queries), dtype=np.int32), width)
+        node = np.tile(np.arange(width, dtype=np.int32), len(queries))
         diff = np.zeros(len(q), np.uint8)
         for depth, (pattern, own) in enumerate(self.levels):
             if depth:
                 q, diff = np.repeat(q, self.fanout), np.repeat(diff, self.fanout)
-                node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-                there = node < len(pattern)
-                q, node, diff = q[there], node[there], diff[there]
-            diff = diff + np.bitwise_count((queries[q] ^ pattern[node]) & own[node])
-            near = diff <= radius
+                node = ((node * np.int32(self.fanout))[:, None] + below).ravel()
+                if len(pattern) % self.fanout:
+                    there = node < len(pattern)
+                    q, node, diff = q[there], node[there], diff[there]
+            bits = queries[q]
+            bits ^= pattern[node]
+            bits &= own[node]
+            diff = diff + np.bitwise_count(bits)
+            near = np.flatnonzero(diff <= radius)
             q, node, diff = q[near], node[near], diff[near]
         return q, node
 
@@ -61,7 +65,7 @@ class PatternTree:
 class GrayIndex:
     """All pairs of queries and codes at radius or fewer differing bits."""
 
-    def __init__(self, codes: np.ndarray, leaf: int = 16):
+    def __init__(self, codes: np.ndarray, leaf: int = 4):
         self.order = np.argsort(gray_rank(codes), kind="stable")
         self.codes, self.leaf = codes[self.order].astype(np.uint64), leaf
         at = np.arange(0, len(codes), leaf)

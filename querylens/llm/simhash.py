@@ -31,8 +31,12 @@ from .gray_index import GrayIndex, gray_rank, spanning, unite
 
 #: Rows of a block of the index, the least number of blocks (for the tasks to share), bits of a further cut, and rows routed at once.
 BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 65_536, 32, 4, 1 << 17
+#: One in each byte of a word, and rows whose ones a byte can count.
+LANES, ROWS = np.uint64(0x0101010101010101), 255
 #: Words of a fingerprint that a proposal compares as a whole.
 COMPARED = 4
+#: Slices by which a first look finds the groups of near copies, so that not all of their pairs are proposed by all slices.
+FIRST_SLICES = 2
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -58,14 +62,16 @@ def fingerprint(h: np.ndarray, width: int = 1) -> np.ndarray:
     """width words of 64 bits; a bit is 1 if it is set in over half the hashes. No hash: zero."""
     if not len(h):
         return np.zeros(width, np.uint64)
-    out = np.empty(width, np.uint64)
-    for k in range(width):
-        ones = np.zeros(64, np.int64)
-        m = _mixed(h, k)
-        for i in range(0, len(m), 16384):
-            ones += np.unpackbits(m[i : i + 16384].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    ones = np.zeros((width, 8, 8), np.int64)  # by word, bit of a byte, byte
+    for i in range(0, len(h), 64 * ROWS):
+        part = h[i : i + 64 * ROWS]
+        m = np.zeros((width, -(-len(part) // ROWS) * ROWS), np.uint64)
+        for k in range(width):
+            m[k, : len(part)] = _mixed(part, k)
+        m = m.reshape(width, -1, ROWS)
+        for bit in range(8):  # eight counters a word, one in each byte, which so many rows cannot overflow
+            ones[:, bit] += ((m >> np.uint64(bit)) & LANES).sum(axis=2, dtype=np.uint64).view(np.uint8).reshape(width, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits((2 * ones > len(h)).transpose(0, 2, 1).reshape(width, 64), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +173,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
     return reduce(DataFrame.union, out)
 
 
-def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, slices: int | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the classes (node, f0, f1, ...) which links connect.
 
     A link: some slice of slice_bits differs in slice_radius bits at most, and
@@ -178,11 +184,11 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
     and the edges are links themselves, between sets of which the smaller has
     at least ratio of the larger's size: "forest" gives those that span each
     block, near ones first, "all" every link between different parts, in each
-    slice that finds it.
+    slice that finds it. slices: how many of the slices to look at, if not all.
     """
     per_word = 64 // slice_bits
-    tables, names = width * per_word, [f"f{k}" for k in range(width)]
-    compared = names[:COMPARED] if tables > 1 else []
+    tables, names = slices or width * per_word, [f"f{k}" for k in range(width)]
+    compared = names[:COMPARED] if width * per_word > 1 else []
     more = ["n", "part"] if propose else []
     mask = np.uint64(2**slice_bits - 1)
 
@@ -305,8 +311,8 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     A link: the sets of five-word shingles have a Jaccard similarity of
     threshold or more, decided exactly. Which pairs are looked at the index over
     fingerprints of the sets proposes; slices_for() tells their width. Equal sets
-    are one class. A forest of proposals is verified first; then all proposals
-    between the components that this has left, so that large groups do not bring
+    are one class. A forest of what a few slices propose is verified first; then
+    all proposals between the components that this has left, so that large groups do not bring
     all of their pairs. A null text counts as empty; repeated rows come out as
     often as they come in; an empty table gives an empty result.
     """
@@ -329,7 +335,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     for propose in ("forest", "all"):
         parts = classes if linked is None else classes.join(connected_components(linked), "node", "left").withColumn("part", F.coalesce("component", "node"))
         parts = materialize(parts.select("node", *names, "n", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
-        pairs = materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold).distinct(), "proposed")
+        pairs = materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold, slices=FIRST_SLICES if propose == "forest" else None).distinct(), "proposed")
         good = materialize(_verified(pairs, classes, rows, words, threshold), "verified")
         drop_table(pairs)
         drop_table(parts)
