@@ -183,8 +183,8 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
     With propose the classes have n, the size of their set, and part as well,
     and the edges are links themselves, between sets of which the smaller has
     at least ratio of the larger's size: "forest" gives those that span each
-    block, near ones first, "all" every link between different parts, in each
-    slice that finds it. slices: how many of the slices to look at, if not all.
+    block, near ones first, "all" every link between different parts, mostly
+    once: in the first of the compared slices that finds it. slices: how many of the slices to look at, if not all.
     """
     per_word = 64 // slice_bits
     tables, names = slices or width * per_word, [f"f{k}" for k in range(width)]
@@ -228,6 +228,10 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
                     ok = far <= most
                     found += spanning(label, q[ok], at[ok])
             else:
+                for u in range(min(key[0].as_py(), per_word * len(compared))):  # a pair that an earlier slice finds too is that slice's
+                    x = (f[u // per_word] >> np.uint64(slice_bits * (u % per_word))) & mask
+                    ok = np.bitwise_count(x[q] ^ x[at]) > slice_radius
+                    q, at = q[ok], at[ok]
                 found.append((q, at))
         a, b = (np.concatenate([node[:0], *(node[x[k]] for x in found)]) for k in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
