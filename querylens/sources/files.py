@@ -55,7 +55,8 @@ def canonical_hashes(spark: SparkSession, path: str) -> DataFrame:
 
         return texts.map(one)
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), digest("value").alias("sha256"))
+    # not input_file_name(): Python reads ahead, and it then names a later file of the same task
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), digest("value").alias("sha256"))
 
 
 def as_json(value: object) -> str:

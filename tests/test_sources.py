@@ -116,3 +116,14 @@ def test_stream(spark, tmp_path):
         q.stop()
     whole = {(r["day"], r["event_type"]): r["n"] for r in daily.daily_volume(events).collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
+
+
+def test_hashes_stay_with_their_files_where_one_task_reads_several(spark, tmp_path):
+    import hashlib
+
+    want = {}
+    for i in range(20):
+        (tmp_path / f"f{i}.json").write_text(f'{{ "b":1,\n"a": {i}}}' if i != 7 else "{")
+        want[f"f{i}.json"] = hashlib.sha256(f'{{"a": {i}, "b": 1}}'.encode()).hexdigest() if i != 7 else None
+    got = files.canonical_hashes(spark, str(tmp_path)).collect()
+    assert len(got) == 20 and {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in got} == want
