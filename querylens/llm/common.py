@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop_table, materialize, new_folder  # noqa: F401
+from ..shared import drop_table, materialize, new_folder, release_exchanges  # noqa: F401
 
 _HELD: dict[Any, Any] = {}
 

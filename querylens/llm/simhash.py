@@ -10,6 +10,9 @@ block a task searches its own hierarchical index and sends back a spanning
 forest of the links that it has found, never the pairs themselves.
 Near-copies by set similarity take two rounds: the index only proposes pairs,
 and each is verified by the exact Jaccard similarity before it is an edge.
+Each set carries a sketch as well, the parities of its hashes by place. Sets
+differ in at least as many elements as their sketches do in bits, so a task
+rules out, without an error, most pairs that lie below the threshold.
 """
 
 from __future__ import annotations
@@ -26,15 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import drop_table, id_text, materialize, texts
+from .common import drop_table, id_text, materialize, release_exchanges, texts
 from .gray_index import GrayIndex, gray_rank, spanning, unite
 
 #: Rows of a block of the index, the least number of blocks (for the tasks to share), bits of a further cut, and rows routed at once.
-BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 65_536, 32, 4, 1 << 17
+BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 131_072, 32, 4, 1 << 17
 #: One in each byte of a word, and rows whose ones a byte can count.
 LANES, ROWS = np.uint64(0x0101010101010101), 255
 #: Words of a fingerprint that a proposal compares as a whole.
-COMPARED = 4
+COMPARED = 2
+#: Words of a set's sketch of parities.
+SKETCH = 8
+#: Rows for each class that are sent to blocks at once; more slices than these allow take further rounds, so that the exchange does not outgrow the disk.
+SENT_ROWS = 24
 #: Slices by which a first look finds the groups of near copies, so that not all of their pairs are proposed by all slices.
 FIRST_SLICES = 2
 
@@ -74,6 +81,17 @@ def fingerprint(h: np.ndarray, width: int = 1) -> np.ndarray:
     return np.packbits((2 * ones > len(h)).transpose(0, 2, 1).reshape(width, 64), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def parities(h: np.ndarray) -> bytes:
+    """SKETCH words: for each place, whether an odd number of the distinct hashes falls there."""
+    at = (_mixed(h, 1 << 20) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _words(column) -> list[np.ndarray]:
+    """A column of sketches as an array for each of their words."""
+    return list(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH).T.copy())
+
+
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and f0, f1, ... (64 bits each, as signed longs) of each row's whole text."""
     names = [f"f{k}" for k in range(width)]
@@ -95,7 +113,7 @@ def _masks(bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
 
 
-def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes, columns: list[str], block_rows: int, least_blocks: int) -> DataFrame:
+def _blocks(classes: DataFrame, tables: range, slice_bits: int, radius: int, codes, columns: list[str], block_rows: int, least_blocks: int) -> DataFrame:
     """Rows (t, depth, prefix, chunk, home, code, columns...): each class at every block of each table that can hold a code within the radius.
 
     Of two blocks the one that is later in Gray order gets both codes. home
@@ -103,7 +121,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
     four times block_rows are cut by further bits, down to single codes; a code
     that is still too frequent is dealt to chunks, and asks all of them.
     """
-    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes.count() / block_rows, least_blocks / tables, 1))))))
+    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes.count() / block_rows, least_blocks / len(tables), 1))))))
     kinds = ", ".join(f"{x} {classes.schema[x].dataType.simpleString()}" for x in columns)
     node_schema = f"t int, depth int, prefix long, code long, home boolean, budget int, {kinds}"
 
@@ -127,7 +145,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
     def first(batches):
         for batch in batches:
             n = batch.num_rows
-            for t in range(tables):
+            for t in tables:
                 yield from expanded(batch, np.full(n, t), codes(batch, t), np.zeros(n, np.uint64), np.ones(n, bool), np.full(n, radius), 0, depth, np.arange(n))
 
     def further(was: int, now: int):
@@ -140,7 +158,7 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
 
     def owners(batches):
         for batch in batches:
-            for t in range(tables):
+            for t in tables:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(codes(batch, t).view(np.int64))], ["t", "code"])
 
     # blocks that are too full: as many rows as there are such blocks, and hardly ever one
@@ -173,23 +191,23 @@ def _blocks(classes: DataFrame, tables: int, slice_bits: int, radius: int, codes
     return reduce(DataFrame.union, out)
 
 
-def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, slices: int | None = None) -> DataFrame:
+def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: int, radius: int, propose: str | None = None, ratio: float = 0.0, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, slices: range | None = None) -> DataFrame:
     """Edges (a, b) that connect exactly the classes (node, f0, f1, ...) which links connect.
 
     A link: some slice of slice_bits differs in slice_radius bits at most, and
     the first COMPARED words together in radius bits at most. With one slice that
     holds all bits both are the same, and the result is exact.
 
-    With propose the classes have n, the size of their set, and part as well,
-    and the edges are links themselves, between sets of which the smaller has
-    at least ratio of the larger's size: "forest" gives those that span each
+    With propose the classes have n, the size of their set, odd, its sketch, and part
+    as well, and the edges are links themselves, between sets whose sizes and
+    sketches do not rule out a Jaccard similarity of ratio: "forest" gives those that span each
     block, near ones first, "all" every link between different parts, mostly
-    once: in the first of the compared slices that finds it. slices: how many of the slices to look at, if not all.
+    once: in the first of the compared slices that finds it. slices: which of the slices to look at, if not all.
     """
     per_word = 64 // slice_bits
-    tables, names = slices or width * per_word, [f"f{k}" for k in range(width)]
+    tables, names = slices or range(width * per_word), [f"f{k}" for k in range(width)]
     compared = names[:COMPARED] if width * per_word > 1 else []
-    more = ["n", "part"] if propose else []
+    more = ["n", "part", "odd"] if propose else []
     mask = np.uint64(2**slice_bits - 1)
 
     def codes(batch, t: int) -> np.ndarray:
@@ -214,7 +232,8 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
 
     def proposed(key, rows):
         node, c, f, is_home = of_block(rows)
-        n, part = (rows.column(x).to_numpy() for x in more)
+        n, part = (rows.column(x).to_numpy() for x in more[:2])
+        odd, most_odd = _words(rows.column("odd")), (1 - ratio) / (1 + ratio)
         home, label, found = np.flatnonzero(is_home), np.unique(part, return_inverse=True)[1], []
         for q, at in GrayIndex(c[home]).search(c, slice_radius) if len(home) else ():
             at = home[at]
@@ -223,6 +242,8 @@ def near_edges(classes: DataFrame, width: int, slice_bits: int, slice_radius: in
             far = apart(f, q, at)
             ok = far <= radius
             q, at, far = q[ok], at[ok], far[ok]
+            ok = apart(odd, q, at) <= most_odd * (n[q] + n[at]) + 1e-6  # sets that differ in more elements lie below the ratio
+            q, at, far = q[ok], at[ok], far[ok]
             if propose == "forest":
                 for most in (radius // 4, radius // 2, radius * 3 // 4, radius):
                     ok = far <= most
@@ -309,6 +330,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= threshold).select("a", "b")
 
 
+def _slices_at_once(classes: int, slice_bits: int, slice_radius: int) -> int:
+    """How many slices may be sent to blocks together; a class goes to half of the blocks within the radius of its own."""
+    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes, 1) / BLOCK_ROWS)))))
+    return max(1, int(SENT_ROWS / ((sum(comb(depth, i) for i in range(slice_radius + 1)) + 1) / 2)))
+
+
 def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.98, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach) of each row with an id.
 
@@ -323,26 +350,35 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     width, slice_bits, slice_radius, radius = slices_for(max(1, docs.count()), threshold, recall)
     names = [f"f{k}" for k in range(width)]
 
-    def row(text):
-        h = np.unique(shingle_hashes(text, words))
-        return _set_key(h), len(h), *fingerprint(h, width).view(np.int64).tolist()
-
     def of(batches):
         for batch in batches:
-            made = np.array([row(t) for t in texts(batch.column("text"))], np.int64).reshape(-1, 2 + width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, k]) for k in range(2 + width))], ["doc_id", "node", "n", *names])
+            rows_, odd = [], []
+            for t in texts(batch.column("text")):
+                h = np.unique(shingle_hashes(t, words))
+                rows_.append((_set_key(h), len(h), *fingerprint(h, width).view(np.int64).tolist()))
+                odd.append(parities(h))
+            made = np.array(rows_, np.int64).reshape(-1, 2 + width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, k]) for k in range(2 + width)), pa.array(odd, pa.binary())], ["doc_id", "node", "n", *names, "odd"])
 
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    marked = materialize(rows.mapInArrow(of, "doc_id long, node long, n long, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
-    classes = materialize(marked.groupBy("node", "n", *names).agg(F.min("doc_id").alias("doc_id")), "classes")
+    marked = materialize(rows.mapInArrow(of, "doc_id long, node long, n long, " + ", ".join(f"{x} long" for x in names) + ", odd binary"), "fingerprints")
+    classes = materialize(marked.groupBy("node", "n", *names, "odd").agg(F.min("doc_id").alias("doc_id")), "classes")
+    slices = width * (64 // slice_bits)
     linked = None
     for propose in ("forest", "all"):
         parts = classes if linked is None else classes.join(connected_components(linked), "node", "left").withColumn("part", F.coalesce("component", "node"))
-        parts = materialize(parts.select("node", *names, "n", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
-        pairs = materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold, slices=FIRST_SLICES if propose == "forest" else None).distinct(), "proposed")
+        parts = materialize(parts.select("node", *names, "n", "odd", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
+        found, looked = [], range(min(FIRST_SLICES, slices) if propose == "forest" else slices)
+        for at in range(0, len(looked), step := _slices_at_once(parts.count(), slice_bits, slice_radius)):
+            found.append(materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold, slices=looked[at : at + step]), "found"))
+            release_exchanges(docs.sparkSession)
+        pairs = materialize(reduce(DataFrame.union, found).distinct(), "proposed")
+        for part in found:
+            drop_table(part)
         good = materialize(_verified(pairs, classes, rows, words, threshold), "verified")
         drop_table(pairs)
         drop_table(parts)
+        release_exchanges(docs.sparkSession)
         linked = good if linked is None else linked.union(good)
     found = classes.select("node", "doc_id").join(connected_components(linked), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("root"))
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -52,6 +52,11 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_exchanges(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the files of exchanges that nothing refers to any more; it learns of them from the JVM's collector."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer splits than there are cores, before work that is heavy for each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

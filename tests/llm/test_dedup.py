@@ -316,3 +316,33 @@ def test_repeated_lines_do_not_outvote_the_rest(spark):
     texts = clean + once + often
     kept = sorted(r["doc_id"] for r in simhash.near_deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert kept == exact_kept(texts) == list(range(12))
+
+
+def test_sketches_never_rule_out_a_link():
+    """Sketches differ in no more bits than their sets in elements, at any size."""
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 100, 3000, 20_000):
+        a = rng.integers(0, 2**64, n, np.uint64)
+        for changed in (0, n // 20, n // 5, n):
+            b = np.concatenate([a[changed:], rng.integers(0, 2**64, changed, np.uint64)])
+            x, y = (np.frombuffer(simhash.parities(np.unique(h)), np.uint64) for h in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) and (changed or (x == y).all())
+
+
+def test_a_shared_passage_brings_no_square_of_pairs(spark, monkeypatch):
+    """200 texts that share two thirds and more, below the threshold, and a few links: what is verified stays in proportion; rounds of one slice give the same."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(240))
+    texts = [passage + " " + " ".join(f"o{k}_{i}" for i in range(45)) for k in range(200)]
+    texts += [mutated(rng, t, 2) for t in texts[:20]]
+    df, looked, verified = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], simhash._verified
+
+    def counted(pairs, *more):
+        looked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    kept = sorted(r["doc_id"] for r in simhash.near_deduplicated(df).collect())
+    assert kept == exact_kept(texts) and sum(looked) < 5 * len(texts)
+    monkeypatch.setattr(simhash, "SENT_ROWS", 1)
+    assert kept == sorted(r["doc_id"] for r in simhash.near_deduplicated(df).collect())
