@@ -9,7 +9,7 @@ from ..catalog import query
 from ..functions import numbers, text
 from ..functions.dialect import DUCK
 from ..operators import clusters, gate, groups, report, sampling, workload
-from ..shared import spread
+from ..shared import materialize, spread
 from . import views
 
 
@@ -285,9 +285,8 @@ def _near_groups(spark, sf_dir):
 @query(f"with {_LOG_PAIRS} select a, b, round(similarity, 9) as similarity from pairs")
 def log_near_pairs(spark, sf_dir):
     """Pairs of distinct texts of one source and day, each by its first row, with a Jaccard similarity of 0.8 or more."""
-    marked = groups.with_normal_form(views.log(spark, sf_dir))
-    first = marked.groupBy("normalized").agg(F.min("row_id").alias("id"))
-    texts = marked.select("normalized", "source", "collected_on").distinct().join(first, "normalized")
+    marked = materialize(groups.keyed(views.log(spark, sf_dir)), "normalized")
+    texts = groups.distinct_texts(marked, "source", "collected_on")
     return groups.similar_pairs(texts, ["source", "collected_on"], NEAR).select("a", "b", F.round("similarity", 9).alias("similarity")).distinct()
 
 
@@ -299,7 +298,7 @@ def log_near_groups(spark, sf_dir):
 @query(f"with recursive {_LOG_GROUPS} select group_id, count(*) as n_rows, count(distinct normalized) as n_variants, count(distinct collected_on) as n_days, arg_min(normalized, row_id) as first_text from rows_ group by group_id")
 def log_near_summary(spark, sf_dir):
     grouped = _near_groups(spark, sf_dir)
-    return grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("normalized").alias("n_variants"), F.countDistinct("collected_on").alias("n_days"), F.min_by("normalized", "row_id").alias("first_text"))
+    return grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.sha2(F.encode("normalized", "utf-8"), 256)).alias("n_variants"), F.countDistinct("collected_on").alias("n_days"), F.min_by("normalized", "row_id").alias("first_text"))
 
 
 @query(f"""with {views.LOG}, f as (select source, {_norm_sql('query', False)} as norm, {DUCK.distinct_sorted('packages')} as filters, arg_min(query, row_id) as query from log group by all),
