@@ -58,7 +58,7 @@ def bm25_names(queries: DataFrame, docs: DataFrame, k: int = 1000, name: str = "
 
 def unit(v: str) -> str:
     norm = f"sqrt(aggregate({v}, 0D, (s, x) -> s + cast(x as double) * cast(x as double)))"
-    return f"transform({v}, x -> if({norm} > 0, cast(x as double) / {norm}, 0D))"
+    return f"transform(array({norm}), m -> transform({v}, x -> if(m > 0, cast(x as double) / m, 0D)))[0]"  # bound once, not for each element
 
 
 def vector_top(queries: DataFrame, docs: DataFrame, k: int = 1000) -> DataFrame:
@@ -77,7 +77,8 @@ def vector_top(queries: DataFrame, docs: DataFrame, k: int = 1000) -> DataFrame:
 
 def hashed_words(df: DataFrame, text: str, name: str = "v") -> DataFrame:
     """Adds a deterministic embedding: counts of words by crc32 modulo 64, of unit length."""
-    counts = f"aggregate({WORDS.format(text)}, array_repeat(0D, {DIMENSIONS}), (s, w) -> transform(s, (x, i) -> if(i = pmod(crc32(cast(w as binary)), {DIMENSIONS}), x + 1, x)))"
+    places = f"transform({WORDS.format(text)}, w -> cast(pmod(crc32(cast(w as binary)), {DIMENSIONS}) as int))"
+    counts = f"if({text} is null, null, transform(array({places}), p -> transform(sequence(0, {DIMENSIONS - 1}), i -> cast(size(p) - size(array_remove(p, i)) as double)))[0])"
     return df.withColumn("_c", F.expr(counts)).withColumn(name, F.expr(unit("_c"))).drop("_c")
 
 

@@ -206,3 +206,13 @@ def test_groups_default_to_the_references_threshold(spark):
     log_ = spark.createDataFrame(rows, "row_id long, query string, packages array<string>, source string, result_count long, collected_on string")
     assert {r["row_id"]: r["group_id"] for r in groups.assign_groups(log_).collect()} == {1: 0, 2: 0, 3: 1}
     assert sorted(r["n_rows"] for r in groups.prepare(log_)[1].collect()) == [1, 2]
+
+
+def test_unit_vectors_bind_their_norm_once(spark):
+    """The norm is a sum over the whole vector; it stands outside of what runs for each element."""
+    from querylens.operators import retrieval
+
+    e = retrieval.unit("v")
+    assert e.count("sqrt(") == 1 and e.index("sqrt(") < e.index("transform(v")
+    got = retrieval.hashed_words(spark.createDataFrame([("red Red widget",), ("",), (None,)], "text string"), "text").select("v").collect()
+    assert sorted(x for x in got[0][0] if x) == [1 / 5**0.5, 2 / 5**0.5] and got[1][0] == [0.0] * 64 and got[2][0] is None
