@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.clustering import GaussianMixture
@@ -10,11 +11,12 @@ from pyspark.ml.feature import PCA, CountVectorizer, NGram, Normalizer, Standard
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import INITIAL, WORD
-from ..shared import materialize
+from ..shared import drop_table, materialize
 from .sampling import hash_sample
 
 #: Fixed value: terms of keywords, whole names included.
@@ -176,9 +178,19 @@ def bic(log_likelihood: float, k: int, dims: int, n: int) -> float:
     return -2 * log_likelihood + (k * (dims + dims * (dims + 1) / 2) + k - 1) * math.log(max(n, 1))
 
 
+#: Fits that run at once: each is many short jobs, which leave most cores idle when they go one by one.
+FITS = 8
+
+
+def at_once(df: DataFrame, work: list) -> list:
+    """The results of functions of no argument, in their order, several running at a time in threads with this thread's local properties."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(w)) for w in work]]
+
+
 def mixture(df: DataFrame, k: int, restarts: int = 3, seed: int = 0, features: str = "features"):
     """The best of several seeded Gaussian mixtures."""
-    fits = [GaussianMixture(k=k, seed=seed + i, featuresCol=features, predictionCol="label").fit(df) for i in range(restarts)]
+    fits = at_once(df, [lambda i=i: GaussianMixture(k=k, seed=seed + i, featuresCol=features, predictionCol="label").fit(df) for i in range(restarts)])
     return max(fits, key=lambda m: m.summary.logLikelihood)
 
 
@@ -191,17 +203,25 @@ def select_classes(df: DataFrame, key: str, most: int = 8, rounds: int = 8, leas
     """(labels (key, label), table (categories, bic, ari, min_jaccard)): the largest number of classes that refits on subsamples find again."""
     spark, n = df.sparkSession, df.count()
     dims = len(df.first()["features"]) if n else 0
-    rows, chosen = [], None
-    for k in range(2, most + 1):
-        model = mixture(df, k, seed=seed)
-        labels = model.transform(df).select(key, "label")
-        aris, worst = [], {}
-        for r in range(rounds):
-            again = mixture(subsample(df, key, r), k, restarts=1, seed=seed + r).transform(df).select(key, F.col("label").alias("other"))
-            both = labels.join(again, key)
-            aris.append(rand_index(both, "label", "other").first()[0])
-            for x in best_jaccard(both, "label", "other").collect():
-                worst.setdefault(x["label"], []).append(x["jaccard"])
+    rows, chosen, sizes = [], None, range(2, most + 1)
+    samples = [hash_sample(df, key, int(n * 0.8), r) for r in range(rounds)]
+
+    def refit(k: int, r: int, labels: DataFrame) -> tuple[float, list[tuple[int, float]]]:
+        again = mixture(samples[r], k, restarts=1, seed=seed + r).transform(df).select(key, F.col("label").alias("other"))
+        both = materialize(labels.join(again, key).select("label", "other"), "refit")
+        out = rand_index(both, "label", "other").first()[0], [tuple(x) for x in best_jaccard(both, "label", "other").collect()]
+        drop_table(both)
+        return out
+
+    models = at_once(df, [lambda k=k: mixture(df, k, seed=seed) for k in sizes])
+    labelled = [materialize(m.transform(df).select(key, "label"), "labels") for m in models]
+    refits = at_once(df, [lambda k=k, r=r, x=x: refit(k, r, x) for k, x in zip(sizes, labelled, strict=True) for r in range(rounds)])
+    for at, (k, model, labels) in enumerate(zip(sizes, models, labelled, strict=True)):
+        mine = refits[at * rounds : (at + 1) * rounds]
+        aris, worst = [ari for ari, _ in mine], {}
+        for _, overlaps in mine:
+            for label, jaccard in overlaps:
+                worst.setdefault(label, []).append(jaccard)
         least_seen = min((sum(v) / len(v) for v in worst.values()), default=0.0)
         rows.append((k, bic(model.summary.logLikelihood, k, dims, n), round(sum(aris) / len(aris), 3), round(least_seen, 3)))
         if least_seen >= least:

@@ -20,3 +20,11 @@ def test_gmm_categories_searches_for_stable_sizes(spark, monkeypatch):
     out = catalog.QUERIES["gmm_categories"](spark, SF)
     n = views.chat(spark, SF).count()
     assert out.count() == n and asked == [(8, 8, 0.75, n)]
+
+
+def test_fits_run_at_once_and_keep_their_order(spark):
+    """Eight pieces of work wait for each other, which one by one they could not; results come in the order given."""
+    import threading
+
+    gate = threading.Barrier(clusters.FITS, timeout=20)
+    assert clusters.at_once(spark.range(1), [lambda i=i: (gate.wait(), i)[1] for i in range(clusters.FITS)]) == list(range(clusters.FITS))
