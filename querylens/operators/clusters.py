@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA, CountVectorizer, NGram, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg import VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.text import INITIAL, WORD
 from ..shared import drop_table, materialize
@@ -23,6 +27,8 @@ from .sampling import hash_sample
 TERM = rf"[{INITIAL}][{WORD}'.]*[{WORD}']|[{INITIAL}]"
 NUMERIC = ("n_words", "n_chars", "identifier_share", "function_word_share", "symbol_share", "latex_commands")
 LOG_SCALED = ("n_words", "n_chars", "latex_commands")
+#: Grams that a task counts before it hands the counts on.
+MET_GRAMS = 500_000
 
 
 def term_scores(points: DataFrame, cluster: str = "cluster", text: str = "text") -> DataFrame:
@@ -124,41 +130,105 @@ def correlations(df: DataFrame, columns: list[str], method: str = "spearman") ->
     return one.select(F.explode(F.array(*(F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs))).alias("c")).select("c.*")
 
 
+def _grams(skeleton: str | None) -> list[str]:
+    """A skeleton's 1- to 3-grams, repeats included; null has none."""
+    t = [x for x in (skeleton or "").split(" ") if x]
+    return [*t, *map(" ".join, zip(t, t[1:], strict=False)), *map(" ".join, zip(t, t[1:], t[2:], strict=False))]
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, df): in how many of a task's skeletons each gram is; a gram may come more than once."""
+    met: Counter[str] = Counter()
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(met.keys(), pa.string()), pa.array(met.values(), pa.int64())], ["gram", "df"])
+        met.clear()
+        return out
+
+    for batch in batches:
+        for skeleton in batch.column("skeleton"):
+            met.update(set(_grams(skeleton.as_py())))
+            if len(met) >= MET_GRAMS:
+                yield flushed()
+    yield flushed()
+
+
+def skeleton_rows(df: DataFrame, key: str, skeleton: str = "skeleton", min_df: int = 5) -> tuple[DataFrame, list[str]]:
+    """((key, i, weight), grams): a row for each skeleton with a gram of the vocabulary, the places of its grams in it and their TF-IDF.
+
+    Counts are sublinear, idf is smoothed, rows have unit length. A row is weighed
+    by itself, so only the grams' document counts are exchanged; the vocabulary,
+    grams of at least min_df skeletons, goes to the driver and to the tasks.
+    """
+    rows = materialize(df.select(key, F.col(skeleton).alias("skeleton")), "skeletons")
+    n = rows.count()
+    counts = rows.select("skeleton").mapInArrow(_seen, "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    met = {r["gram"]: r["df"] for r in counts.where(F.col("df") >= min(min_df, max(n, 1))).collect()}
+    grams = sorted(met)
+    place = {g: i for i, g in enumerate(grams)}
+    idf = np.array([math.log((1 + n) / (1 + met[g])) + 1 for g in grams])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, ends, i, times = [], [0], [], []
+            for row, skeleton in enumerate(batch.column("skeleton")):
+                held = sorted((place[g], c) for g, c in Counter(_grams(skeleton.as_py())).items() if g in place)
+                if held:
+                    kept.append(row)
+                    i += [x for x, _ in held]
+                    times += [c for _, c in held]
+                    ends.append(len(i))
+            if kept:
+                w = (1 + np.log(times)) * idf[i]
+                w /= np.repeat(np.sqrt(np.add.reduceat(w * w, ends[:-1])), np.diff(ends))
+                at = pa.array(ends, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(kept, pa.int32())), pa.ListArray.from_arrays(at, pa.array(i, pa.int32())), pa.ListArray.from_arrays(at, pa.array(w))], [key, "i", "weight"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.mapInArrow(weighed, f"`{key}` {kind}, i array<int>, weight array<double>"), grams
+
+
 def skeleton_weights(df: DataFrame, key: str, skeleton: str = "skeleton", min_df: int = 5) -> DataFrame:
-    """Sparse TF-IDF of skeletons' 1- to 3-grams: sublinear counts, smoothed idf, unit length. Adds column tfidf."""
-    n = df.count()
-    grams = df.withColumn("_t", F.expr(f"filter(split({skeleton}, ' '), x -> x <> '')"))
-    for k in (1, 2, 3):
-        grams = NGram(n=k, inputCol="_t", outputCol=f"_g{k}").transform(grams)
-    grams = grams.withColumn("_g", F.concat("_g1", "_g2", "_g3"))
-    model = CountVectorizer(inputCol="_g", outputCol="_c", minDF=float(min(min_df, max(n, 1)))).fit(grams)
-    terms = model.transform(grams).select(key, F.posexplode(vector_to_array("_c")).alias("i", "c")).where("c > 0")
-    df_ = terms.groupBy("i").agg(F.count(F.lit(1)).alias("df"))
-    w = terms.join(df_, "i").withColumn("w", (1 + F.log("c")) * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, F.element_at(F.array(*(F.lit(v) for v in model.vocabulary)), F.col("i") + 1).alias("gram"), (F.col("w") / F.col("norm")).alias("weight"))
+    """(key, gram, weight): sparse TF-IDF of skeletons' 1- to 3-grams."""
+    rows, grams = skeleton_rows(df, key, skeleton, min_df)
+    numbered = df.sparkSession.createDataFrame(list(enumerate(grams)), "i int, gram string")
+    return rows.select(key, F.explode(F.arrays_zip("i", "weight")).alias("x")).select(key, "x.i", "x.weight").join(F.broadcast(numbered), "i").select(key, "gram", "weight")
 
 
 def skeleton_components(weights: DataFrame, key: str, k: int = 8) -> DataFrame:
-    """(key, components): the leading right singular vectors of the sparse weights (key, gram, weight), times them; no centring.
+    """(key, components) of sparse weights (key, gram, weight), as row_components() has them."""
+    grams = sorted(r["gram"] for r in weights.select("gram").distinct().collect())  # the vocabulary
+    numbered = weights.join(F.broadcast(weights.sparkSession.createDataFrame([(g, i) for i, g in enumerate(grams)], "gram string, i int")), "gram")
+    held = numbered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))  # of one row's grams
+    return row_components(held.select(key, F.col("x.i").alias("i"), F.col("x.weight").alias("weight")), len(grams), key, k)
+
+
+def row_components(rows: DataFrame, grams: int, key: str, k: int = 8) -> DataFrame:
+    """(key, components): the leading right singular vectors of sparse rows (key, i, weight) over so many grams, times them; no centring.
 
     Only the vectors go to the driver, as many numbers as there are grams times
-    k. A vector's sign is such that its largest entry is positive. With fewer
-    than two grams there is nothing to reduce, and no row.
+    k. Rows are written once as vectors and held while the decomposition passes
+    over them. A vector's sign is such that its largest entry is positive. With
+    fewer than two grams there is nothing to reduce, and no row.
     """
-    grams = sorted(r["gram"] for r in weights.select("gram").distinct().collect())  # the vocabulary
-    if len(grams) < 2:
-        return weights.select(key, F.array().cast("array<double>").alias("components")).limit(0)
-    spark, k = weights.sparkSession, min(k, len(grams) - 1)
-    place = {g: i for i, g in enumerate(grams)}
-    numbered = weights.join(F.broadcast(spark.createDataFrame(list(place.items()), "gram string, i int")), "gram")
-    rows = numbered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))  # of one row's grams
-    matrix = RowMatrix(rows.select("x").rdd.map(lambda r: Vectors.sparse(len(place), [(e["i"], e["weight"]) for e in r["x"]])))
-    v = matrix.computeSVD(k).V.toArray()
+    if grams < 2:
+        return rows.select(key, F.array().cast("array<double>").alias("components")).limit(0)
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(grams).alias("size"), F.col("i").alias("indices"), F.col("weight").alias("values"))  # a sparse vector as it is stored
+    written = materialize(rows.select(key, parts.alias("x")), "vectors")
+    vectors = rows.sparkSession.read.schema(StructType([StructField("x", VectorUDT())])).parquet(written._querylens_path).persist()
+    v = RowMatrix(vectors).computeSVD(min(k, grams - 1)).V.toArray()
+    vectors.unpersist()
     v = v * np.where(np.abs(v).max(axis=0) == v.max(axis=0), 1, -1)
-    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "i int, v array<double>")
-    met = numbered.join(F.broadcast(table), "i")
-    return met.groupBy(key).agg(F.array(*(F.sum(F.col("weight") * F.col("v")[j]) for j in range(v.shape[1]))).alias("components"))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, w = batch.column("indices"), batch.column("values")
+            if len(i):
+                start = i.offsets.to_numpy()[:-1] - i.offsets[0].as_py()
+                sums = np.add.reduceat(v[i.flatten().to_numpy()] * w.flatten().to_numpy()[:, None], start, axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))], [key, "components"])
+
+    return written.select(key, "x.indices", "x.values").mapInArrow(reduced, f"`{key}` {written.schema[key].dataType.simpleString()}, components array<double>")
 
 
 def style_features(df: DataFrame, key: str | None = None, skeleton: str = "skeleton") -> DataFrame:
@@ -166,7 +236,8 @@ def style_features(df: DataFrame, key: str | None = None, skeleton: str = "skele
     scaled = df.withColumns({f"_{c}": F.log1p(c) if c in LOG_SCALED else F.col(c).cast("double") for c in NUMERIC})
     names = [f"_{c}" for c in NUMERIC]
     if key is not None:
-        parts = materialize(skeleton_components(skeleton_weights(df.select(key, skeleton), key, skeleton), key), "components")
+        rows, grams = skeleton_rows(df.select(key, skeleton), key, skeleton)
+        parts = materialize(row_components(rows, len(grams), key), "components")
         n = len((parts.first() or {"components": []})["components"])
         scaled = scaled.join(parts, key, "left").withColumns({f"_c{j}": F.coalesce(F.col("components")[j], F.lit(0.0)) for j in range(n)}).drop("components")
         names += [f"_c{j}" for j in range(n)]

@@ -93,8 +93,8 @@ def skeleton_tfidf(spark, sf_dir):
 @query()
 def skeleton_components(spark, sf_dir):
     """The skeletons' leading components, a row for each turn and component."""
-    weights = clusters.skeleton_weights(_points(spark, sf_dir).select("id", "skeleton"), "id")
-    return clusters.skeleton_components(weights, "id").select("id", F.posexplode("components").alias("component", "value"))
+    rows, grams = clusters.skeleton_rows(_points(spark, sf_dir).select("id", "skeleton"), "id")
+    return clusters.row_components(rows, len(grams), "id").select("id", F.posexplode("components").alias("component", "value"))
 
 
 def _style(spark, sf_dir):
