@@ -41,7 +41,7 @@ def byte_symbols() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbol = spec["model"]["vocab"], byte_symbols()
@@ -67,8 +67,8 @@ class Bpe:
         self.parts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find = regex.compile(WORD).findall
         self.fits: dict[int, bool] = {}
-        self.word = Remembered(self._word, REMEMBERED_BYTES // 8)
-        self.blank = Remembered(self._after_blank, REMEMBERED_BYTES)
+        self.word = Remembered(self._word, remembered // 8)
+        self.blank = Remembered(self._after_blank, remembered)
         # offset table: token id -> its place in one string of all tokens' bytes
         by_id = {vocab[t]: raw[t] for t in vocab} | {i: s.encode() for s, i in self.special.items()}
         self.at = np.zeros(max(by_id) + 2, np.int64)
@@ -167,9 +167,9 @@ class Bpe:
         return self.bytes[place].tobytes().decode("utf-8", "replace")
 
 
-def load(path: str) -> Bpe:
-    """The encoder of a file, once for each worker process."""
-    return held_by_worker(("bpe", path), lambda: Bpe(path))
+def load(path: str, remembered: int = REMEMBERED_BYTES) -> Bpe:
+    """The encoder of a file, once for each worker process, with so many bytes of words in either half of its table."""
+    return held_by_worker(("bpe", path, remembered), lambda: Bpe(path, remembered))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

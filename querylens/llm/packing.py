@@ -22,24 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import load, tokenizer_path
+from .bpe import REMEMBERED_BYTES, load, tokenizer_path
 from .common import drop_table, id_text, materialize, texts
 
 #: Pieces for each count of a length that one task ranks, and pieces of a batch.
 PIECES_PER_SALT, PIECES_PER_BATCH = 1_000_000, 4_096
+#: Bytes of words that the encoder keeps in either half of its table where packing has the workers for itself.
+REMEMBERED_ALONE = 120 << 20
 #: The weights' rate, how far below the best price a configuration may stay, and the least share of a solution that another round must take.
 RATE, SLACK, LEAST_SHARE = 0.1, 0.002, 0.05
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), the longest first
 
 
-def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if over capacity; a first piece takes what is left over."""
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path or tokenizer_path())
+        bpe = load(path or tokenizer_path(), remembered)
         for batch in batches:
             made: list[tuple[int, int, int, int, int]] = []
 
@@ -204,16 +206,17 @@ def intervals(patterns: Counter[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     All texts are packed, a null text as an empty one (its end id alone). No
     sequence holds over capacity tokens, and its pieces follow each other from
     offset 0 without a gap. Repeated rows are packed as often as they come, a
     null doc_id like any other. Extra columns are not read; an empty table gives
-    an empty result.
+    an empty result. remembered is the encoder's memory of words, which changes
+    the time alone.
     """
-    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, capacity, end_id, path, id_col, text_col, remembered), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     rows = intervals(plan(histogram, capacity))
     salts = max(64, -(-sum(histogram.values()) // PIECES_PER_SALT))

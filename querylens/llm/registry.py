@@ -48,7 +48,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), remembered=packing.REMEMBERED_ALONE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_toxicity, op4_langid, op5_bpe, op6_secrets, op7_embeddings, op8_warc, op9_pii, op10_packing)} | {"pipeline": pipeline.run}
