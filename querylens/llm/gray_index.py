@@ -1,10 +1,10 @@
 """A hierarchical index over binary codes in Gray order, in numpy.
 
 Codes sorted by Gray rank put similar codes side by side. Each node stands for
-a run of neighbours and holds the bits that all of them share and that no node
-above holds already. A search walks down from the top, adds the differences on
-those bits, and drops a node with all that is below once the sum exceeds the
-radius.
+a run of neighbours and holds the bits that all of them share. Queries are put
+in the same order under nodes of their own. A search walks down both from their
+tops, and drops two nodes with all that is below them once they differ in more
+of the bits that both share than the radius.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
+#: Pairs of nodes that go down at once, and pairs found that are handed on together.
+MET = 1 << 16
+
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """The place of each code in the reflected Gray sequence."""
@@ -23,65 +26,94 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class PatternTree:
-    """Nodes over runs that are given by the AND and the OR of their codes, in Gray order."""
+    """Nodes over codes in Gray order: what all codes of a node share, from the codes themselves up to a few nodes."""
 
-    def __init__(self, all_and: np.ndarray, all_or: np.ndarray, fanout: int = 4):
+    def __init__(self, codes: np.ndarray, fanout: int = 4):
         self.fanout = fanout
-        levels = [(all_and, all_or)]
-        while len(levels[-1][0]) > fanout:
-            a, o = levels[-1]
-            at = np.arange(0, len(a), fanout)
-            levels.append((np.bitwise_and.reduceat(a, at), np.bitwise_or.reduceat(o, at)))
-        self.levels = []
-        above = None
-        for a, o in reversed(levels):
-            shared = ~(a ^ o)
-            own = shared if above is None else shared & ~np.repeat(above, fanout)[: len(a)]
-            self.levels.append((a, own))
-            above = shared
-
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, run) index pairs that the shared bits do not rule out."""
-        width, below = len(self.levels[0][0]), np.arange(self.fanout, dtype=np.int32)
-        q = np.repeat(np.arange(len(queries), dtype=np.int32), width)
-        node = np.tile(np.arange(width, dtype=np.int32), len(queries))
-        diff = np.zeros(len(q), np.uint8)
-        for depth, (pattern, own) in enumerate(self.levels):
-            if depth:
-                q, diff = np.repeat(q, self.fanout), np.repeat(diff, self.fanout)
-                node = ((node * np.int32(self.fanout))[:, None] + below).ravel()
-                if len(pattern) % self.fanout:
-                    there = node < len(pattern)
-                    q, node, diff = q[there], node[there], diff[there]
-            bits = queries[q]
-            bits ^= pattern[node]
-            bits &= own[node]
-            diff = diff + np.bitwise_count(bits)
-            near = np.flatnonzero(diff <= radius)
-            q, node, diff = q[near], node[near], diff[near]
-        return q, node
+        all_and, all_or = codes, codes
+        self.levels = [(codes, None)]  # patterns, and which of their bits are shared; a code shares all with itself
+        while len(all_and) > fanout:
+            at = np.arange(0, len(all_and), fanout)
+            all_and, all_or = np.bitwise_and.reduceat(all_and, at), np.bitwise_or.reduceat(all_or, at)
+            self.levels.append((all_and, ~(all_and ^ all_or)))
+
+    def below(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """The nodes below those of the level, and which of them exist if not all do."""
+        down = ((node * np.int32(self.fanout))[:, None] + np.arange(self.fanout, dtype=np.int32)).ravel()
+        n = len(self.levels[level - 1][0])
+        return down, down < n if n % self.fanout else None
+
+
+def meetings(a: PatternTree, b: PatternTree, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in a and in b whose codes differ in radius bits at most, in parts.
+
+    Both trees are walked down together: two nodes that differ in more of the
+    bits that both share are dropped with all that is below them. At most MET
+    pairs of nodes go down at once; the rest waits.
+    """
+    top_a, top_b = len(a.levels) - 1, len(b.levels) - 1
+    n_a, n_b = len(a.levels[top_a][0]), len(b.levels[top_b][0])
+
+    def near(i, j, at_a: int, at_b: int):
+        (x, own_a), (y, own_b) = a.levels[at_a], b.levels[at_b]
+        bits = x[i] ^ y[j]
+        if own_a is not None:
+            bits &= own_a[i]
+        if own_b is not None:
+            bits &= own_b[j]
+        ok = np.flatnonzero(np.bitwise_count(bits) <= radius)
+        return i[ok], j[ok]
+
+    waiting = [(top_a, top_b, *near(np.repeat(np.arange(n_a, dtype=np.int32), n_b), np.tile(np.arange(n_b, dtype=np.int32), n_a), top_a, top_b))]
+    while waiting:
+        at_a, at_b, i, j = waiting.pop()
+        while len(i) and (at_a or at_b):
+            if len(i) > MET:
+                waiting.append((at_a, at_b, i[MET:], j[MET:]))
+                i, j = i[:MET], j[:MET]
+            if at_b and (not at_a or top_b - at_b <= top_a - at_a):  # in step from the tops, so that the nodes of a small tree meet wide ones
+                (j, there), i = b.below(j, at_b), np.repeat(i, b.fanout)
+                at_b -= 1
+            else:
+                (i, there), j = a.below(i, at_a), np.repeat(j, a.fanout)
+                at_a -= 1
+            if there is not None:
+                i, j = i[there], j[there]
+            i, j = near(i, j, at_a, at_b)
+        if len(i):
+            yield i, j
 
 
 class GrayIndex:
     """All pairs of queries and codes at radius or fewer differing bits."""
 
     def __init__(self, codes: np.ndarray, leaf: int = 4):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes, self.leaf = codes[self.order].astype(np.uint64), leaf
-        at = np.arange(0, len(codes), leaf)
-        self.tree = PatternTree(np.bitwise_and.reduceat(self.codes, at), np.bitwise_or.reduceat(self.codes, at))
-
-    def search(self, queries: np.ndarray, radius: int, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks of (index of the query, index of the code as given)."""
-        for start in range(0, len(queries), chunk):
-            part = queries[start : start + chunk]
-            q, run = self.tree.search(part, radius)
-            q = np.repeat(q, self.leaf)
-            at = (run[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            there = at < len(self.codes)
-            q, at = q[there], at[there]
-            near = np.bitwise_count(part[q] ^ self.codes[at]) <= radius
-            yield q[near] + start, self.order[at[near]]
+        self.order, self.leaf = np.argsort(gray_rank(codes), kind="stable"), leaf
+        self.tree = PatternTree(self._sorted(codes, self.order), leaf)
+
+    @staticmethod
+    def _sorted(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
+        codes = codes[order].astype(np.uint64)
+        return codes.astype(np.uint32) if codes.max() < 2**32 else codes  # half as much to read
+
+    def search(self, queries: np.ndarray, radius: int, chunk: int = MET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of (index of the query, index of the code as given); queries are put in Gray order too, and near ones go down as one."""
+        if not len(queries):
+            return
+        order = np.argsort(gray_rank(queries), kind="stable")
+        found, held = [], 0
+
+        def given():
+            return order[np.concatenate([q for q, _ in found])], self.order[np.concatenate([at for _, at in found])]
+
+        for part in meetings(PatternTree(self._sorted(queries, order), self.leaf), self.tree, radius):
+            found.append(part)
+            held += len(part[0])
+            if held >= chunk:
+                yield given()
+                found, held = [], 0
+        if found:
+            yield given()
 
 
 def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:

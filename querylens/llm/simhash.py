@@ -34,6 +34,8 @@ from .gray_index import GrayIndex, gray_rank, spanning, unite
 
 #: Rows of a block of the index, the least number of blocks (for the tasks to share), bits of a further cut, and rows routed at once.
 BLOCK_ROWS, LEAST_BLOCKS, CUT_BITS, ROUTED = 131_072, 32, 4, 1 << 17
+#: Rows of a block where slices propose pairs: what a class is sent to grows with the number of blocks.
+PROPOSING_ROWS = 262_144
 #: One in each byte of a word, and rows whose ones a byte can count.
 LANES, ROWS = np.uint64(0x0101010101010101), 255
 #: Words of a fingerprint that a proposal compares as a whole.
@@ -89,7 +91,13 @@ def parities(h: np.ndarray) -> bytes:
 
 def _words(column) -> list[np.ndarray]:
     """A column of sketches as an array for each of their words."""
-    return list(np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH).T.copy())
+    rows = np.empty((len(column), 8 * SKETCH), np.uint8)
+    start = 0
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        fixed = chunk.cast(pa.binary(8 * SKETCH))
+        rows[start : start + len(fixed)] = np.frombuffer(fixed.buffers()[1], np.uint8).reshape(-1, 8 * SKETCH)[fixed.offset : fixed.offset + len(fixed)]
+        start += len(fixed)
+    return list(rows.view(np.uint64).T.copy())
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,7 +340,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
 
 def _slices_at_once(classes: int, slice_bits: int, slice_radius: int) -> int:
     """How many slices may be sent to blocks together; a class goes to half of the blocks within the radius of its own."""
-    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes, 1) / BLOCK_ROWS)))))
+    depth = min(slice_bits, max(0, int(np.ceil(np.log2(max(classes, 1) / PROPOSING_ROWS)))))
     return max(1, int(SENT_ROWS / ((sum(comb(depth, i) for i in range(slice_radius + 1)) + 1) / 2)))
 
 
@@ -370,7 +378,7 @@ def near_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         parts = materialize(parts.select("node", *names, "n", "odd", (F.col("part") if linked is not None else F.col("node")).alias("part")), "parts")
         found, looked = [], range(min(FIRST_SLICES, slices) if propose == "forest" else slices)
         for at in range(0, len(looked), step := _slices_at_once(parts.count(), slice_bits, slice_radius)):
-            found.append(materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold, slices=looked[at : at + step]), "found"))
+            found.append(materialize(near_edges(parts, width, slice_bits, slice_radius, radius, propose, threshold, PROPOSING_ROWS, slices=looked[at : at + step]), "found"))
             release_exchanges(docs.sparkSession)
         pairs = materialize(reduce(DataFrame.union, found).distinct(), "proposed")
         for part in found:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,27 @@ def test_gray_index_finds_all(codes, radius):
     assert got == want
 
 
+def test_near_queries_go_down_as_one(monkeypatch):
+    """Both sides are walked down together, so codes that look for each other take far fewer comparisons than each by itself."""
+    codes, looked, count = np.random.default_rng(4).integers(0, 2**28, 20_000, np.uint64), [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (looked.append(x.size), count(x))[1])
+    for asked in (codes, codes[:50], codes[:1]):
+        looked.clear()
+        got = {(int(a), int(b)) for q, at in gray_index.GrayIndex(codes).search(asked, 2) for a, b in zip(q, at, strict=True)}
+        work = sum(looked) / len(asked)
+        assert got == {(i, int(j)) for i in range(50) for j in np.flatnonzero(count(codes[i] ^ codes) <= 2) if i < len(asked)} | {x for x in got if x[0] >= 50}
+        assert len(asked) < len(codes) or work < 700
+
+
+def test_sketches_are_read_as_they_lie():
+    """Also from columns in parts, and from slices."""
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(0, 256, 8 * simhash.SKETCH, dtype=np.uint8).tobytes() for _ in range(50)]
+    for column in (pa.array(rows), pa.chunked_array([rows[:20], rows[20:]]), pa.chunked_array([pa.array([b"x" * 64, *rows]).slice(1), pa.array([], pa.binary())])):
+        got = np.array(simhash._words(column)).T
+        assert [x.tobytes() for x in got] == rows
+
+
 def test_gray_rank_orders_neighbours_by_one_bit():
     order = np.argsort(gray_index.gray_rank(np.arange(256, dtype=np.uint64)))
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(order, order[1:], strict=False))
