@@ -9,7 +9,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg import VectorUDT
@@ -259,10 +258,144 @@ def at_once(df: DataFrame, work: list) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(w)) for w in work]]
 
 
-def mixture(df: DataFrame, k: int, restarts: int = 3, seed: int = 0, features: str = "features"):
-    """The best of several seeded Gaussian mixtures."""
-    fits = at_once(df, [lambda i=i: GaussianMixture(k=k, seed=seed + i, featuresCol=features, predictionCol="label").fit(df) for i in range(restarts)])
-    return max(fits, key=lambda m: m.summary.logLikelihood)
+#: Fixed values of a mixture's fit: steps at most, the gain of the mean log-likelihood below which it ends, what is added to variances, and rows that a component starts from, of so many.
+STEPS, GAIN, LEAST_VARIANCE, START_ROWS, START_POOL = 100, 1e-3, 1e-6, 5, 1000
+#: Rows that a task weighs at once.
+WEIGHED_ROWS = 4096
+
+
+class Fit:
+    """A mixture of k Gaussians with full covariances over the rows of one sample, as it is fitted: weights, means, covariances."""
+
+    def __init__(self, sample: int, k: int, seed: int):
+        self.sample, self.k, self.seed = sample, k, seed
+        self.weights = self.means = self.covariances = None
+        self.n, self.log_likelihood, self.steps, self.over = 0.0, -math.inf, 0, False
+
+    def start(self, rows: np.ndarray) -> None:
+        """Each component from START_ROWS of the given rows: their mean, and their variances."""
+        at = np.random.default_rng(self.seed).integers(0, len(rows), (self.k, START_ROWS))
+        self.weights, self.means = np.full(self.k, 1 / self.k), rows[at].mean(axis=1)
+        self.covariances = np.stack([np.diag(v) for v in rows[at].var(axis=1) + LEAST_VARIANCE])
+
+    def coefficients(self) -> np.ndarray:
+        """A column for each component: its weighted log-density as a linear function of _products()."""
+        d = self.means.shape[1]
+        inverse = np.linalg.inv(self.covariances)
+        m = np.einsum("kij,kj->ki", inverse, self.means)
+        i, j = np.triu_indices(d)
+        second = -0.5 * np.where(i == j, 1, 2) * (inverse[:, i, j] + inverse[:, j, i]) / 2
+        constant = np.log(np.maximum(self.weights, 1e-300)) - 0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(self.covariances)[1] + (m * self.means).sum(axis=1))
+        return np.concatenate([second, m, constant[:, None]], axis=1).T
+
+    def step(self, sums: np.ndarray, log_likelihood: float) -> None:
+        """The next weights, means and covariances from each component's sums of _products(), weighed by what rows owe to it."""
+        d = self.means.shape[1]
+        n = sums[:, -1]
+        self.n = n.sum()
+        gained, self.log_likelihood, self.steps = (log_likelihood - self.log_likelihood) / max(self.n, 1), log_likelihood, self.steps + 1
+        if gained < GAIN or self.steps >= STEPS:
+            self.over = True  # the likelihood is that of the parameters as they are
+            return
+        held = np.flatnonzero(n > 1e-9)  # a component that no row owes anything stays where it is
+        i, j = np.triu_indices(d)
+        means = sums[held, -1 - d : -1] / n[held, None]
+        second = np.empty((len(held), d, d))
+        second[:, i, j] = second[:, j, i] = sums[held, : len(i)] / n[held, None]
+        self.weights, self.means[held] = n / self.n, means
+        self.covariances[held] = second - means[:, :, None] * means[:, None] + LEAST_VARIANCE * np.eye(d)
+
+
+def _products(x: np.ndarray) -> np.ndarray:
+    """Of each row the products of two of its elements, its elements, and one."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([x[:, i] * x[:, j], x, np.ones((len(x), 1))], axis=1)
+
+
+def _owed(products: np.ndarray, coefficients: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row owes to each component of several mixtures side by side, and the rows' log-likelihoods by mixture."""
+    p = products @ coefficients
+    top = np.maximum.reduceat(p, ends, axis=1)
+    each = np.diff(np.append(ends, p.shape[1]))
+    p -= np.repeat(top, each, axis=1)
+    np.exp(p, out=p)
+    total = np.add.reduceat(p, ends, axis=1)
+    p /= np.repeat(total, each, axis=1)
+    return p, top + np.log(total)
+
+
+def _features(batch: pa.RecordBatch) -> np.ndarray:
+    x = batch.column("x")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
+def mixtures(points: DataFrame, key: str, samples: int, asked: list[tuple[int, int, int]]) -> list[Fit]:
+    """Fits (sample, k, seed) over points (key, x array<double>, member array<boolean>: in which samples a row is), in their order.
+
+    A step of all fits is one pass over the points: tasks, as many as there are
+    cores, return sums of each component, so what goes to the driver does not grow with the rows.
+    """
+    spark = points.sparkSession
+    points = points.coalesce(max(1, spark.sparkContext.defaultParallelism))
+    tasks = points.select("x", "member")
+    first = {}
+    for sample in range(samples):  # a bounded number of rows for the starts, by a hash of their key
+        first[sample] = np.array([r["x"] for r in points.where(F.col("member")[sample]).orderBy(F.xxhash64(F.lit(sample), key), key).limit(START_POOL).select("x").collect()])
+    fits = [Fit(*a) for a in asked]
+    for f in fits:
+        f.over = not len(first[f.sample])
+        if len(rows := first[0] if f.over else first[f.sample]):
+            f.start(rows)
+    while going := [k for k, f in enumerate(fits) if not f.over]:
+        parts = [(s, ks, np.concatenate([fits[k].coefficients() for k in ks], axis=1), np.cumsum([0, *(fits[k].k for k in ks)])[:-1]) for s in range(samples) if (ks := [k for k in going if fits[k].sample == s])]
+
+        def summed(batches, parts=parts):
+            sums, seen = [0.0] * len(parts), [0.0] * len(parts)
+            for batch in batches:
+                x = _features(batch)
+                member = batch.column("member").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                for start in range(0, len(x), WEIGHED_ROWS):
+                    products, inside = _products(x[start : start + WEIGHED_ROWS]), member[start : start + WEIGHED_ROWS]
+                    for at, (sample, _, coefficients, ends) in enumerate(parts):
+                        if len(mine := products[inside[:, sample]]):
+                            owed, likely = _owed(mine, coefficients, ends)
+                            sums[at], seen[at] = sums[at] + owed.T @ mine, seen[at] + likely.sum(axis=0)
+            out = [(at, s.ravel(), v) for at, (s, v) in enumerate(zip(sums, seen, strict=True)) if not np.isscalar(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([at for at, _, _ in out], pa.int32()), pa.array([s for _, s, _ in out], pa.list_(pa.float64())), pa.array([v for _, _, v in out], pa.list_(pa.float64()))], ["at", "sums", "seen"])
+
+        met = tasks.mapInArrow(summed, "at int, sums array<double>, seen array<double>").toArrow()
+        sums, seen = [0.0] * len(parts), [0.0] * len(parts)
+        for at, s, v in sorted(zip(met["at"].to_pylist(), (np.array(x.values) for x in met["sums"]), (np.array(x.values) for x in met["seen"]), strict=True), key=lambda r: (r[0], *r[2])):
+            sums[at], seen[at] = sums[at] + s, seen[at] + v
+        for at, (_, ks, coefficients, ends) in enumerate(parts):
+            rows = sums[at].reshape(-1, len(coefficients))
+            for i, k in enumerate(ks):
+                fits[k].step(rows[ends[i] : ends[i] + fits[k].k], seen[at][i])
+    return fits
+
+
+def best_fits(fits: list[Fit]) -> list[Fit]:
+    """Of the fits of each sample and k the likeliest, in the order of their first."""
+    best: dict = {}
+    for f in fits:
+        if (key := (f.sample, f.k)) not in best or f.log_likelihood > best[key].log_likelihood:
+            best[key] = f
+    return list(best.values())
+
+
+def classified(points: DataFrame, key: str, fits: list[Fit]) -> DataFrame:
+    """(key, labels): of each row the likeliest component in each of the fits."""
+    coefficients, ends = np.concatenate([f.coefficients() for f in fits], axis=1), np.cumsum([0, *(f.k for f in fits)])
+
+    def of(batches):
+        for batch in batches:
+            x = _features(batch)
+            p = np.concatenate([(_products(x[s : s + WEIGHED_ROWS]) @ coefficients) for s in range(0, len(x), WEIGHED_ROWS)] or [np.empty((0, ends[-1]))])
+            labels = np.stack([p[:, a:b].argmax(axis=1) for a, b in zip(ends, ends[1:], strict=False)], axis=1).astype(np.int32)
+            at = pa.array(np.arange(len(x) + 1) * len(fits), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(at, pa.array(labels.ravel()))], [key, "labels"])
+
+    return points.select(key, "x").mapInArrow(of, f"`{key}` {points.schema[key].dataType.simpleString()}, labels array<int>")
 
 
 def subsample(df: DataFrame, key: str, round_: int, share: float = 0.8) -> DataFrame:
@@ -270,33 +403,57 @@ def subsample(df: DataFrame, key: str, round_: int, share: float = 0.8) -> DataF
     return hash_sample(df, key, int(df.count() * share), round_)
 
 
-def select_classes(df: DataFrame, key: str, most: int = 8, rounds: int = 8, least: float = 0.75, seed: int = 0):
-    """(labels (key, label), table (categories, bic, ari, min_jaccard)): the largest number of classes that refits on subsamples find again."""
-    spark, n = df.sparkSession, df.count()
-    dims = len(df.first()["features"]) if n else 0
-    rows, chosen, sizes = [], None, range(2, most + 1)
-    samples = [hash_sample(df, key, int(n * 0.8), r) for r in range(rounds)]
+def agreement(cells: list[tuple[int, int, int]]) -> tuple[float, dict[int, float]]:
+    """(adjusted Rand index, each class's best Jaccard overlap) of the cells (a, b, n) of two labelings, as rand_index() and best_jaccard() have them."""
+    left, right = Counter(), Counter()
+    for a, b, n in cells:
+        left[a] += n
+        right[b] += n
+    pairs = lambda counts: sum(n * (n - 1) / 2 for n in counts)
+    n, i, x, y = sum(left.values()), pairs(n for _, _, n in cells), pairs(left.values()), pairs(right.values())
+    e = x * y / (n * (n - 1) / 2) if n > 1 else 0.0
+    best: dict[int, float] = {}
+    for a, b, m in cells:
+        best[a] = max(best.get(a, 0.0), m / (left[a] + right[b] - m))
+    return 1.0 if (x + y) / 2 == e else (i - e) / ((x + y) / 2 - e), best
 
-    def refit(k: int, r: int, labels: DataFrame) -> tuple[float, list[tuple[int, float]]]:
-        again = mixture(samples[r], k, restarts=1, seed=seed + r).transform(df).select(key, F.col("label").alias("other"))
-        both = materialize(labels.join(again, key).select("label", "other"), "refit")
-        out = rand_index(both, "label", "other").first()[0], [tuple(x) for x in best_jaccard(both, "label", "other").collect()]
-        drop_table(both)
-        return out
 
-    models = at_once(df, [lambda k=k: mixture(df, k, seed=seed) for k in sizes])
-    labelled = [materialize(m.transform(df).select(key, "label"), "labels") for m in models]
-    refits = at_once(df, [lambda k=k, r=r, x=x: refit(k, r, x) for k, x in zip(sizes, labelled, strict=True) for r in range(rounds)])
-    for at, (k, model, labels) in enumerate(zip(sizes, models, labelled, strict=True)):
-        mine = refits[at * rounds : (at + 1) * rounds]
-        aris, worst = [ari for ari, _ in mine], {}
-        for _, overlaps in mine:
-            for label, jaccard in overlaps:
+def select_classes(df: DataFrame, key: str, most: int = 8, rounds: int = 8, least: float = 0.75, seed: int = 0, restarts: int = 3):
+    """(labels (key, label), table (categories, bic, ari, min_jaccard)): the largest number of classes that refits on subsamples find again.
+
+    All sizes, restarts and rounds are fitted side by side, as are those on samples, see mixtures().
+    """
+    spark, sizes = df.sparkSession, range(2, most + 1)
+    plain = materialize(df.select(key, vector_to_array("features").alias("x")), "points")
+    n = plain.count()
+    dims = len(plain.first()["x"]) if n else 0
+    marked = plain.withColumn("member", F.array(F.lit(True)))
+    for r in range(rounds):
+        taken = hash_sample(plain.select(key), key, int(n * 0.8), r).select(key, F.lit(True).alias("_in"))
+        marked = marked.join(taken, key, "left").withColumn("member", F.concat("member", F.array(F.col("_in").isNotNull()))).drop("_in")
+    points = materialize(marked.repartition(max(1, spark.sparkContext.defaultParallelism), key), "members")  # a small table too keeps all cores busy
+    fits = mixtures(points, key, 1 + rounds, [(0, k, seed + i) for k in sizes for i in range(restarts)] + [(1 + r, k, seed + r) for r in range(rounds) for k in sizes])
+    best = best_fits(fits)
+    rows, chosen, at = [], None, {(f.sample, f.k): i for i, f in enumerate(best)}
+    labels = materialize(classified(points, key, best), "labels") if n else None
+    if n:
+        pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.col("labels")[at[0, k]].alias("a"), F.col("labels")[at[1 + r, k]].alias("b")) for k in sizes for r in range(rounds)))
+        met: dict = {}
+        for c in labels.select(F.explode(pairs).alias("c")).groupBy("c.k", "c.r", "c.a", "c.b").count().collect():
+            met.setdefault((c["k"], c["r"]), []).append((c["a"], c["b"], c["count"]))
+    for k in sizes if n else ():
+        aris, worst = [], {}
+        for r in range(rounds):
+            ari, overlaps = agreement(met[k, r])
+            aris.append(ari)
+            for label, jaccard in overlaps.items():
                 worst.setdefault(label, []).append(jaccard)
         least_seen = min((sum(v) / len(v) for v in worst.values()), default=0.0)
-        rows.append((k, bic(model.summary.logLikelihood, k, dims, n), round(sum(aris) / len(aris), 3), round(least_seen, 3)))
+        rows.append((k, bic(float(best[at[0, k]].log_likelihood), k, dims, n), round(sum(aris) / len(aris), 3), round(least_seen, 3)))
         if least_seen >= least:
-            chosen = labels
+            chosen = labels.select(key, F.col("labels")[at[0, k]].alias("label"))
+    drop_table(points)
+    drop_table(plain)
     chosen = chosen if chosen is not None else df.select(key, F.lit(0).alias("label"))
     return chosen, spark.createDataFrame(rows, "categories int, bic double, ari double, min_jaccard double")
 
@@ -324,14 +481,12 @@ def fit_categories(df: DataFrame, key: str, most: int = 8, rounds: int = 8, seed
     if df.count() < LEAST_QUERIES:
         return df.select(key, F.lit("1").alias("category")), df.sparkSession.createDataFrame([], "level string, categories int, bic double, ari double, min_jaccard double")
     labels, table = select_classes(df, key, most, rounds, seed=seed)
-    paths = renumbered(labels, key)
+    paths = materialize(renumbered(labels, key), "paths")
     selection = table.withColumn("level", F.lit("top"))
     sizes = [(r["category"], r["n"]) for r in paths.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()]  # a handful of classes
-    for category, n in sorted(sizes) if len(sizes) > 1 else []:
-        if n < LEAST_PARENT:
-            continue
-        members = df.join(paths.where(F.col("category") == category).select(key), key)
-        inner, table = select_classes(members, key, most, rounds, seed=seed)
+    parents = [category for category, n in sorted(sizes) if n >= LEAST_PARENT] if len(sizes) > 1 else []
+    split = at_once(df, [lambda c=c: select_classes(df.join(paths.where(F.col("category") == c).select(key), key), key, most, rounds, seed=seed) for c in parents])
+    for category, (inner, table) in zip(parents, split, strict=True):
         selection = selection.unionByName(table.withColumn("level", F.lit(category)))
         if inner.select("label").distinct().count() > 1:
             child = renumbered(inner, key).select(key, F.concat_ws(".", F.lit(category), "category").alias("child"))
