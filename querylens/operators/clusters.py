@@ -258,8 +258,8 @@ def at_once(df: DataFrame, work: list) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(w)) for w in work]]
 
 
-#: Fixed values of a mixture's fit: steps at most, the gain of the mean log-likelihood below which it ends, what is added to variances, and rows that a component starts from, of so many.
-STEPS, GAIN, LEAST_VARIANCE, START_ROWS, START_POOL = 100, 1e-3, 1e-6, 5, 1000
+#: Fixed values of a mixture's fit: steps at most, the gain of the mean log-likelihood below which it ends, what is added to variances, rows and steps of k-means that it starts from.
+STEPS, GAIN, LEAST_VARIANCE, START_POOL, START_STEPS = 100, 1e-3, 1e-6, 1000, 30
 #: Rows that a task weighs at once.
 WEIGHED_ROWS = 4096
 
@@ -273,10 +273,18 @@ class Fit:
         self.n, self.log_likelihood, self.steps, self.over = 0.0, -math.inf, 0, False
 
     def start(self, rows: np.ndarray) -> None:
-        """Each component from START_ROWS of the given rows: their mean, and their variances."""
-        at = np.random.default_rng(self.seed).integers(0, len(rows), (self.k, START_ROWS))
-        self.weights, self.means = np.full(self.k, 1 / self.k), rows[at].mean(axis=1)
-        self.covariances = np.stack([np.diag(v) for v in rows[at].var(axis=1) + LEAST_VARIANCE])
+        """The components of a k-means, from far apart centres, over the given rows."""
+        rng, d = np.random.default_rng(self.seed), rows.shape[1]
+        self.means = rows[rng.integers(len(rows), size=1)]
+        while len(self.means) < self.k:
+            far = ((rows[:, None] - self.means) ** 2).sum(axis=2).min(axis=1)
+            self.means = np.concatenate([self.means, rows[rng.choice(len(rows), size=1, p=far / far.sum() if far.sum() > 0 else None)]])
+        for _ in range(START_STEPS):
+            label = ((rows[:, None] - self.means) ** 2).sum(axis=2).argmin(axis=1)
+            self.means = np.stack([rows[label == c].mean(axis=0) if (label == c).any() else self.means[c] for c in range(self.k)])
+        held = np.bincount(label, minlength=self.k)
+        self.weights = np.maximum(held, 1) / np.maximum(held, 1).sum()
+        self.covariances = np.stack([(np.cov(rows[label == c].T, bias=True).reshape(d, d) if held[c] > 1 else np.diag(rows.var(axis=0))) + LEAST_VARIANCE * np.eye(d) for c in range(self.k)])
 
     def coefficients(self) -> np.ndarray:
         """A column for each component: its weighted log-density as a linear function of _products()."""
